@@ -19,11 +19,11 @@ stmts AS (
   UNION ALL SELECT file, 5, 'qreg b [3];' FROM v_args
   UNION ALL SELECT file, 6, 'creg c[' || line || '];' FROM v_args
   UNION ALL SELECT file, 8, name || CASE WHEN args <> '' THEN '(' || args || ')' ELSE '' END || ' ' || ops || ' ;' FROM v_args
-  UNION ALL SELECT file, 10, 'h ' || oy || ';' FROM v_args
-  UNION ALL SELECT file, 11, 'barrier a;' FROM v_args
-  UNION ALL SELECT file, 12, 'swap ' || ox || ',' || oz || ';' FROM v_args
-  UNION ALL SELECT file, 13, 'measure ' || ox || ' -> c[0];' FROM v_args
-  UNION ALL SELECT file, 14, 'opaque thing;' FROM v_args)"""
+  UNION ALL SELECT file, 9, 'h ' || oy || ';' FROM v_args
+  UNION ALL SELECT file, 10, 'barrier a;' FROM v_args
+  UNION ALL SELECT file, 11, 'swap ' || ox || ',' || oz || ';' FROM v_args
+  UNION ALL SELECT file, 12, 'measure ' || ox || ' -> c[0];' FROM v_args
+  UNION ALL SELECT file, 13, 'opaque thing;' FROM v_args)"""
 
 
 def _summary(stmts):
@@ -48,7 +48,7 @@ def b2(spark, sf):
     return qasm.registers(qasm.statements(fx.v_texts(spark, sf)))
 
 
-@query("b3_drop_nonunitary", v.with_views(v.V_LINES, STATEMENTS, body=SUMMARY + "WHERE line_no NOT IN (11, 13) GROUP BY stmt"))
+@query("b3_drop_nonunitary", v.with_views(v.V_LINES, STATEMENTS, body=SUMMARY + "WHERE line_no NOT IN (10, 12) GROUP BY stmt"))
 def b3(spark, sf):
     return _summary(qasm.drop_nonunitary(qasm.statements(fx.v_texts(spark, sf))))
 
@@ -56,8 +56,8 @@ def b3(spark, sf):
 RAW = """
 raw AS (
   SELECT file, 8 AS line_no, name, args, ops, qubits, line, radians FROM v_args
-  UNION ALL SELECT file, 10, 'h', '', oy, [y], 0, NULL FROM v_args
-  UNION ALL SELECT file, 12, 'swap', '', ox || ',' || oz, [x, z], 0, NULL FROM v_args)"""
+  UNION ALL SELECT file, 9, 'h', '', oy, [y], 0, NULL FROM v_args
+  UNION ALL SELECT file, 11, 'swap', '', ox || ',' || oz, [x, z], 0, NULL FROM v_args)"""
 
 
 @query("b4_gates_raw", v.with_views(v.V_LINES, RAW, body="""

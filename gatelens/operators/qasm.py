@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from gatelens.constants import PARAMETERIZED, THREE_QUBIT, TWO_QUBIT
 
 # ---- fixed values: statement patterns ---------------------------------------------------
-REGISTER = r"^(qreg|creg)\s+(\w+)\s*\[\s*(\d+)\s*\]"
+REGISTER = r"^(qreg|creg)\s+(\w+)\s*\[\s*(\d+)\s*\].*$"
 GATE = r"^(\w+)(?:\(([^)]*)\))?\s+(.+?)\s*;$"
 OPERAND = r"(\w+)\s*\[\s*(\d+)\s*\]"
 NUMBER = r"(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
 ANGLE = rf"^([-+]?)\s*(?:({NUMBER})\s*\*\s*)?(?:(pi)|({NUMBER}))\s*(?:/\s*({NUMBER}))?$"
 BLANKS = " \t\r\n\x0b\x0c"
+MARK = "\x01"
 
 
 def statements(texts: DataFrame) -> DataFrame:
@@ -31,11 +32,20 @@ def statements(texts: DataFrame) -> DataFrame:
     return kept.where(~skipped)
 
 
+def match_groups(c: Column, pattern: str, n: int) -> Column:
+    """ARRAY of the ``n`` groups of a whole-string pattern from one regex run; one element when there is no match."""
+    return F.split(F.regexp_replace(c, pattern, MARK.join(f"${i + 1}" for i in range(n))), MARK)
+
+
+def is_declaration() -> Column:
+    return F.col("stmt").startswith("qreg") | F.col("stmt").startswith("creg")
+
+
 def declarations(stmts: DataFrame) -> DataFrame:
     """Every register declaration, repeats included: (file, line_no, kind, name, size)."""
-    part = lambda i: F.regexp_extract("stmt", REGISTER, i)
-    return stmts.where(F.col("stmt").rlike(REGISTER)).select(
-        "file", "line_no", part(1).alias("kind"), part(2).alias("name"), part(3).cast("int").alias("size"))
+    parts = stmts.where(is_declaration()).select("file", "line_no", match_groups(F.col("stmt"), REGISTER, 3).alias("m"))
+    return parts.where(F.size("m") == 3).select(
+        "file", "line_no", F.col("m")[0].alias("kind"), F.col("m")[1].alias("name"), F.col("m")[2].cast("int").alias("size"))
 
 
 def registers(stmts: DataFrame) -> DataFrame:
@@ -61,29 +71,34 @@ def drop_nonunitary(stmts: DataFrame) -> DataFrame:
 
 def operands(stmt: Column) -> Column:
     """ARRAY<STRUCT<reg, idx>> of all ``reg[idx]`` in order."""
-    names = F.regexp_extract_all(stmt, F.lit(OPERAND), F.lit(1))
-    numbers = F.regexp_extract_all(stmt, F.lit(OPERAND), F.lit(2))
-    return F.transform(F.arrays_zip(names.alias("reg"), numbers.alias("idx")),
-                       lambda o: F.struct(o["reg"].alias("reg"), o["idx"].cast("int").alias("idx")))
+    found = F.regexp_extract_all(stmt, F.lit(OPERAND), F.lit(0))
+    inner = lambda o: F.btrim(F.rtrim(F.substring_index(o, "[", -1), F.lit("]")), F.lit(BLANKS))
+    return F.transform(found, lambda o: F.struct(
+        F.btrim(F.substring_index(o, "[", 1), F.lit(BLANKS)).alias("reg"), inner(o).cast("int").alias("idx")))
 
 
 def gates_raw(stmts: DataFrame) -> DataFrame:
     """(file, line_no, name, args, operands) of single-line gate statements with an indexed operand."""
-    unitary = drop_nonunitary(stmts).where(~F.col("stmt").rlike(REGISTER) & F.col("stmt").rlike(GATE))
-    part = lambda i: F.regexp_extract("stmt", GATE, i)
-    return unitary.select("file", "line_no", part(1).alias("name"), part(2).alias("args"),
-                          operands(part(3)).alias("operands")).where(F.size("operands") > 0)
+    candidates = drop_nonunitary(stmts).select(
+        "file", "line_no", "stmt", match_groups(F.col("stmt"), GATE, 3).alias("m")).where(F.size("m") == 3)
+    others = candidates.where(~is_declaration() | ~F.col("stmt").rlike(REGISTER))
+    return others.select("file", "line_no", F.col("m")[0].alias("name"), F.col("m")[1].alias("args"),
+                         operands(F.col("m")[2]).alias("operands")).where(F.size("operands") > 0)
 
 
 def eval_params(expr: Column) -> Column:
     """Value of an angle expression ``[-] [num *] (pi | num) [/ num]``, NULL when it has another form."""
-    expr = F.btrim(expr, F.lit(BLANKS))
-    part = lambda i: F.regexp_extract(expr, ANGLE, i)
-    number = lambda i: F.when(part(i) != "", part(i)).try_cast("double")
-    sign = F.when(part(1) == "-", -1.0).otherwise(1.0)
-    base = F.when(part(3) == "pi", F.lit(math.pi)).otherwise(number(4))
-    value = sign * F.coalesce(number(2), F.lit(1.0)) * base
-    return F.when(expr.rlike(ANGLE), F.when(part(5) != "", F.try_divide(value, number(5))).otherwise(value))
+    m = match_groups(F.btrim(expr, F.lit(BLANKS)), ANGLE, 5)
+    return F.element_at(F.transform(F.array(m), _angle_value), 1)
+
+
+def _angle_value(m: Column) -> Column:
+    """Groups of ANGLE (sign, factor, pi, number, divisor) to a value."""
+    number = lambda i: m[i].try_cast("double")
+    sign = F.when(m[0] == "-", -1.0).otherwise(1.0)
+    base = F.when(m[2] == "pi", F.lit(math.pi)).otherwise(number(3))
+    value = sign * F.coalesce(number(1), F.lit(1.0)) * base
+    return F.when(F.size(m) == 5, F.when(m[4] != "", F.try_divide(value, number(4))).otherwise(value))
 
 
 def global_qubits(raw: DataFrame, regs: DataFrame) -> DataFrame:
