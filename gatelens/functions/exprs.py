@@ -38,3 +38,13 @@ def rung_log2(threshold: Column, top: int = 512) -> Column:
 
 def half_even(c: Column, places: int = 0) -> Column:
     return F.bround(c, places)
+
+
+def pearson(x: Column, y: Column) -> Column:
+    """Aggregate: Pearson r over the pairs without NULL; NULL when either side does not vary.
+
+    Built from the covariance because ``corr`` divides by zero on constant input under ANSI rules.
+    """
+    px, py = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    spread = F.stddev_pop(px) * F.stddev_pop(py)
+    return F.when(spread > 0, F.try_divide(F.covar_pop(x, y), spread))
