@@ -18,8 +18,7 @@ N = len(RUNGS_SCORING)
 
 def pad_probabilities(p: Column, labels: list[int]) -> Column:
     """M2: probabilities of the given class labels as an array over all nine rungs, absent classes 0."""
-    by_label = F.map_from_arrays(F.array(*[F.lit(x) for x in labels]), p)
-    return F.transform(F.sequence(F.lit(0), F.lit(N - 1)), lambda i: F.coalesce(F.try_element_at(by_label, i), F.lit(0.0)))
+    return F.array(*[p[labels.index(i)] if i in labels else F.lit(0.0) for i in range(N)])
 
 
 def expected_scores(p: Column) -> Column:
