@@ -83,6 +83,14 @@ def b6(spark, sf):
     return g.select("file", "seq", "name", F.array_join(F.transform("qubits", lambda q: q.cast("string")), " ").alias("qubits"))
 
 
+@query("b6_global_qubits_joined", v.with_views(v.V_LINES, RAW, body="""
+SELECT file, line_no AS seq, name, list_aggregate(qubits, 'string_agg', ' ') AS qubits FROM raw"""))
+def b6_joined(spark, sf):
+    stmts = qasm.statements(fx.v_texts(spark, sf))
+    g = qasm.global_qubits(qasm.gates_raw(stmts), qasm.declarations(stmts))
+    return g.select("file", "seq", "name", F.array_join(F.transform("qubits", lambda q: q.cast("string")), " ").alias("qubits"))
+
+
 @query("b7_eval_params", v.with_views(v.V_LINES, RAW, body="""
 SELECT file, line_no AS seq, CAST(CASE WHEN line IN (3, 5) THEN 1 WHEN line = 6 THEN 3 ELSE 0 END AS INTEGER) AS n_params,
   round(CASE WHEN line IN (3, 5, 6) THEN radians END, 9) AS first_param,
@@ -110,6 +118,12 @@ def b8(spark, sf):
 @query("b9_circuit_header", v.with_views(v.V_LINES, body="""
 SELECT file, 8::BIGINT AS n_qubits, line::BIGINT AS n_cbits, 2::BIGINT AS n_qregs, 1::BIGINT AS n_cregs FROM lines"""))
 def b9(spark, sf):
+    return qasm.headers(fx.v_texts(spark, sf))
+
+
+@query("b9_circuit_header_joined", v.with_views(v.V_LINES, body="""
+SELECT file, 8::BIGINT AS n_qubits, line::BIGINT AS n_cbits, 2::BIGINT AS n_qregs, 1::BIGINT AS n_cregs FROM lines"""))
+def b9_joined(spark, sf):
     texts = fx.v_texts(spark, sf)
     return qasm.circuit_header(texts, qasm.registers(qasm.statements(texts)))
 

@@ -21,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores when a small file gives fewer splits than cores; large inputs are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def line_gate_name() -> Column:
     return F.element_at(F.array(*[F.lit(g) for g in GATE_BY_LINE]), F.col("l_linenumber"))
 
@@ -125,7 +131,8 @@ ANGLES = ["0", "pi", "-pi/2", "3*pi/8", "-2*pi", "0.927", "2.1e-08", "7", "pi/4"
 
 def v_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One OpenQASM text per line item: two quantum registers, comments, blanks, a barrier and a measure."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_discount"))
     p, s, line = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
 
     def operand(q: Column) -> Column:

@@ -1,6 +1,7 @@
 """Circuit text to relations: statements, registers, gates, qubit numbers, angles.
 
-``texts`` is (file, text). Every step is a JVM expression over one row's text or a join on ``file``.
+``texts`` is (file, text). Every step is a JVM expression. From whole texts no step shuffles;
+statements that arrive on their own (a file read line by line) use the joining forms.
 """
 
 from __future__ import annotations
@@ -27,9 +28,13 @@ def statements(texts: DataFrame) -> DataFrame:
     lines = texts.select("file", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("line_no", "stmt"))
     stmt = F.btrim(F.col("stmt"), F.lit(BLANKS))
     kept = lines.select("file", (F.col("line_no") + 1).alias("line_no"), stmt.alias("stmt"))
-    skipped = (F.col("stmt") == "") | F.col("stmt").startswith("//") | F.col("stmt").startswith(
-        "OPENQASM") | F.col("stmt").startswith("include")
-    return kept.where(~skipped)
+    return kept.where(~skipped())
+
+
+def skipped() -> Column:
+    """Blank lines, comments and headers."""
+    s = F.col("stmt")
+    return (s == "") | s.startswith("//") | s.startswith("OPENQASM") | s.startswith("include")
 
 
 def match_groups(c: Column, pattern: str, n: int) -> Column:
@@ -56,12 +61,17 @@ def registers(stmts: DataFrame) -> DataFrame:
     return by_name.select("file", "kind", "name", "size", F.row_number().over(order).alias("decl_no"))
 
 
-def register_offsets(regs: DataFrame) -> DataFrame:
-    """(file, offsets MAP<name, first qubit>) over the quantum registers in declaration order."""
-    before = Window.partitionBy("file").orderBy("decl_no").rowsBetween(Window.unboundedPreceding, -1)
-    q = regs.where(F.col("kind") == "qreg").withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    entry = F.struct("name", F.col("offset").cast("int"))
-    return q.groupBy("file").agg(F.map_from_entries(F.collect_list(entry)).alias("offsets"))
+def register_offsets(decls: DataFrame) -> DataFrame:
+    """(file, offsets ARRAY<STRUCT<name, offset>>): first qubit of each quantum register.
+
+    Every declaration advances the offset by the register's final size, and the last declaration of a name counts.
+    """
+    by_file = Window.partitionBy("file").orderBy("line_no")
+    everywhere = Window.partitionBy("file", "name").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sized = decls.where(F.col("kind") == "qreg").withColumn("size", F.last("size").over(everywhere))
+    placed = sized.withColumn("offset", F.coalesce(F.sum("size").over(by_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    last = placed.groupBy("file", "name").agg(F.max_by("offset", "line_no").cast("int").alias("offset"))
+    return last.groupBy("file").agg(F.collect_list(F.struct("name", "offset")).alias("offsets"))
 
 
 def drop_nonunitary(stmts: DataFrame) -> DataFrame:
@@ -77,12 +87,16 @@ def operands(stmt: Column) -> Column:
         F.btrim(F.substring_index(o, "[", 1), F.lit(BLANKS)).alias("reg"), inner(o).cast("int").alias("idx")))
 
 
-def gates_raw(stmts: DataFrame) -> DataFrame:
-    """(file, line_no, name, args, operands) of single-line gate statements with an indexed operand."""
+def gates_raw(stmts: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """(file, line_no, name, args, operands) of single-line gate statements with an indexed operand.
+
+    ``carry``: further columns to keep.
+    """
+    carry = carry or []
     candidates = drop_nonunitary(stmts).select(
-        "file", "line_no", "stmt", match_groups(F.col("stmt"), GATE, 3).alias("m")).where(F.size("m") == 3)
+        "file", *carry, "line_no", "stmt", match_groups(F.col("stmt"), GATE, 3).alias("m")).where(F.size("m") == 3)
     others = candidates.where(~is_declaration() | ~F.col("stmt").rlike(REGISTER))
-    return others.select("file", "line_no", F.col("m")[0].alias("name"), F.col("m")[1].alias("args"),
+    return others.select("file", *carry, "line_no", F.col("m")[0].alias("name"), F.col("m")[1].alias("args"),
                          operands(F.col("m")[2]).alias("operands")).where(F.size("operands") > 0)
 
 
@@ -101,24 +115,58 @@ def _angle_value(m: Column) -> Column:
     return F.when(F.size(m) == 5, F.when(m[4] != "", F.try_divide(value, number(4))).otherwise(value))
 
 
-def global_qubits(raw: DataFrame, regs: DataFrame) -> DataFrame:
-    """Gates (file, seq, name, qubits, params) with qubit = register offset + index.
+def _qubits_and_params(raw: DataFrame) -> DataFrame:
+    """Gates from rows that carry their circuit's ``offsets``."""
+    def qubit(o: Column) -> Column:
+        own = F.filter("offsets", lambda r: r["name"] == o["reg"])
+        return o["idx"] + F.coalesce(F.try_element_at(own, F.lit(-1))["offset"], F.lit(0))
 
-    ``seq`` is the line number: it orders the gates of a circuit but may have gaps. An operand of an unknown
-    register keeps its bare index. The offset maps hold one row per circuit, so the join never meets gate rows twice.
-    """
-    with_offsets = raw.join(register_offsets(regs), "file", "left")
-    qubit = lambda o: o["idx"] + F.coalesce(F.try_element_at("offsets", o["reg"]), F.lit(0))
     params = F.when(F.col("args") == "", F.array().cast("array<double>")).otherwise(
         F.transform(F.split("args", ","), eval_params))
-    return with_offsets.select("file", F.col("line_no").alias("seq"), "name",
-                               F.transform("operands", qubit).alias("qubits"), params.alias("params"))
+    return raw.select("file", F.col("line_no").alias("seq"), "name",
+                      F.transform("operands", qubit).alias("qubits"), params.alias("params"))
+
+
+def global_qubits(raw: DataFrame, decls: DataFrame) -> DataFrame:
+    """Gates (file, seq, name, qubits, params) with qubit = register offset + index.
+
+    ``seq`` is the line number: it orders the gates of a circuit but may have gaps. An operand of an unknown register
+    keeps its bare index. This form joins statements with declarations; ``gates`` needs no join.
+    """
+    return _qubits_and_params(raw.join(register_offsets(decls), "file", "left"))
+
+
+def text_lines(text: Column) -> Column:
+    """ARRAY of the trimmed lines of a text."""
+    return F.transform(F.split(text, r"\r\n|\n|\r"), lambda line: F.btrim(line, F.lit(BLANKS)))
+
+
+def text_declarations(lines: Column, kind: str) -> Column:
+    """ARRAY<STRUCT<name, size>> of the declarations of a kind in a text, with each name's last size."""
+    found = F.filter(F.transform(F.filter(lines, lambda x: x.startswith(kind)), lambda x: match_groups(x, REGISTER, 3)),
+                     lambda m: F.size(m) == 3)
+    decls = F.transform(found, lambda m: F.struct(m[1].alias("name"), m[2].cast("int").alias("size")))
+    return F.transform(decls, lambda r: F.element_at(F.filter(decls, lambda o: o["name"] == r["name"]), -1))
 
 
 def gates(texts: DataFrame) -> DataFrame:
-    """Text to gates in one go."""
-    stmts = statements(texts)
-    return global_qubits(gates_raw(stmts), registers(stmts))
+    """B6 from (file, text) without a shuffle: a text's register offsets travel with its own lines."""
+    lined = texts.select("file", text_lines(F.col("text")).alias("lines"))
+    declared = lined.withColumn("qregs", text_declarations(F.col("lines"), "qreg"))
+    before = lambda r, i: F.aggregate(F.slice("qregs", F.lit(1), i), F.lit(0), lambda a, o: a + o["size"])
+    placed = declared.withColumn("offsets", F.transform(
+        "qregs", lambda r, i: F.struct(r["name"].alias("name"), before(r, i).alias("offset"))))
+    stmts = placed.select("file", "offsets", F.posexplode("lines").alias("line_no", "stmt")).withColumn("line_no", F.col("line_no") + 1)
+    return _qubits_and_params(gates_raw(stmts.where(~skipped()), ["offsets"]))
+
+
+def headers(texts: DataFrame) -> DataFrame:
+    """B9 from (file, text) without a shuffle."""
+    lined = texts.select("file", text_lines(F.col("text")).alias("lines"))
+    both = lined.select("file", *[F.array_distinct(text_declarations(F.col("lines"), k)).alias(k) for k in ("qreg", "creg")])
+    total = lambda k: F.aggregate(k, F.lit(0).cast("long"), lambda a, r: a + r["size"])
+    return both.select("file", total("qreg").alias("n_qubits"), total("creg").alias("n_cbits"),
+                       F.size("qreg").cast("long").alias("n_qregs"), F.size("creg").cast("long").alias("n_cregs"))
 
 
 def tag_arity(gates: DataFrame) -> DataFrame:
