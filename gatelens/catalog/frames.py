@@ -8,6 +8,7 @@ from gatelens import fixtures as fx
 from gatelens.catalog import query
 from gatelens.catalog import sqlviews as v
 from gatelens.catalog.common import rounded
+from gatelens.functions.lineage import cut
 from gatelens.operators import frame, scoring, sweep
 from gatelens.sources import benchmark, circuits, sinks
 
@@ -158,7 +159,7 @@ def _gaps(spark, sf):
 @query("h8_impute", v.with_views(v.V_FEATURES, GAPS, body="""
 SELECT id, round(coalesce(sum_tax, a), 6) AS sum_tax, round(coalesce(max_price, b), 6) AS max_price FROM g, m"""))
 def h8(spark, sf):
-    g = _gaps(spark, sf)
+    g = cut(_gaps(spark, sf))
     return rounded(frame.impute(g, frame.fit_fill(g, ["sum_tax", "max_price"])))
 
 

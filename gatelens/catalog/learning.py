@@ -8,6 +8,7 @@ from gatelens import fixtures as fx
 from gatelens.catalog import query
 from gatelens.catalog import sqlviews as v
 from gatelens.catalog.common import rounded
+from gatelens.functions.lineage import cut
 from gatelens.operators import selection, splits
 from gatelens.operators.baseline import BucketBaseline, normalize_mode
 
@@ -19,6 +20,11 @@ def _features(spark, sf):
     return fx.v_features(spark, sf)
 
 
+def _stored(spark, sf, *extra):
+    """The columns of a feature frame as a stored table, as the training jobs read it."""
+    return cut(fx.v_features(spark, sf).select("id", *fx.FEATURES, "selected_threshold", "forward_wall_s", *extra))
+
+
 SCORES = "sc AS (" + " UNION ALL ".join(
     f"SELECT '{t}' AS target, {i} AS idx, '{f}' AS feature, coalesce(CASE WHEN stddev_pop({f}) < 1e-6 THEN 0 ELSE abs(corr({f}, {e})) END, 0) AS score FROM v_features"
     for t, e in TARGETS.items() for i, f in enumerate(FEATS)) + ")"
@@ -45,7 +51,7 @@ tt AS (SELECT *, sum(n) OVER (PARTITION BY feature) AS tot, sum(n) OVER (PARTITI
 SELECT CAST(row_number() OVER (ORDER BY score DESC, idx) AS INTEGER) AS rank, feature, round(score, 6) AS score FROM (
   SELECT idx, feature, greatest(sum(n / tot * ln(n * tot / (nx * ny))), 0) AS score FROM tt GROUP BY 1, 2) QUALIFY rank <= 5"""))
 def j2(spark, sf):
-    return rounded(selection.select_by_mutual_info(_features(spark, sf), fx.FEATURES, selection.log_runtime(), 5))
+    return rounded(selection.select_by_mutual_info(_stored(spark, sf), fx.FEATURES, selection.log_runtime(), 5))
 
 
 @query("j3_select_combined", v.with_views(v.V_FEATURES, SCORES, body="""
@@ -130,13 +136,13 @@ bn AS (SELECT *, """ + ", ".join(f"CAST(len(list_filter(e{i}[2:-2], lambda q: q
     f"SELECT '{c}' AS feature, unnest(range(0, 6))::INTEGER AS i, round(unnest(quantile_cont({c}, [0.0,0.2,0.4,0.6,0.8,1.0])), 6) AS edge FROM v_features" for c in BUCKETS)))
 def l2(spark, sf):
     from gatelens.functions.quantiles import exact_quantiles
-    q = exact_quantiles(_features(spark, sf), [], BUCKETS, [i / 5 for i in range(6)])
+    q = exact_quantiles(_stored(spark, sf), [], BUCKETS, [i / 5 for i in range(6)])
     return rounded(q.select("feature", F.round(F.col("prob") * 5).cast("int").alias("i"), F.col("q").alias("edge")))
 
 
 @query("l3_assign_bins", v.with_views(v.V_FEATURES, FILLED, body="SELECT id, bin_0, bin_1, bin_2 FROM bn"))
 def l3(spark, sf):
-    df = _features(spark, sf)
+    df = _stored(spark, sf, "precision", "backend")
     return BucketBaseline(BUCKETS).fit_bins(df).assign(df).select("id", "bin_0", "bin_1", "bin_2")
 
 
@@ -176,7 +182,7 @@ ST = "st AS (" + _stat_levels() + ")"
 @query("l5_bucket_fit", v.with_views(v.V_FEATURES, FILLED, ST, body="""
 SELECT level, mode_precision, mode_device, bin_0, bin_1, bin_2, n, majority_threshold, round(med, 6) AS median_log_runtime FROM st"""))
 def l5(spark, sf):
-    df = _features(spark, sf)
+    df = _stored(spark, sf, "precision", "backend")
     model = BucketBaseline(BUCKETS).fit_bins(df)
     return rounded(model.statistics(model.assign(df)))
 
@@ -187,7 +193,7 @@ SELECT id, coalesce(b.majority_threshold, m.majority_threshold, g.majority_thres
 FROM bn LEFT JOIN st b ON b.level = 'bucket' AND b.mode_precision = bn.precision_ AND b.mode_device = bn.backend AND b.bin_0 = bn.bin_0 AND b.bin_1 = bn.bin_1 AND b.bin_2 = bn.bin_2
 LEFT JOIN st m ON m.level = 'mode' AND m.mode_precision = bn.precision_ AND m.mode_device = bn.backend LEFT JOIN st g ON g.level = 'global'"""))
 def l6(spark, sf):
-    df = _features(spark, sf)
+    df = _stored(spark, sf, "precision", "backend")
     predicted = BucketBaseline(BUCKETS).fit(df).predict(df)
     return rounded(predicted.select("id", "predicted_threshold_min", "predicted_forward_wall_s"))
 
@@ -200,7 +206,7 @@ bn AS (SELECT bn0.*, k::INTEGER AS fold FROM bn0 JOIN folds f USING (grp), range
 SELECT fold, level, mode_precision, mode_device, bin_0, bin_1, bin_2, n, majority_threshold, round(med, 6) AS median_log_runtime FROM st"""))
 def m25_baseline(spark, sf):
     """The baseline fitted on the train part of all folds in one pass: the fold is one more key."""
-    df = _features(spark, sf)
+    df = _stored(spark, sf, "precision", "backend", "grp")
     model = BucketBaseline(BUCKETS).fit_bins(df)
     folded = splits.group_kfold(model.assign(df), "grp", 5).withColumnRenamed("fold", "own")
     train = folded.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(4)))).where("own <> fold")

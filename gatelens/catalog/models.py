@@ -12,6 +12,7 @@ from gatelens.catalog import query
 from gatelens.catalog import sqlviews as v
 from gatelens.catalog.common import rounded
 from gatelens.constants import FAMILY_FLOOR, HARD_FAMILIES
+from gatelens.functions.lineage import cut
 from gatelens.operators import decisions as dec
 from gatelens.operators import frame, models, splits, sweep
 from gatelens.plans import training
@@ -200,10 +201,11 @@ def m23(spark, sf):
 # ------------------------------------------------------------------ trained models
 
 def _data(spark, sf):
-    df = fx.v_features(spark, sf)
+    """(train, val, test) of one fold of the stored feature frame, gaps filled."""
+    df = cut(fx.v_features(spark, sf))
     df = frame.impute(df, {**{f: 0.0 for f in FEATS}, **frame.fit_fill(df, FEATS)})
     folded = splits.build_splits(df, "id", "grp", 5).where("fold = 0").select(F.col("row_key").alias("id"), "role")
-    joined = df.join(folded, "id")
+    joined = cut(df.join(folded, "id"))
     return tuple(joined.where(F.col("role") == r).drop("role") for r in ("train", "val", "test"))
 
 
@@ -277,9 +279,9 @@ def m22(spark, sf):
 
 @query("m24_param_search")
 def m24(spark, sf):
-    df = fx.v_features(spark, sf)
+    df = cut(fx.v_features(spark, sf))
     df = frame.impute(df, {**{f: 0.0 for f in FEATS}, **frame.fit_fill(df, FEATS)})
-    parts = splits.build_splits(df, "id", "grp", 2)
+    parts = cut(splits.build_splits(df, "id", "grp", 2))
 
     def fit_predict(train, val, test, params):
         return models.KernelRuntimeModel(FEATS, **params).fit(train).predict(test, "selected_threshold")

@@ -23,14 +23,14 @@ def family_summary(frame: DataFrame) -> DataFrame:
     ).orderBy(F.col("mean_threshold").desc(), "true_family")
 
 
-def _corr(a: str, b: str) -> Column:
-    """Pearson over the pairs where both are finite; NULL when either does not vary."""
-    return pearson(finite(a), finite(b))
+def _finite(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns with NaN and infinities as NULL, projected once so that aggregates share them."""
+    return df.select(*[finite(c).alias(c) for c in columns])
 
 
 def target_correlations(df: DataFrame, features: list[str], targets: list[str], k: int = 15) -> DataFrame:
     """(target, feature, abs_r): the k features of largest |r| per target, from one pass."""
-    one = df.agg(*[_corr(f, t).alias(f"{t}|{f}") for t in targets for f in features])
+    one = _finite(df, features + targets).agg(*[pearson(F.col(f), F.col(t)).alias(f"{t}|{f}") for t in targets for f in features])
     cells = F.array(*[F.struct(F.lit(t).alias("target"), F.lit(f).alias("feature"), F.abs(F.col(f"`{t}|{f}`")).alias("abs_r"))
                       for t in targets for f in features])
     long = one.select(F.explode(cells).alias("c")).select("c.*").where("abs_r IS NOT NULL")
@@ -94,7 +94,8 @@ def first_per_config(points: DataFrame, columns: list[str]) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, r) for a <= b by position over columns with any value; NULL where r is undefined."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    one = df.agg(*[F.count(finite(c)).alias(f"n|{c}") for c in columns], *[_corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    one = _finite(df, columns).agg(*[F.count(c).alias(f"n|{c}") for c in columns],
+                                   *[pearson(F.col(a), F.col(b)).alias(f"{a}|{b}") for a, b in pairs])
     cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r"),
                                ((F.col(f"`n|{a}`") > 0) & (F.col(f"`n|{b}`") > 0)).alias("keep")) for a, b in pairs])
     return one.select(F.explode(cells).alias("c")).where("c.keep").select("c.a", "c.b", "c.r")
