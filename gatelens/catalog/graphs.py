@@ -8,8 +8,9 @@ from gatelens import fixtures as fx
 from gatelens.catalog import query
 from gatelens.catalog import sqlviews as v
 from gatelens.catalog.common import rounded
-from gatelens.operators import cuts, depth, elimination, family, gatemix, graph, graph_rounds, neighbours
 from gatelens.constants import FAMILY_RULES
+from gatelens.functions.lineage import cut
+from gatelens.operators import cuts, depth, elimination, family, gatemix, graph, graph_rounds, neighbours, splits
 
 # ------------------------------------------------------------------ layers
 
@@ -337,18 +338,20 @@ votes AS (SELECT vec_id, label, sum(CASE WHEN z THEN CASE WHEN d = 0 THEN 1.0::D
   FROM (SELECT *, min(d) OVER (PARTITION BY vec_id) = 0 AS z FROM near) GROUP BY 1, 2)"""
 
 SCALED = """
-dims AS (SELECT vec_id, label, i, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 65) AS r(i)),
-stats AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM dims WHERE vec_id % 4 <> 0 GROUP BY i),
-scaled AS (SELECT vec_id, label, list((x - m) / CASE WHEN s > 0 THEN s ELSE 1 END ORDER BY i) AS x FROM dims JOIN stats USING (i) GROUP BY 1, 2)"""
+held AS (SELECT vec_id, row_number() OVER (ORDER BY md5(vec_id::VARCHAR || '#42'), vec_id) <= ceil((SELECT count(*) FROM embeddings) * 0.25::DOUBLE) AS is_val FROM embeddings),
+dims AS (SELECT vec_id, is_val, label, i, embedding[i]::DOUBLE AS x FROM embeddings JOIN held USING (vec_id), range(1, 65) AS r(i)),
+stats AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM dims WHERE NOT is_val GROUP BY i),
+scaled AS (SELECT vec_id, is_val, label, list((x - m) / CASE WHEN s > 0 THEN s ELSE 1 END ORDER BY i) AS x FROM dims JOIN stats USING (i) GROUP BY 1, 2, 3)"""
 
 
 @query("f4_knn_classify", "WITH " + SCALED + "," + KNN.format(
-    test="q.vec_id", dist="list_distance(q.x, t.x)", frm="scaled q, scaled t WHERE q.vec_id % 4 = 0 AND t.vec_id % 4 <> 0") + """
+    test="q.vec_id", dist="list_distance(q.x, t.x)", frm="scaled q, scaled t WHERE q.is_val AND NOT t.is_val") + """
 SELECT vec_id, arg_max(label, w) AS label, round(max(w) / sum(w), 6) AS probability FROM (SELECT * FROM votes ORDER BY w, label DESC) GROUP BY vec_id""")
 def f4(spark, sf):
     points = fx.v_points(spark, sf)
-    voted = neighbours.knn_classify(points.where("vec_id % 4 <> 0"), points.where("vec_id % 4 = 0").drop("label"), 3)
-    return rounded(voted)
+    held = cut(points.join(splits.group_holdout(points, "vec_id", 0.25, 42), "vec_id"))
+    train, test = held.where("NOT is_val").drop("is_val"), held.where("is_val").drop("is_val", "label")
+    return rounded(neighbours.knn_classify(train, test, 3))
 
 
 LOO = """

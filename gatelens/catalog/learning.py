@@ -99,21 +99,26 @@ def k3(spark, sf):
     return splits.label_coverage(folded.withColumn("label", label), "grp", "label")
 
 
-@query("k4_build_splits", v.with_views(v.V_FEATURES, FOLDS, """
+PARTS = """
 ea AS (SELECT grp, folds.fold AS own, k::INTEGER AS fold FROM folds, range(0, 5) AS r(k)),
 tr AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY md5(grp::VARCHAR || '#' || (fold + 42)), grp) AS rk, count(*) OVER (PARTITION BY fold) AS g FROM ea WHERE own <> fold),
-parts AS (SELECT grp, fold, CASE WHEN rk <= ceil(g * 0.2::DOUBLE) THEN 'val' ELSE 'train' END AS role FROM tr UNION ALL SELECT grp, fold, 'test' FROM ea WHERE own = fold)""",
-    body="SELECT id AS row_key, fold, role FROM v_features JOIN parts USING (grp)"))
+parts AS (SELECT grp, fold, CASE WHEN rk <= ceil(g * 0.2::DOUBLE) THEN 'val' ELSE 'train' END AS role FROM tr UNION ALL SELECT grp, fold, 'test' FROM ea WHERE own = fold)"""
+
+
+@query("k4_build_splits", v.with_views(v.V_FEATURES, FOLDS, PARTS, body="SELECT id AS row_key, fold, role FROM v_features JOIN parts USING (grp)"))
 def k4(spark, sf):
     return splits.build_splits(_features(spark, sf), "id", "grp", 5, 0.2, 42)
 
 
-@query("k5_eval_labels_ok", v.with_views(v.V_FEATURES, body="""
-SELECT count(*) FILTER (WHERE selected_threshold NOT IN (SELECT selected_threshold FROM v_features WHERE id % 5 <> 0 AND selected_threshold > 1)) = 0 AS ok
-FROM v_features WHERE id % 5 = 0"""))
+@query("k5_eval_labels_ok", v.with_views(v.V_FEATURES, FOLDS, PARTS, """
+r AS (SELECT fold, role, selected_threshold AS label FROM v_features JOIN parts USING (grp)),
+un AS (SELECT DISTINCT fold FROM r x WHERE role = 'val' AND label NOT IN (SELECT label FROM r y WHERE y.fold = x.fold AND y.role = 'train'))""", body="""
+SELECT fold, fold NOT IN (SELECT fold FROM un) AS ok FROM r WHERE role = 'val' GROUP BY fold"""))
 def k5(spark, sf):
     df = _features(spark, sf)
-    return splits.eval_labels_ok(df.where("id % 5 <> 0 AND selected_threshold > 1"), df.where("id % 5 = 0"), "selected_threshold")
+    parts = splits.build_splits(df, "id", "grp", 5, 0.2, 42)
+    rows = parts.join(df.select(F.col("id").alias("row_key"), "selected_threshold"), "row_key")
+    return splits.eval_labels_by_fold(rows, "selected_threshold")
 
 
 @query("k6_named_split", v.with_views(v.V_RESULTS, body="""

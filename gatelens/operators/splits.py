@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,18 +89,20 @@ def build_splits(df: DataFrame, key: str, group: str, k: int = 5, frac: float =
     return df.select(F.col(key).alias("row_key"), group).join(parts, group).select("row_key", "fold", "role")
 
 
-def eval_labels_ok(train: DataFrame, val: DataFrame, label: str) -> DataFrame:
-    """K5: one row, ok = every validation label occurs in train and validation is not empty."""
-    unseen = val.select(label).distinct().join(train.select(label).distinct(), label, "left_anti")
-    n_unseen, n_val = unseen.agg(F.count(F.lit(1))).scalar(), val.agg(F.count(F.lit(1))).scalar()
-    one = val.sparkSession.range(1)
-    return one.select(((n_unseen == 0) & (n_val > 0)).alias("ok"))
+def eval_labels_by_fold(rows: DataFrame, label: str) -> DataFrame:
+    """K5: (fold, ok) over rows with fold and role: every validation label of the fold occurs in its train rows."""
+    has = lambda role: F.count(F.when(F.col("role") == role, 1))
+    seen = rows.groupBy("fold", label).agg(has("train").alias("t"), has("val").alias("v"))
+    return seen.where("v > 0").groupBy("fold").agg(F.bool_and(F.col("t") > 0).alias("ok"))
+
+
+def eval_labels_ok(train: DataFrame, val: DataFrame, label: str) -> bool:
+    """K5: whether validation rows exist and carry only labels that were trained on."""
+    rows = train.select(label, F.lit("train").alias("role")).unionByName(val.select(label, F.lit("val").alias("role")))
+    found = eval_labels_by_fold(rows.withColumn("fold", F.lit(0)), label).first()
+    return found is not None and found.ok
 
 
 def named_split(df: DataFrame, test_files: list[str] = RECOMMENDED_TEST) -> DataFrame:
     """K6: adds role = test for the named files, else train."""
     return df.withColumn("role", F.when(F.col("file").isin(test_files), "test").otherwise("train"))
-
-
-def holdout_size(n_groups: int, frac: float) -> int:
-    return math.ceil(n_groups * frac) if n_groups >= 3 else 0
