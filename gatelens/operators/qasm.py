@@ -142,17 +142,21 @@ def text_lines(text: Column) -> Column:
 
 
 def text_declarations(lines: Column, kind: str) -> Column:
-    """ARRAY<STRUCT<name, size>> of the declarations of a kind in a text, with each name's last size."""
+    """ARRAY<STRUCT<name, size>> of all declarations of a kind in a text."""
     found = F.filter(F.transform(F.filter(lines, lambda x: x.startswith(kind)), lambda x: match_groups(x, REGISTER, 3)),
                      lambda m: F.size(m) == 3)
-    decls = F.transform(found, lambda m: F.struct(m[1].alias("name"), m[2].cast("int").alias("size")))
+    return F.transform(found, lambda m: F.struct(m[1].alias("name"), m[2].cast("int").alias("size")))
+
+
+def last_sizes(decls: str) -> Column:
+    """The declarations with each name's last size. Takes a column name, so that the parsed array is not computed again."""
     return F.transform(decls, lambda r: F.element_at(F.filter(decls, lambda o: o["name"] == r["name"]), -1))
 
 
 def gates(texts: DataFrame) -> DataFrame:
     """B6 from (file, text) without a shuffle: a text's register offsets travel with its own lines."""
     lined = texts.select("file", text_lines(F.col("text")).alias("lines"))
-    declared = lined.withColumn("qregs", text_declarations(F.col("lines"), "qreg"))
+    declared = lined.withColumn("decls", text_declarations(F.col("lines"), "qreg")).withColumn("qregs", last_sizes("decls"))
     before = lambda r, i: F.aggregate(F.slice("qregs", F.lit(1), i), F.lit(0), lambda a, o: a + o["size"])
     placed = declared.withColumn("offsets", F.transform(
         "qregs", lambda r, i: F.struct(r["name"].alias("name"), before(r, i).alias("offset"))))
@@ -163,7 +167,8 @@ def gates(texts: DataFrame) -> DataFrame:
 def headers(texts: DataFrame) -> DataFrame:
     """B9 from (file, text) without a shuffle."""
     lined = texts.select("file", text_lines(F.col("text")).alias("lines"))
-    both = lined.select("file", *[F.array_distinct(text_declarations(F.col("lines"), k)).alias(k) for k in ("qreg", "creg")])
+    found = lined.select("file", *[text_declarations(F.col("lines"), k).alias(k) for k in ("qreg", "creg")])
+    both = found.select("file", *[F.array_distinct(last_sizes(k)).alias(k) for k in ("qreg", "creg")])
     total = lambda k: F.aggregate(k, F.lit(0).cast("long"), lambda a, r: a + r["size"])
     return both.select("file", total("qreg").alias("n_qubits"), total("creg").alias("n_cbits"),
                        F.size("qreg").cast("long").alias("n_qregs"), F.size("creg").cast("long").alias("n_cregs"))
