@@ -44,17 +44,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], repeats: int) ->
 
 
 def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-               weights: tuple[int, ...] = (1, 2, 3), slopes: tuple[float, ...] = (-0.5, 0.0, 0.5), repeats: int = 3,
-               keep: list[str] | None = None) -> DataFrame:
-    """One row per document, in training order: doc_id, size, source, source_size, target, copies, taken, due.
+               weights: tuple[int, ...] = (1, 2, 3), slopes: tuple[float, ...] = (-0.5, 0.0, 0.5), repeats: int = 3) -> DataFrame:
+    """One row per document: doc_id, size, source, source_size, target, copies, taken, due, text_hash.
 
-    ``due`` holds the training time of each copy. ``keep`` names input columns carried along as a struct ``row``.
+    ``due`` holds the training time of each copy; ``text_hash`` tells rows with one id apart.
     """
     # the pattern counts what the word pattern matches without building the matches
     sized = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"),
                             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-                            F.col(source_col).cast("string").alias("source"),
-                            *([F.struct(*[F.col(c) for c in keep]).alias("row")] if keep else [])))
+                            F.col(source_col).cast("string").alias("source"), F.xxhash64(F.col(text_col)).alias("text_hash")))
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals, weights, repeats)
     named = (sized.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -70,15 +68,31 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     due = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda c: _time(
         F.least(F.lit(1.0), (c * F.col("source_size") + F.col("upto")) / F.greatest(quota, F.lit(1))), slope)))
     planned = chosen.withColumn("due", due).withColumn("taken", F.col("size") * F.col("copies"))
-    columns = ["doc_id", "size", "source", "source_size", "target", "copies", "taken", "due"] + (["row"] if keep else [])
-    return planned.select(*columns)
+    return planned.select("doc_id", "size", "source", "source_size", "target", "copies", "taken", "due", "text_hash")
 
 
 def _time(u, slope):
     return 2 * u / (1 - slope + F.sqrt((1 - slope) * (1 - slope) + 4 * slope * u))
 
 
-def training_order(plan: DataFrame) -> DataFrame:
-    """One row per taken copy (``copy``, ``position`` added), range-sorted by training time."""
-    copies = plan.select(*[c for c in plan.columns if c != "due"], F.posexplode("due").alias("copy", "position"))
-    return copies.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
+    """The training set: ``docs`` rows as often as the mix takes them, range-sorted by training time.
+
+    Plan and texts meet by id; rows that share id and text are numbered on both sides, so that each gets one plan row.
+    """
+    def numbered(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)))
+
+    names = [f"__{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names)],
+                       F.col(id_col).cast("long").alias("__id"), F.xxhash64(F.col(text_col)).alias("__hash"), F.col(source_col).cast("string").alias("__s"))
+    plan = (curriculum(docs, id_col, text_col, source_col, **settings).where("copies > 0")
+            .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("source").alias("__s"), "due"))
+    keys = ["__id", "__hash", "__s"]
+    a, b = numbered(rows, *keys), numbered(plan, *keys).toDF("__pid", "__phash", "__ps", "due", "__pn")
+    met = a.join(b, F.col("__id").eqNullSafe(F.col("__pid")) & (F.col("__hash") == F.col("__phash"))
+                 & F.col("__s").eqNullSafe(F.col("__ps")) & (F.col("__n") == F.col("__pn")))
+    timed = met.select(*names, F.explode("due").alias("__due"))
+    id_name = names[docs.columns.index(id_col)]
+    ordered = timed.repartitionByRange("__due", id_name).sortWithinPartitions("__due", id_name)
+    return ordered.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])

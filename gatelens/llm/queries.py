@@ -6,8 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gatelens.llm import mixing, packing, simhash, token_counts, topk
-from gatelens.llm.common import table
+from gatelens.llm import (language_model, merkle, mixing, packing, simhash, substring_dedup, suffix_dedup, token_counts,
+                          topk, toxicity)
+from gatelens.llm.common import crc_mod, table
+
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed_bytes(table(spark, sf_dir, "documents"))
+
+
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = language_model.language_scores(table(spark, sf_dir, "documents"))
+    return scored.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"),
+                         F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removed_words(table(spark, sf_dir, "documents"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edit_report(table(spark, sf_dir, "documents"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,5 +57,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_token_counts, op7_best_fit_packing, op8_mixing, op9_exact_top_k, op10_simhash)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_model, op3_toxicity, op4_substring_dedup, op5_fingerprints,
+                                   op6_token_counts, op7_best_fit_packing, op8_mixing, op9_exact_top_k, op10_simhash, pipeline)}
 ORACLES: dict[str, str] = {}

@@ -101,3 +101,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each = each.join(groups, "root").select("bits", "component_id", (F.col("all") - 1).alias("n_links"))
     return (marked.join(each, "bits")
             .select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id", "n_links"))
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
+    """``docs`` without the near-duplicates of another row: the row with a component's smallest id stays.
+
+    Of rows that share an id one stays. Rows without an id can't be named as duplicates; all of them stay.
+    """
+    grouped = near_duplicates(docs, id_col, text_col, shingle, seed)
+    kept = grouped.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    named = docs.where(F.col(id_col).isNotNull())
+    return named.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
