@@ -10,7 +10,7 @@ from gatelens.catalog import sqlviews as v
 from gatelens.catalog.common import rounded
 from gatelens.functions.lineage import cut
 from gatelens.operators import selection, splits
-from gatelens.operators.baseline import BucketBaseline, normalize_mode
+from gatelens.operators.baseline import BucketBaseline, FoldedBaseline, normalize_mode
 
 FEATS = fx.FEATURES + ["constant"]
 TARGETS = {"threshold": "log2(selected_threshold)", "runtime": "ln(1 + forward_wall_s)"}
@@ -206,15 +206,18 @@ def l6(spark, sf):
 FST = "st AS (" + _stat_levels("fold") + ")"
 
 
-@query("m25_baseline_folds", v.with_views(v.V_FEATURES, FILLED.replace("bn AS (SELECT *,", "bn0 AS (SELECT *,"), FOLDS, """
-bn AS (SELECT bn0.*, k::INTEGER AS fold FROM bn0 JOIN folds f USING (grp), range(0, 5) AS r(k) WHERE f.fold <> k)""", FST, body="""
-SELECT fold, level, mode_precision, mode_device, bin_0, bin_1, bin_2, n, majority_threshold, round(med, 6) AS median_log_runtime FROM st"""))
-def m25_baseline(spark, sf):
-    """The baseline fitted on the train part of all folds in one pass: the fold is one more key."""
-    df = _stored(spark, sf, "precision", "backend", "grp")
-    model = BucketBaseline(BUCKETS).fit_bins(df)
-    folded = splits.group_kfold(model.assign(df), "grp", 5).withColumnRenamed("fold", "own")
-    train = folded.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(4)))).where("own <> fold")
-    return rounded(model.statistics(train, ["fold"]))
+FOLD_BINS = """
+tr AS (SELECT v_features.*, k::INTEGER AS fold FROM v_features JOIN folds f USING (grp), range(-1, 5) AS r(k) WHERE k = -1 OR f.fold <> k),
+med AS (SELECT fold, quantile_cont(sum_qty, 0.5) AS m0, quantile_cont(max_price, 0.5) AS m1, quantile_cont(sum_tax, 0.5) AS m2 FROM tr GROUP BY fold),
+fl AS (SELECT tr.*, coalesce(sum_qty, m0) AS x0, coalesce(max_price, m1) AS x1, coalesce(sum_tax, m2) AS x2 FROM tr JOIN med USING (fold)),
+ed AS (SELECT fold, """ + ", ".join(f"list_sort(list_distinct(quantile_cont(x{i}, [0.0,0.2,0.4,0.6,0.8,1.0]))) AS e{i}" for i in range(3)) + """ FROM fl GROUP BY fold),
+bn AS (SELECT fl.*, """ + ", ".join(f"CAST(len(list_filter(e{i}[2:-2], lambda q: q <= x{i})) AS INTEGER) AS bin_{i}" for i in range(3)) + """ FROM fl JOIN ed USING (fold))"""
 
 
+@query("m25_baseline_folds", v.with_views(v.V_FEATURES, FOLDS, FOLD_BINS, FST, body="""
+SELECT fold, level, mode_precision, mode_device, bin_0, bin_1, bin_2, n, majority_threshold, round(med, 6) AS median_log_runtime FROM st"""))
+def m25_baseline(spark, sf):
+    """The baseline of every fold, fitted on its train part alone, and (fold -1) of all rows, in one pass over rows keyed by fold."""
+    folded = splits.group_kfold(_stored(spark, sf, "precision", "backend", "grp"), "grp", 5).withColumnRenamed("fold", "own")
+    train = folded.withColumn("fold", F.explode(F.sequence(F.lit(-1), F.lit(4)))).where("fold = -1 OR own <> fold")
+    return rounded(FoldedBaseline(BUCKETS).fit(train).tables)

@@ -42,23 +42,31 @@ def i3(spark, sf):
     return rounded(report.value_counts(_results(spark, sf), "selected_threshold"))
 
 
+def _gapped(spark, sf):
+    far = F.when(F.col("file") % 3 == 0, 5 * F.col("forward_wall_s") + 1000000).otherwise(F.col("forward_wall_s"))
+    return _results(spark, sf).withColumn("forward_wall_s", far)
+
+
 @query("i4_histogram", v.with_views(v.V_RESULTS, """
-l AS (SELECT min(forward_wall_s) AS lo, max(forward_wall_s) AS hi FROM v_results),
-b AS (SELECT least(floor((forward_wall_s - lo) / (hi - lo) * 30), 29)::INTEGER AS bin, lo, hi FROM v_results, l)""", body="""
-SELECT bin, round(lo + bin * (hi - lo) / 30, 6) AS lo, round(lo + (bin + 1) * (hi - lo) / 30, 6) AS hi, count(*) AS n FROM b GROUP BY bin, b.lo, b.hi"""))
+g AS (SELECT CASE WHEN file % 3 = 0 THEN 5 * forward_wall_s + 1000000 ELSE forward_wall_s END AS s FROM v_results),
+l AS (SELECT min(s) AS lo, max(s) AS hi FROM g),
+b AS (SELECT least(floor((s - lo) / (hi - lo) * 30), 29)::INTEGER AS bin FROM g, l)""", body="""
+SELECT r.i::INTEGER AS bin, round(lo + r.i * (hi - lo) / 30, 6) AS lo, round(lo + (r.i + 1) * (hi - lo) / 30, 6) AS hi,
+  (SELECT count(*) FROM b WHERE b.bin = r.i) AS n FROM l, range(30) r(i)"""))
 def i4(spark, sf):
-    return rounded(report.histogram(_results(spark, sf), "forward_wall_s", 30))
+    """A third of the range holds no value, so that empty bins show."""
+    return rounded(report.histogram(_gapped(spark, sf), "forward_wall_s", 30))
 
 
 @query("i5_mean_curve", v.with_views(v.V_SWEEP, body="""
-SELECT file, threshold, round(avg(fid), 6) AS mean_fidelity, round(avg(wall), 6) AS mean_wall, count(*) AS n FROM v_sweep WHERE note LIKE '%ok%' GROUP BY 1, 2"""))
+SELECT file, threshold, round(avg(fid), 6) AS mean_fidelity, round(avg(wall), 6) AS mean_wall, count(*) AS n FROM v_sweep WHERE status = 'ok' AND note LIKE '%ok%' AND fid IS NOT NULL GROUP BY 1, 2"""))
 def i5(spark, sf):
     return rounded(report.mean_curve(fx.v_sweep(spark, sf), ["file"]))
 
 
 @query("i5_mean_curve_by_family", v.with_views(v.V_SWEEP, v.V_RESULTS, body="""
 SELECT family, threshold, round(avg(fid), 6) AS mean_fidelity, round(avg(wall), 6) AS mean_wall, count(*) AS n FROM v_sweep s JOIN v_results r ON r.file = s.file
-WHERE note LIKE '%ok%' AND r.status = 'ok' GROUP BY 1, 2"""))
+WHERE note LIKE '%ok%' AND s.status = 'ok' AND fid IS NOT NULL AND r.status = 'ok' GROUP BY 1, 2"""))
 def i5_family(spark, sf):
     ok = _results(spark, sf).where("status = 'ok'").select("file", "family")
     return rounded(report.mean_curve(fx.v_sweep(spark, sf).join(ok, "file"), ["family"]))

@@ -53,7 +53,8 @@ v_sweep AS (
          CAST(2 ** (l_linenumber - 1) AS INTEGER) AS threshold,
          l_quantity / 50 AS fid, l_extendedprice / 1000 AS wall, l_extendedprice / 10 AS rss, l_tax AS p0,
          CASE WHEN l_returnflag = 'A' THEN 0 WHEN l_returnflag = 'N' THEN 1 END AS returncode,
-         CASE WHEN l_returnflag = 'R' THEN 'mirror_TimeOut' WHEN l_linestatus = 'O' THEN 'ok' END AS note
+         CASE WHEN l_returnflag = 'R' THEN 'mirror_TimeOut' WHEN l_linestatus = 'O' THEN 'ok' END AS note,
+         CASE WHEN l_orderkey % 7 = 3 THEN 'runner_failed' ELSE 'ok' END AS status
   FROM lineitem),
 kept AS (
   SELECT file, backend, precision_, threshold, arg_max_null(fid, pos) AS fid, arg_max_null(wall, pos) AS wall, arg_max_null(rss, pos) AS rss

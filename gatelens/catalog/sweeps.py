@@ -158,12 +158,9 @@ def g12(spark, sf):
 
 
 @query("g13_fidelity_drops", v.with_views(v.V_SWEEP, """
-okp AS (SELECT * FROM v_sweep WHERE note LIKE '%ok%' AND fid IS NOT NULL),
-fl AS (SELECT *, first_value(fid) OVER (PARTITION BY file, threshold ORDER BY pos) AS ff,
-       last_value(fid) OVER (PARTITION BY file, threshold ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS lf FROM okp),
-r AS (SELECT file, threshold, min(ff) AS ff, min(lf) AS lf FROM fl GROUP BY 1, 2),
-b AS (SELECT *, lag(lf) OVER (PARTITION BY file ORDER BY threshold) AS before FROM r)""", body=f"""
-SELECT {K}, threshold, round(fid, 6) AS fid, count(*) AS n FROM okp WHERE file IN (SELECT file FROM b WHERE ff < before) GROUP BY ALL"""))
+okp AS (SELECT * FROM v_sweep WHERE status = 'ok' AND note LIKE '%ok%' AND fid IS NOT NULL),
+b AS (SELECT file, fid, lag(fid) OVER (PARTITION BY file, backend, precision_ ORDER BY threshold, pos) AS before FROM okp)""", body=f"""
+SELECT {K}, threshold, round(fid, 6) AS fid, count(*) AS n FROM okp WHERE file IN (SELECT file FROM b WHERE fid < before) GROUP BY ALL"""))
 def g13(spark, sf):
     drops = sweep.fidelity_drops(_points(spark, sf))
     return drops.groupBy(*sweep.KEY, "threshold", F.round("fid", 6).alias("fid")).agg(F.count(F.lit(1)).alias("n"))

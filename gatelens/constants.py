@@ -81,15 +81,3 @@ RECOMMENDED_TEST = [
     "qftentangled_indep_qiskit_30.qasm", "qpeexact_indep_qiskit_30.qasm",
     "wstate_indep_qiskit_130.qasm",
 ]
-RECOMMENDED_TRAIN = [
-    "ae_indep_qiskit_20.qasm", "cutbell_n30_k6.qasm", "dj_indep_qiskit_15.qasm",
-    "dj_indep_qiskit_130.qasm", "ghz_indep_qiskit_15.qasm", "ghz_indep_qiskit_100.qasm",
-    "graphstate_indep_qiskit_15.qasm", "groundstate_large_indep_qiskit_14.qasm",
-    "grover-noancilla_indep_qiskit_7.qasm", "grover-v-chain_indep_qiskit_7.qasm",
-    "portfolioqaoa_indep_qiskit_10.qasm", "portfoliovqe_indep_qiskit_10.qasm",
-    "pricingcall_indep_qiskit_17.qasm", "qaoa_indep_qiskit_16.qasm", "qft_indep_qiskit_30.qasm",
-    "qft_indep_qiskit_130.qasm", "qftentangled_indep_qiskit_15.qasm", "qnn_indep_qiskit_20.qasm",
-    "qpeexact_indep_qiskit_100.qasm", "shor_15_4_indep_qiskit_18.qasm",
-    "twolocalrandom_indep_qiskit_30.qasm", "vqe_indep_qiskit_16.qasm",
-    "wstate_indep_qiskit_15.qasm", "wstate_indep_qiskit_30.qasm",
-]

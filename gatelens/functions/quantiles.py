@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatelens.functions.blocks import running_total
+from gatelens.functions.joins import join_small
 
 SKETCH_ACCURACY = 10_000
 MARGIN = 4.0 / SKETCH_ACCURACY
@@ -47,7 +48,8 @@ def quantiles_of_long(data: DataFrame, keys: list[str], probs: list[float]) -> D
             F.when(few | F.lit(lows[i] == 0.0), F.col("mn")).otherwise(F.col("ends")[i]).alias("lo"),
             F.when(few | F.lit(highs[i] == 1.0), F.col("mx")).otherwise(F.col("ends")[m + i]).alias("hi"))
         for i, p in enumerate(probs)])
-    groups = data.join(stats.select(*keys, "n", brackets.alias("brackets")), keys)
+    # few groups reach the rows as a checked broadcast, many by salted keys: no group is ever one task
+    groups = join_small(data, stats.select(*keys, "n", brackets.alias("brackets")), keys)
 
     # rows below a bracket become one counted NULL per group, rows above it are not needed
     group = [*keys, "prob", "n", "at", "lo", "hi"]

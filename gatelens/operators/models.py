@@ -47,11 +47,14 @@ class ThresholdClassifier:
     policy: str = "expected_score"
     margin: float = 0.0
     seed: int = 42
+    #: Train rows above the ladder, which count as its top rung.
+    n_capped: int = 0
     model: PipelineModel | None = None
 
     def fit(self, train: DataFrame, val: DataFrame | None = None) -> ThresholdClassifier:
         """With validation rows the ensemble size of the least log loss is kept, otherwise the largest."""
         label = F.least(rung_index(F.col("selected_threshold")), F.lit(len(RUNGS_SCORING) - 1)).cast("double")
+        self.n_capped = train.where(F.col("selected_threshold") > RUNGS_SCORING[-1]).count()
         data = train.withColumn("label", label)
         sizes = self.tree_counts if val is not None else self.tree_counts[-1:]
         best = None
@@ -168,7 +171,10 @@ class _PerRungCurve:
     def _estimator(self, train: DataFrame) -> Pipeline:
         raise NotImplementedError
 
-    def _prepare(self, df: DataFrame) -> DataFrame:
+    def _learn_inputs(self, df: DataFrame, rung: int) -> None:
+        """Whatever a rung's inputs need to learn from that rung's rows."""
+
+    def _prepare(self, df: DataFrame, rung: int) -> DataFrame:
         return df
 
     def fit(self, df: DataFrame, curve_columns: dict[int, str]) -> _PerRungCurve:
@@ -176,17 +182,19 @@ class _PerRungCurve:
         self.models = {}
         for rung, c in curve_columns.items():
             if counts[c]:
-                data = self._prepare(df.where(finite(c).isNotNull()).withColumn("label", finite(c)))
+                rows = df.where(finite(c).isNotNull()).withColumn("label", finite(c))
+                self._learn_inputs(rows, rung)
+                data = self._prepare(rows, rung)
                 self.models[rung] = self._estimator(data).fit(data)
         return self
 
     def predict_wide(self, df: DataFrame) -> DataFrame:
         """Adds curve_<rung>, clipped and non-decreasing over the rungs."""
-        out, before = self._prepare(df), F.lit(0.0)
+        out, before = df, F.lit(0.0)
         keep = list(df.columns)
         for rung in self.rungs:
             if rung in self.models:
-                scored = self.models[rung].transform(out).withColumn(f"curve_{rung}", F.col("prediction"))
+                scored = self.models[rung].transform(self._prepare(out, rung)).withColumn(f"curve_{rung}", F.col("prediction"))
                 out = scored.select(*out.columns, f"curve_{rung}")
                 value = F.least(F.greatest(F.col(f"curve_{rung}"), F.lit(0.0)), F.lit(1.0))
             else:
@@ -235,10 +243,14 @@ class FourierFeatures:
     """Random Fourier features of a Gaussian kernel: sqrt(2/D) cos(w x + b), as JVM array expressions."""
 
     n_inputs: int
-    n_components: int = 48
+    #: By default 48, or as many as there are inputs if they are more.
+    n_components: int | None = None
     length_scale: float = 2.0
     seed: int = 42
 
+    def __post_init__(self) -> None:
+        self.n_components = self.n_components or max(48, self.n_inputs)
+
     def expression(self, x: Column) -> Column:
         rng = np.random.default_rng(self.seed)
         w = rng.normal(0.0, 1.0 / self.length_scale, (self.n_components, self.n_inputs))
@@ -258,19 +270,21 @@ def _scaler(kind: str):
 
 @dataclass
 class KernelCurveModel(_PerRungCurve):
-    """Per rung a Gaussian-kernel regression through random features; uses all rows."""
+    """Per rung a scaler and a Gaussian-kernel regression through random features; uses all rows of the rung."""
 
     features: list[str]
     rungs: list[int] = field(default_factory=lambda: list(RUNGS_SCORING))
     ridge: float = 0.001
-    scaler: PipelineModel | None = None
+    n_components: int | None = None
+    scalers: dict[int, PipelineModel] = field(default_factory=dict)
     models: dict[int, PipelineModel] = field(default_factory=dict)
 
-    def _prepare(self, df: DataFrame) -> DataFrame:
-        if self.scaler is None:
-            self.scaler = Pipeline(stages=[_assembler(self.features, "raw_features"), _scaler("standard")]).fit(df)
-        scaled = self.scaler.transform(df).drop("raw_features")
-        z = FourierFeatures(len(self.features)).expression(vector_to_array("scaled"))
+    def _learn_inputs(self, df: DataFrame, rung: int) -> None:
+        self.scalers[rung] = Pipeline(stages=[_assembler(self.features, "raw_features"), _scaler("standard")]).fit(df)
+
+    def _prepare(self, df: DataFrame, rung: int) -> DataFrame:
+        scaled = self.scalers[rung].transform(df).drop("raw_features")
+        z = FourierFeatures(len(self.features), self.n_components).expression(vector_to_array("scaled"))
         return scaled.withColumn("features", array_to_vector(z)).drop("scaled")
 
     def _estimator(self, train: DataFrame) -> Pipeline:
@@ -395,6 +409,7 @@ class KernelRuntimeModel:
         return scaled.withColumn("features", array_to_vector(z)).drop("raw_features", "scaled")
 
     def fit(self, train: DataFrame, threshold: str = "selected_threshold") -> KernelRuntimeModel:
+        self.scaler = None
         valid = train.where(finite("forward_wall_s") > 0).withColumn("label", F.log1p(d(F.col("forward_wall_s"))))
         data = self._prepare(valid, threshold)
         self.model = Pipeline(stages=[LinearRegression(regParam=self.ridge, elasticNetParam=0.0)]).fit(data)

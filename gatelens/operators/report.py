@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatelens.functions.exprs import finite, pearson
+from gatelens.functions.joins import join_small
 from gatelens.functions.quantiles import exact_quantiles
 from gatelens.operators.sweep import KEY
 
@@ -49,7 +50,7 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
-    """I4: (bin, lo, hi, n) of equal width over the finite range; the last bin is closed, empty bins are left out."""
+    """I4: (bin, lo, hi, n) of equal width over the finite range, empty bins included; the last bin is closed."""
     x = df.select(finite(column).alias("x")).where("x IS NOT NULL")
     lo, hi = x.agg(F.min("x")).scalar(), x.agg(F.max("x")).scalar()
     ends = x.select("x", lo.alias("mn"), hi.alias("mx"))
@@ -58,13 +59,17 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
                        F.when(same, F.col("mx") + 0.5).otherwise(F.col("mx")).alias("hi"))
     slot = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int")
     width = (F.col("hi") - F.col("lo")) / bins
-    return ends.groupBy(slot.alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("n")).select(
-        "bin", (F.col("lo") + F.col("bin") * width).alias("lo"), (F.col("lo") + (F.col("bin") + 1) * width).alias("hi"), "n")
+    counts = ends.groupBy(slot.alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
+    every = ends.groupBy("lo", "hi").agg(F.sequence(F.lit(0), F.lit(bins - 1)).alias("bin")).withColumn("bin", F.explode("bin"))
+    return every.join(counts.select("bin", "n"), "bin", "left").select(
+        "bin", (F.col("lo") + F.col("bin") * width).alias("lo"), (F.col("lo") + (F.col("bin") + 1) * width).alias("hi"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def mean_curve(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean fidelity and wall seconds per keys and rung over points noted ok."""
-    return points.where(F.col("note").contains("ok")).groupBy(*keys, "threshold").agg(
+    """Mean fidelity and wall seconds per keys and rung over points of ok runs noted ok that have a fidelity."""
+    ok = (F.col("status") == "ok") & F.col("note").contains("ok") & F.col("fid").isNotNull()
+    return points.where(ok).groupBy(*keys, "threshold").agg(
         F.avg("fid").alias("mean_fidelity"), F.avg("wall").alias("mean_wall"), F.count(F.lit(1)).alias("n"))
 
 
@@ -109,7 +114,7 @@ def box_summary(df: DataFrame, column: str, by: str) -> DataFrame:
     quart = q.groupBy("grp").agg(at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"))
     x, iqr = F.col(column), F.col("q3") - F.col("q1")
     inside = (x >= F.col("q1") - 1.5 * iqr) & (x <= F.col("q3") + 1.5 * iqr)
-    return data.join(quart, "grp").groupBy("grp", "q1", "median", "q3").agg(
+    return join_small(data, quart, ["grp"]).groupBy("grp", "q1", "median", "q3").agg(
         F.min(F.when(inside, x)).alias("whisker_low"), F.max(F.when(inside, x)).alias("whisker_high"),
         F.count(F.when(~inside, 1)).alias("n_outliers"), F.count(F.lit(1)).alias("n"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gatelens.constants import RECOMMENDED_TEST
 from gatelens.functions.blocks import position
+from gatelens.functions.joins import join_salted
 
 BUCKET_DIGITS = 3
 
@@ -22,7 +23,7 @@ def _bucket():
 
 
 def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
-    """K1: (group, n, fold): groups in order of size, dealt out back and forth over k folds.
+    """K1: (group, n, fold): groups in order of size, dealt out back and forth over k folds, or as many as there are groups.
 
     Groups are ranked in blocks of (size, hash prefix), so not even a billion groups are sorted in one task.
     """
@@ -31,13 +32,14 @@ def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
     block = -F.col("n") * F.lit(16 ** BUCKET_DIGITS) + _bucket()
     one = sizes.withColumn("__all", F.lit(0))
     ranked = position(one, ["__all"], block, [F.col("n").desc(), "h", group], "rank")
-    seat = F.pmod(F.col("rank") - 1, F.lit(2 * k))
-    return ranked.select(group, "n", F.least(seat, 2 * k - 1 - seat).cast("int").alias("fold"))
+    folds = F.greatest(F.least(F.lit(k), sizes.agg(F.count(F.lit(1))).scalar()), F.lit(1))
+    seat = F.pmod(F.col("rank") - 1, 2 * folds)
+    return ranked.select(group, "n", F.least(seat, 2 * folds - 1 - seat).cast("int").alias("fold"))
 
 
 def group_kfold(df: DataFrame, group: str, k: int = 5) -> DataFrame:
     """K1: the rows with their test fold."""
-    return df.join(group_folds(df, group, k).drop("n"), group)
+    return join_salted(df, group_folds(df, group, k).drop("n"), [group])
 
 
 def group_holdout(df: DataFrame, group: str, frac: float = 0.2, seed: int = 42) -> DataFrame:
@@ -77,7 +79,7 @@ def build_splits(df: DataFrame, key: str, group: str, k: int = 5, frac: float =
     together in one pass over the groups.
     """
     groups = group_folds(df, group, k).drop("n")
-    folds = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold")
+    folds = F.explode(F.sequence(F.lit(0), groups.agg(F.coalesce(F.max("fold"), F.lit(0))).scalar())).alias("fold")
     each = groups.withColumnRenamed("fold", "own").select(group, "own", folds)
     train = _hashed(each.where("own <> fold").withColumn("salt", F.col("fold") + seed), group)
     train = train.withColumn("h", F.md5(F.concat(F.col(group).cast("string"), F.lit("#"), F.col("salt").cast("string"))))
@@ -86,7 +88,7 @@ def build_splits(df: DataFrame, key: str, group: str, k: int = 5, frac: float =
     role = F.when((F.col("g") >= 3) & (F.col("rank") <= F.ceil(F.col("g") * frac)), "val").otherwise("train")
     parts = ranked.join(F.broadcast(sizes), "fold").select(group, "fold", role.alias("role"))  # one row per fold
     parts = parts.unionByName(each.where("own = fold").select(group, "fold", F.lit("test").alias("role")))
-    return df.select(F.col(key).alias("row_key"), group).join(parts, group).select("row_key", "fold", "role")
+    return join_salted(df.select(F.col(key).alias("row_key"), group), parts, [group]).select("row_key", "fold", "role")
 
 
 def eval_labels_by_fold(rows: DataFrame, label: str) -> DataFrame:

@@ -198,16 +198,18 @@ def add_sweep_features(frame: DataFrame, sweep: DataFrame) -> DataFrame:
 
 
 def fidelity_drops(points: DataFrame) -> DataFrame:
-    """Points of the configurations whose fidelity falls while the rung rises; ok points only.
+    """Points of the configurations whose fidelity falls from one point to the next in order of rung and record.
 
-    Each rung is reduced to its first and last recorded point; a fall is a first point below the last point of the
-    rung before it.
+    Only ok points of ok runs count. A fall is a point below the one before it within its rung, or a rung's first point
+    below the last point of the rung before it.
     """
-    ok = points.where(F.col("note").contains("ok") & F.col("fid").isNotNull())
+    ok = points.where((F.col("status") == "ok") & F.col("note").contains("ok") & F.col("fid").isNotNull())
     order = Window.partitionBy(*KEY).orderBy("threshold")
     rungs = ok.groupBy(*KEY, "threshold").agg(F.min_by("fid", "pos").alias("first"), F.max_by("fid", "pos").alias("last"))
     between = rungs.withColumn("before", F.lag("last").over(order)).where(F.col("first") < F.col("before")).select(*KEY)
-    return ok.join(between.distinct(), KEY, "left_semi")
+    recorded = Window.partitionBy(*KEY, "threshold").orderBy("pos")
+    inside = ok.withColumn("before", F.lag("fid").over(recorded)).where(F.col("fid") < F.col("before")).select(*KEY)
+    return ok.join(between.unionByName(inside).distinct(), KEY, "left_semi")
 
 
 def timing_decomposition(results: DataFrame, shots_forward: int = 10000, shots_setup: int = 1) -> DataFrame:
