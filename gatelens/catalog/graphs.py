@@ -10,7 +10,7 @@ from gatelens.catalog import sqlviews as v
 from gatelens.catalog.common import rounded
 from gatelens.constants import FAMILY_RULES
 from gatelens.functions.lineage import cut
-from gatelens.operators import cuts, depth, elimination, family, gatemix, graph, graph_rounds, neighbours, splits
+from gatelens.operators import cuts, depth, elimination, family, gatemix, graph, graph_search, neighbours, splits
 
 # ------------------------------------------------------------------ layers
 
@@ -109,7 +109,7 @@ SMALL_RECURSIVE = "WITH RECURSIVE " + ",".join(SMALL) + "," + REACH
 SELECT file, count(*)::DOUBLE AS graph_n_components, round(max(size) / 8.0::DOUBLE, 6) AS graph_largest_component_frac FROM sizes GROUP BY file""")
 def e4(spark, sf):
     edges, spine = _small_graph(spark, sf)
-    return rounded(graph_rounds.components(graph_rounds.component_labels(edges, spine), spine))
+    return rounded(graph_search.components(graph_search.component_labels(edges, spine), spine))
 
 
 @query("e5_avg_clustering", v.with_views(*BASE, v.NODES, """
@@ -145,17 +145,50 @@ SELECT n.file, CAST(n.node AS INTEGER) AS node, CAST(coalesce(max(k), 0) AS INTE
 
 @query("e6_core_numbers", E6_SQL)
 def e6(spark, sf):
-    return graph_rounds.core_numbers(*_small_graph(spark, sf))
+    return graph_search.core_numbers(*_small_graph(spark, sf))
 
 
-@query("e7_elimination_width")
+# Neighbours of each of the eight qubits as bits; recursive queries take one qubit out of every circuit per step.
+MASKS = """
+bits AS (SELECT file, u AS node, sum(DISTINCT 1 << v) AS m FROM (SELECT file, u, v FROM edges WHERE u <> v UNION ALL SELECT file, v, u FROM edges WHERE u <> v) GROUP BY 1, 2),
+masks AS (SELECT s.file, list(coalesce(m, 0)::BIGINT ORDER BY r.i) AS masks FROM spine s CROSS JOIN range(8) r(i) LEFT JOIN bits b ON b.file = s.file AND b.node = r.i GROUP BY 1)"""
+DEGREE_PICK = "list_min(list_transform(list_filter(range(8), lambda i: (rest >> i) & 1 = 1), lambda i: bit_count(masks[i + 1] & rest) * 8 + i)) % 8"
+FILL_PICK = """list_min(list_transform(list_filter(range(8), lambda i: (rest >> i) & 1 = 1), lambda i: bit_count(masks[i + 1] & rest) * 10 + i + 1000 *
+  coalesce(list_sum(list_transform(list_filter(range(8), lambda o: ((masks[i + 1] & rest) >> o) & 1 = 1),
+    lambda o: bit_count(masks[i + 1] & rest) - 1 - bit_count(masks[i + 1] & masks[o + 1] & rest))), 0)::BIGINT)) % 10"""
+
+
+def _eliminate(name, pick):
+    """Rows (file, width) of eliminating with fill-in."""
+    return f"""
+{name}_steps AS (SELECT file, masks, 255::BIGINT AS rest, 0::BIGINT AS width FROM masks UNION ALL
+  SELECT file, list_transform(range(8), lambda i: CASE WHEN (around >> i) & 1 = 1 THEN (masks[i + 1] | around) - (1 << i) ELSE masks[i + 1] END),
+    rest - (1 << q), greatest(width, bit_count(around))::BIGINT
+  FROM (SELECT *, masks[q + 1] & rest AS around FROM (SELECT *, ({pick})::INTEGER AS q FROM {name}_steps WHERE rest > 0))),
+{name} AS (SELECT file, width FROM {name}_steps WHERE rest = 0)"""
+
+
+@query("e7_elimination_width", "WITH RECURSIVE " + ",".join([*SMALL, MASKS, _eliminate("by_degree", DEGREE_PICK), _eliminate("by_fill", FILL_PICK)]) + """
+SELECT file, a.width::DOUBLE AS graph_treewidth_min_degree, b.width::DOUBLE AS graph_treewidth_min_fill FROM by_degree a JOIN by_fill b USING (file)""")
 def e7(spark, sf):
-    return elimination.elimination_width(*_graph(spark, sf))
+    return elimination.elimination_width(*_small_graph(spark, sf))
+
+
+ORDERED = "WITH RECURSIVE " + ",".join([*SMALL, MASKS]) + f""",
+taken AS (SELECT file, masks, 255::BIGINT AS rest, -1 AS node, -1 AS pos FROM masks UNION ALL
+  SELECT file, masks, rest - (1 << q), q, pos + 1 FROM (SELECT *, ({DEGREE_PICK})::INTEGER AS q FROM taken WHERE rest > 0)),
+placed AS (SELECT e.file, least(a.pos, b.pos) AS lo, greatest(a.pos, b.pos) AS hi FROM edges e
+  JOIN taken a ON a.file = e.file AND a.node = e.u JOIN taken b ON b.file = e.file AND b.node = e.v WHERE e.u <> e.v)"""
 
 
-@query("e8_min_degree_order")
+@query("e8_min_degree_order", ORDERED + " SELECT file, node, pos FROM taken WHERE pos >= 0")
 def e8(spark, sf):
-    return elimination.min_degree_order(*_graph(spark, sf))
+    return elimination.min_degree_order(*_small_graph(spark, sf))
+
+
+def _heuristic(spark, sf):
+    edges, spine = _small_graph(spark, sf)
+    return graph.ordered_edges(edges, elimination.min_degree_order(edges, spine)), spine
 
 
 @query("e9_bandwidth", v.with_views(*BASE, body="""
@@ -165,13 +198,22 @@ def e9(spark, sf):
     return graph.bandwidth(graph.natural_order(edges), spine, "natural").select("file", "graph_bandwidth_natural")
 
 
-@query("e9_bandwidth_heuristic")
+@query("e9_bandwidth_heuristic", ORDERED + """
+SELECT file, coalesce(max(hi - lo), 0)::DOUBLE AS graph_bandwidth_heuristic, coalesce(sum(hi - lo), 0)::DOUBLE AS graph_linear_arrangement_heuristic
+FROM spine LEFT JOIN placed USING (file) GROUP BY file""")
 def e9h(spark, sf):
-    edges, spine = _graph(spark, sf)
-    placed = graph.ordered_edges(edges, elimination.min_degree_order(edges, spine))
+    placed, spine = _heuristic(spark, sf)
     return graph.bandwidth(placed, spine, "heuristic")
 
 
+@query("e10_cutwidth_heuristic", ORDERED + """,
+x AS (SELECT file, unnest(range(lo + 1, hi + 1)) AS cut FROM placed), c AS (SELECT file, cut, count(*) AS n FROM x GROUP BY 1, 2)
+SELECT file, coalesce(max(n), 0)::DOUBLE AS graph_cutwidth_heuristic FROM spine LEFT JOIN c USING (file) GROUP BY file""")
+def e10h(spark, sf):
+    placed, spine = _heuristic(spark, sf)
+    return graph.cutwidth(placed, spine, "heuristic")
+
+
 @query("e10_cutwidth", v.with_views(*BASE, """
 x AS (SELECT file, unnest(range(u + 1, v + 1)) AS cut FROM edges), c AS (SELECT file, cut, count(*) AS n FROM x GROUP BY 1, 2)""", body="""
 SELECT file, coalesce(max(n), 0)::DOUBLE AS graph_cutwidth_natural FROM spine LEFT JOIN c USING (file) GROUP BY file"""))
@@ -222,7 +264,7 @@ SELECT file, round(coalesce(avg(dist), 0), 6) AS graph_avg_shortest_path, coales
 FROM spine LEFT JOIN pairs USING (file) GROUP BY file""")
 def e15(spark, sf):
     edges, spine = _small_graph(spark, sf)
-    return rounded(graph_rounds.path_metrics(edges, spine, graph_rounds.component_labels(edges, spine)))
+    return rounded(graph_search.path_metrics(edges, spine))
 
 
 @query("e16_edge_weight_stats", v.with_views(*BASE, body="""
@@ -246,10 +288,14 @@ def e17(spark, sf):
     return graph.topology_flags(edges, graph.degrees(edges, spine), spine)
 
 
-@query("e18_arboricity_bound")
+@query("e18_arboricity_bound", E6_SQL.replace("SELECT n.file, CAST(n.node AS INTEGER) AS node", ", core AS (SELECT n.file, CAST(n.node AS INTEGER) AS node", 1) + """),
+ce AS (SELECT e.file, least(a.core, b.core) AS k FROM edges e JOIN core a ON a.file = e.file AND a.node = e.u JOIN core b ON b.file = e.file AND b.node = e.v WHERE e.u <> e.v),
+pk AS (SELECT file, r.k, (SELECT count(*) FROM ce WHERE ce.file = s.file AND ce.k >= r.k) AS e, (SELECT count(*) FROM core c WHERE c.file = s.file AND c.core >= r.k) AS n
+  FROM spine s, range(8) r(k))
+SELECT file, max(CASE WHEN n > 1 THEN ceil(e / (n - 1)) ELSE 0 END)::DOUBLE AS graph_arboricity FROM pk GROUP BY file""")
 def e18(spark, sf):
     edges, spine = _small_graph(spark, sf)
-    return graph_rounds.arboricity_bound(edges, graph_rounds.core_numbers(edges, spine), spine)
+    return graph_search.arboricity_bound(edges, graph_search.core_numbers(edges, spine), spine)
 
 
 # ------------------------------------------------------------------ families

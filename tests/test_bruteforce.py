@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from gatelens.functions import quantiles
-from gatelens.operators import cuts, depth, graph, graph_rounds, neighbours
+from gatelens.operators import cuts, depth, graph, graph_search, neighbours
 
 NAMES = {"h": 1, "cx": 2, "ccx": 3}
 
@@ -71,10 +71,10 @@ def test_rounds(spark):
     n, graphs = 70, sparse_graphs(3)
     edges = spark.createDataFrame([(f, u, v, 1) for f, es in graphs.items() for u, v in es], "file int, u int, v int, weight long").cache()
     spine = spark.createDataFrame([(f, n) for f in graphs], "file int, n_qubits int").cache()
-    labels = graph_rounds.component_labels(edges, spine)
+    labels = graph_search.component_labels(edges, spine)
     got_label = {(r.file, r.node): r.label for r in labels.collect()}
-    got_core = {(r.file, r.node): r.core for r in graph_rounds.core_numbers(edges, spine).collect()}
-    got_path = {r.file: r for r in graph_rounds.path_metrics(edges, spine, labels).collect()}
+    got_core = {(r.file, r.node): r.core for r in graph_search.core_numbers(edges, spine).collect()}
+    got_path = {r.file: r for r in graph_search.path_metrics(edges, spine).collect()}
     got_cl = {r.file: r.graph_avg_clustering for r in graph.avg_clustering(edges, graph.degrees(edges, spine), spine).collect()}
     for f, es in graphs.items():
         adj = {q: set() for q in range(n)}

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from gatelens.operators import cuts, depth, elimination, family, gatemix, graph, graph_rounds, qasm
+from gatelens.operators import cuts, depth, elimination, family, gatemix, graph, graph_search, qasm
 from gatelens.plans.features import features_from_texts
 
 HEAD = 'OPENQASM 2.0;\ninclude "qelib1.inc";\n'
@@ -127,19 +127,19 @@ def test_graph(edges, spine):
     assert (st["star"].graph_max_degree, st["star"].graph_median_degree, st["repeat"].graph_max_wdegree) == (4.0, 1.0, 3.0)
     cl = rows(graph.avg_clustering(edges, deg, spine), "file")
     assert (cl["k4"].graph_avg_clustering, cl["star"].graph_avg_clustering, cl["ccx"].graph_avg_clustering) == (1.0, 0.0, 1.0)
-    labels = graph_rounds.component_labels(edges, spine)
-    comp = rows(graph_rounds.components(labels, spine), "file")
+    labels = graph_search.component_labels(edges, spine)
+    comp = rows(graph_search.components(labels, spine), "file")
     assert (comp["pairs"].graph_n_components, comp["ghz"].graph_n_components) == (4.0, 1.0)
-    paths = rows(graph_rounds.path_metrics(edges, spine, labels), "file")
+    paths = rows(graph_search.path_metrics(edges, spine), "file")
     assert (paths["ghz"].graph_diameter, paths["star"].graph_diameter, paths["k4"].graph_avg_shortest_path) == (3.0, 2.0, 1.0)
     assert paths["ghz"].graph_avg_shortest_path == pytest.approx(10 / 6)
-    core = graph_rounds.core_numbers(edges, spine)
-    deg_core = rows(graph_rounds.degeneracy(core, spine), "file")
+    core = graph_search.core_numbers(edges, spine)
+    deg_core = rows(graph_search.degeneracy(core, spine), "file")
     width = rows(elimination.elimination_width(edges, spine), "file")
     assert (deg_core["k4"].graph_degeneracy, deg_core["star"].graph_degeneracy) == (3.0, 1.0)
     assert (width["k4"].graph_treewidth_min_degree, width["ghz"].graph_treewidth_min_fill, width["one"].graph_treewidth_min_fill) == (3.0, 1.0, 0.0)
     assert all(deg_core[f].graph_degeneracy <= width[f].graph_treewidth_min_degree for f in width)
-    arb = rows(graph_rounds.arboricity_bound(edges, core, spine), "file")
+    arb = rows(graph_search.arboricity_bound(edges, core, spine), "file")
     assert (arb["k4"].graph_arboricity, arb["ghz"].graph_arboricity) == (2.0, 1.0)
     flags = rows(graph.topology_flags(edges, deg, spine), "file")
     assert (flags["ghz"].is_nearest_neighbor, flags["star"].is_star_topology, flags["k4"].is_all_to_all, flags["one"].is_nearest_neighbor) == (1.0, 1.0, 1.0, 0.0)
