@@ -63,7 +63,7 @@ def chunked(docs: DataFrame, most: int = 4 << 20, keep: list[str] | None = None)
             with pa.ipc.new_stream(sink, rows.select(keep).schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(rows.select(keep))
             rest = sink.getvalue().to_pybytes()
-        blob = zstandard.ZstdCompressor(level=3).compress(data.tobytes())
+        blob = zstandard.ZstdCompressor(level=6).compress(data.tobytes())
         return pa.RecordBatch.from_pylist([{"chunk": number, "size": len(data), "ids": rows["doc_id"].to_pylist(),
                                             "ends": ends.astype("<i8").tobytes(), "blob": blob, "rest": rest}], SCHEMA)
 
@@ -160,6 +160,20 @@ def ask(chunks: DataFrame, question: Callable[[Chunk], Question], n_payloads: in
     return chunks.mapInArrow(run, question_ddl(n_payloads))
 
 
+def with_note(chunk: int, note: bytes, asked: pa.RecordBatch | None, n_payloads: int) -> pa.Table:
+    """Question rows with a chunk's note to itself: a row of a shard of its own below zero, which is answered unchanged.
+
+    So what a chunk has worked out travels along with its questions, in one lineage over one shuffled chunk table.
+    """
+    own = pa.table({"shard": pa.array([-1 - chunk], pa.int64()), "chunk": pa.array([chunk], pa.int64()), "keys": pa.array([note], pa.binary()),
+                    **{f"p{i}": pa.array([None], pa.binary()) for i in range(n_payloads)}})
+    return own if asked is None else pa.concat_tables([own, pa.Table.from_batches([asked])])
+
+
+def is_note(table: pa.Table) -> bool:
+    return table["shard"][0].as_py() < 0
+
+
 def merged(table: pa.Table, n_payloads: int, wide: tuple[int, ...] = (), bits: int = 64) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """All questions of one shard: keys per row, keys, payloads (``wide`` ones are 64-bit hashes)."""
     keys = [np.frombuffer(k, "<u8") if bits == 64 else unpacked(k) for k in table["keys"].to_pylist()]

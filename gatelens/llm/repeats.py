@@ -6,11 +6,14 @@ share one gram occurrence; such a run of windows is a *block*. Equal windows hav
 1. Each chunk asks about its distinct gram values, with a signature of the block (or "several") and the least document id.
    A shard answers per chunk: nothing earlier; the block is the only one with this gram and occurs earlier; or there are
    several blocks with this gram, in this chunk alone or in others too.
-2. Only blocks with a several-answer are taken apart into windows. A chunk settles what it can by itself and asks about
-   the rest, one entry per distinct window, keyed by hashes of the window's digits (consecutive parts). A shard sorts its
-   windows digit by digit, dropping windows that are alone after a digit; equal groups after the last digit are exactly
-   the repeated windows. It answers with the windows that occur in a document with a smaller id.
-3. Chunks gather the removed windows of both steps as spans.
+2. Only blocks with a several-answer are cut into short runs of windows, aligned to the gram; a run's next digit is its core,
+   the symbols that all of its windows hold, and its content is its signature. The same question again drops all runs but
+   those at the edges of what two places share.
+3. What still has several contents is taken apart into windows. A chunk settles what it can by itself and asks about the rest,
+   one entry per distinct window, keyed by hashes of the window's digits (consecutive parts). A shard sorts its windows digit
+   by digit, dropping windows that are alone after a digit; equal groups after the last digit are exactly the repeated
+   windows. It answers with the windows that occur in a document with a smaller id.
+4. Chunks gather the removed windows of all steps as spans.
 
 Windows are compared by 128 bits of hash. A key counts once per chunk, so copies by the thousand cost no more than one per
 chunk. Rows that share an id are not compared with each other; null ids come last, after all numbers.
@@ -18,14 +21,13 @@ chunk. Rows that share an id are not compared with each other; null ids come las
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gatelens.functions.lineage import cut
 from gatelens.llm import chunks as ch
 from gatelens.llm.common import Rolling, mix
 
@@ -42,6 +44,8 @@ class Windows:
     symbols: Callable[[ch.Chunk, int, int], tuple[np.ndarray, np.ndarray]]
     length: int
     gram: int
+    #: Windows in a run of step 2.
+    run: int
     digits: int
     #: Whether a window that starts earlier in the same document counts.
     same_document: bool
@@ -54,9 +58,22 @@ class Blocks:
     row: np.ndarray
     first: np.ndarray
     last: np.ndarray
+    anchor: np.ndarray
 
     def take(self, at: np.ndarray) -> Blocks:
-        return Blocks(self.gram[at], self.signature[at], self.row[at], self.first[at], self.last[at])
+        return Blocks(*(getattr(self, f)[at] for f in FIELDS))
+
+
+FIELDS = ("gram", "signature", "row", "first", "last", "anchor")
+
+
+def joined_blocks(parts: list[Blocks]) -> Blocks:
+    """Blocks of several slices by gram, signature, document and place."""
+    if not parts:
+        none = np.zeros(0, np.int64)
+        return Blocks(none.astype(np.uint64), none.astype(np.uint64), none, none, none, none)
+    b = Blocks(*(np.concatenate([getattr(p, f) for p in parts]) for f in FIELDS))
+    return b.take(np.lexsort((b.first, b.row, b.signature, b.gram)))
 
 
 def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
@@ -91,7 +108,7 @@ def slice_blocks(symbols: np.ndarray, offsets: np.ndarray, w: Windows) -> Blocks
     at = anchor[first]
     signature = mix(roll.slices(first, ends + w.length) ^ ((at - first).astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
     row = np.searchsorted(offsets, first, "right") - 1
-    return Blocks(gram[at], signature | np.uint64(1), row, first - offsets[row], ends - offsets[row])
+    return Blocks(gram[at], signature | np.uint64(1), row, first - offsets[row], ends - offsets[row], at - offsets[row])
 
 
 def chunk_blocks(chunk: ch.Chunk, w: Windows) -> Blocks:
@@ -102,11 +119,35 @@ def chunk_blocks(chunk: ch.Chunk, w: Windows) -> Blocks:
         if found:
             found.row = found.row + i
             parts.append(found)
-    if not parts:
-        none = np.zeros(0, np.int64)
-        return Blocks(none.astype(np.uint64), none.astype(np.uint64), none, none, none)
-    b = Blocks(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("gram", "signature", "row", "first", "last")))
-    return b.take(np.lexsort((b.first, b.row, b.signature, b.gram)))
+    return joined_blocks(parts)
+
+
+def runs_of(chunk: ch.Chunk, b: Blocks, w: Windows) -> Blocks:
+    """Blocks cut into runs of windows: a run's gram is the hash of its core, its place under the block's gram, and that gram."""
+    parts = []
+    b = b.take(np.argsort(b.row, kind="stable"))
+    for i, j in chunk.slices(SLICE):
+        lo, hi = np.searchsorted(b.row, [i, j])
+        if lo == hi:
+            continue
+        symbols, offsets = w.symbols(chunk, i, j)
+        roll = Rolling(symbols)
+        p = b.take(np.arange(lo, hi))
+        base = offsets[p.row - i]
+        # runs are numbered by how far a window starts before the gram, so they fall alike wherever the gram stands
+        low, high = (p.anchor - p.last) // w.run, (p.anchor - p.first) // w.run
+        n = high - low + 1
+        at = np.repeat(np.arange(len(n)), n)
+        number = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        anchor, base = p.anchor[at], base[at]
+        first = np.maximum(p.first[at], anchor - number * w.run - w.run + 1)
+        last = np.minimum(p.last[at], anchor - number * w.run)
+        core = roll.slices(base + anchor - number * w.run, base + anchor - number * w.run - w.run + 1 + w.length)
+        gram = mix(core ^ mix(p.gram[at] + number.astype(np.uint64)))
+        whole = roll.slices(base + first, base + last + w.length)
+        signature = mix(whole ^ ((anchor - first).astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+        parts.append(Blocks(gram, signature | np.uint64(1), p.row[at], first, last, anchor))
+    return joined_blocks(parts)
 
 
 def starts_of(*keys: np.ndarray) -> np.ndarray:
@@ -157,13 +198,12 @@ def settled_here(keys: tuple[np.ndarray, ...], ids: np.ndarray, row: np.ndarray,
     return gone, (~gone) & (ids == least)
 
 
-def window_digits(chunk: ch.Chunk, b: Blocks, code: np.ndarray, w: Windows) -> tuple[np.ndarray, ...]:
-    """(digit hashes of shape (digits, n), row, start, whether other chunks hold the gram) of each window to take apart."""
-    digits, rows, places, shared = [], [], [], []
+def window_digits(chunk: ch.Chunk, b: Blocks, shared: np.ndarray, w: Windows) -> tuple[np.ndarray, ...]:
+    """(digit hashes of shape (digits, n), row, start, ``shared`` of its block) of every window of the given blocks."""
+    digits, rows, places, marks = [], [], [], []
     cuts = np.linspace(0, w.length, w.digits + 1).astype(np.int64)
-    several = np.flatnonzero(code >= SEVERAL)
-    several = several[np.argsort(b.row[several], kind="stable")]
-    b, code = b.take(several), code[several]
+    order = np.argsort(b.row, kind="stable")
+    b, shared = b.take(order), shared[order]
     for i, j in chunk.slices(SLICE):
         lo, hi = np.searchsorted(b.row, [i, j])
         if lo == hi:
@@ -177,10 +217,10 @@ def window_digits(chunk: ch.Chunk, b: Blocks, code: np.ndarray, w: Windows) -> t
         digits.append(np.stack([roll.slices(at + x, at + y) for x, y in zip(cuts, cuts[1:])]))
         rows.append(row)
         places.append(place)
-        shared.append(np.repeat(code[lo:hi] == SEVERAL, n))
+        marks.append(np.repeat(shared[lo:hi], n))
     if not digits:
         return np.zeros((w.digits, 0), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    return np.concatenate(digits, axis=1), np.concatenate(rows), np.concatenate(places), np.concatenate(shared)
+    return np.concatenate(digits, axis=1), np.concatenate(rows), np.concatenate(places), np.concatenate(marks)
 
 
 def radix_groups(digits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +243,9 @@ def radix_groups(digits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def window_answers(t: pa.Table, digits: int) -> pa.Table:
-    """Spans rows: the windows of one shard that occur in a document with a smaller id, by asking chunk."""
+    """Spans rows: the windows of one shard that occur in a document with a smaller id, by asking chunk; notes pass."""
+    if ch.is_note(t):
+        return t.select(["chunk", "shard", "keys"]).rename_columns(["chunk", "shard", "answer"])
     sizes, keys, payloads = ch.merged(t, digits + 3, wide=tuple(range(digits)))
     chunk = np.repeat(t["chunk"].to_numpy(), sizes)
     least, row, place = payloads[digits:]
@@ -220,18 +262,13 @@ def window_answers(t: pa.Table, digits: int) -> pa.Table:
                      "answer": pa.array([r[1] for r in rows], pa.binary())})
 
 
-def span_bytes(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> bytes:
-    """Runs of window starts, neighbours joined; entries come sorted by row and first."""
-    if not len(row):
-        return b""
-    joined = np.ones(len(row), bool)
-    joined[1:] = (row[1:] != row[:-1]) | (first[1:] > last[:-1] + 1)
-    start = np.flatnonzero(joined)
-    parts = [ch.packed(x) for x in (row[start], first[start], np.maximum.reduceat(last, start))]
+def bundle(*arrays: np.ndarray) -> bytes:
+    """Integer arrays one after another (64-bit hashes keep their bits)."""
+    parts = [ch.packed(x.astype(np.int64) if x.dtype != np.uint64 else x.view(np.int64)) for x in arrays]
     return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
 
 
-def spans_of(data: bytes) -> list[np.ndarray]:
+def unbundle(data: bytes) -> list[np.ndarray]:
     out = []
     while data:
         n = int.from_bytes(data[:4], "little")
@@ -240,52 +277,77 @@ def spans_of(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def settle_chunk(chunk: ch.Chunk, codes: np.ndarray, b: Blocks, w: Windows) -> tuple[bytes, ch.Question]:
-    """What a chunk knows after the grams' answers: spans for certain, and its question about windows."""
-    count = np.diff(np.append(starts_of(b.gram), len(b.gram)))
-    code = np.repeat(codes, count) if len(codes) else np.zeros(0, np.uint8)
-    ids = chunk.order[b.row]
-    gone, _ = settled_here((b.gram,), ids, b.row, w.same_document)
+def span_bytes(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> bytes:
+    """Runs of window starts, neighbours joined; entries come sorted by row and first."""
+    if not len(row):
+        return b""
+    joined = np.ones(len(row), bool)
+    joined[1:] = (row[1:] != row[:-1]) | (first[1:] > last[:-1] + 1)
+    start = np.flatnonzero(joined)
+    return bundle(row[start], first[start], np.maximum.reduceat(last, start))
+
+
+def sorted_spans(spans: list[tuple[np.ndarray, ...]]) -> bytes:
+    row, first, last = (np.concatenate(x) for x in zip(*spans))
+    order = np.lexsort((first, row))
+    return span_bytes(row[order], first[order], last[order])
+
+
+def certain(chunk: ch.Chunk, codes: list[bytes], b: Blocks, w: Windows) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """What answers about grams settle: spans to remove, and the code of every block."""
+    got = np.frombuffer(b"".join(codes), np.uint8)
+    code = np.repeat(got, np.diff(np.append(starts_of(b.gram), len(b.gram)))) if len(got) else np.zeros(0, np.uint8)
+    gone, _ = settled_here((b.gram,), chunk.order[b.row], b.row, w.same_document)
     whole = (code == EARLIER) | ((code == 0) & gone)
-    spans = [(b.row[whole], b.first[whole], b.last[whole])]
-    digits, row, place, shared = window_digits(chunk, b, code, w)
-    order = np.lexsort((place, row, *digits[::-1]))
-    digits, row, place, shared = digits[:, order], row[order], place[order], shared[order]
-    ids = chunk.order[row]
-    gone, open_ = settled_here(tuple(digits), ids, row, w.same_document)
-    open_ &= shared  # the windows of a gram that only this chunk holds are settled
-    spans.append((row[gone], place[gone], place[gone]))
-    r, f, l = (np.concatenate(x) for x in zip(*spans))
-    order = np.lexsort((f, r))
-    d = digits[:, open_]
-    key = mix(np.bitwise_xor.reduce(d * np.arange(1, 2 * len(d), 2, dtype=np.uint64)[:, None], axis=0)) if d.size else np.zeros(0, np.uint64)
-    by = np.argsort(key, kind="stable")
-    return span_bytes(r[order], f[order], l[order]), (key[by], [*(x[by] for x in d), ids[open_][by], row[open_][by], place[open_][by]])
+    return (b.row[whole], b.first[whole], b.last[whole]), code
 
 
 def settle(chunks: DataFrame, codes: DataFrame, w: Windows, n_shards: int,
            blocks: Callable[[ch.Chunk, list[bytes]], tuple[Blocks, list[bytes]]]) -> DataFrame:
-    """Steps 2 and 3: rows (chunk, shard, answer) whose answers are spans of window starts, several rows per chunk.
+    """Steps 2 to 4: rows (chunk, shard, answer) whose answers are spans of window starts, several rows per chunk.
 
     ``blocks`` gives a chunk's blocks and the codes of their grams.
     """
     n_payloads = w.digits + 3
-    names = [f"p{i}" for i in range(n_payloads)]
 
-    def use(chunk: ch.Chunk, answers: list[bytes]) -> pa.Table:
+    def ask_runs(chunk: ch.Chunk, answers: list[bytes]) -> pa.Table:
         b, got = blocks(chunk, answers)
-        spans, question = settle_chunk(chunk, np.frombuffer(b"".join(got), np.uint8), b, w)
-        none = pa.array([None], pa.binary())
-        out = [pa.table({"kind": pa.array([0], pa.int32()), "shard": pa.array([0], pa.int64()), "chunk": pa.array([chunk.number], pa.int64()),
-                         "keys": pa.array([spans], pa.binary()), **dict.fromkeys(names, none)})]
-        asked = ch.questions([(chunk.number, question)], n_shards, n_payloads)
-        if asked is not None:
-            out.append(pa.Table.from_batches([asked]).add_column(0, "kind", pa.array([1] * asked.num_rows, pa.int32())))
-        return pa.concat_tables(out)
-
-    stated = cut(ch.with_answers(chunks, codes, use, "kind int, " + ch.question_ddl(n_payloads)))
-    windows = stated.where("kind = 1").drop("kind").groupBy("shard").applyInArrow(lambda t: window_answers(t, w.digits), SPANS)
-    return stated.where("kind = 0").selectExpr("chunk", "shard", "keys as answer").unionByName(windows)
+        spans, code = certain(chunk, got, b, w)
+        here, open_ = b.take(np.flatnonzero(code == SEVERAL_HERE)), b.take(np.flatnonzero(code == SEVERAL))
+        # what the next step needs goes along: spans, blocks settled here by their windows, blocks to cut into runs
+        note = bundle(*spans, here.row, here.first, here.last, open_.gram, open_.row, open_.first, open_.last, open_.anchor)
+        return ch.with_note(chunk.number, note, ch.questions([(chunk.number, gram_question(chunk, runs_of(chunk, open_, w)))], n_shards, 2), 2)
+
+    def ask_windows(chunk: ch.Chunk, answers: list[bytes]) -> pa.Table:
+        *spans, h_row, h_first, h_last, o_gram, o_row, o_first, o_last, o_anchor = unbundle(answers[0])
+        hashes = lambda x: x.astype(np.int64).view(np.uint64)
+        runs = runs_of(chunk, Blocks(hashes(o_gram), hashes(o_gram), o_row, o_first, o_last, o_anchor), w)
+        more, code = certain(chunk, answers[1:], runs, w)
+        left = runs.take(np.flatnonzero(code >= SEVERAL))
+        none = np.zeros(len(h_row), np.uint64)
+        left = Blocks(*(np.concatenate(x) for x in zip((none, none, h_row, h_first, h_last, h_first), (getattr(left, f) for f in FIELDS))))
+        shared = np.concatenate([np.zeros(len(h_row), bool), code[code >= SEVERAL] == SEVERAL])
+        digits, row, place, shared = window_digits(chunk, left, shared, w)
+        order = np.lexsort((place, row, *digits[::-1]))
+        digits, row, place, shared = digits[:, order], row[order], place[order], shared[order]
+        ids = chunk.order[row]
+        gone, open_ = settled_here(tuple(digits), ids, row, w.same_document)
+        open_ &= shared  # the windows of a gram that only this chunk holds are settled
+        d = digits[:, open_]
+        key = mix(np.bitwise_xor.reduce(d * np.arange(1, 2 * len(d), 2, dtype=np.uint64)[:, None], axis=0)) if d.size else np.zeros(0, np.uint64)
+        by = np.argsort(key, kind="stable")
+        question = key[by], [*(x[by] for x in d), ids[open_][by], row[open_][by], place[open_][by]]
+        note = sorted_spans([tuple(spans), more, (row[gone], place[gone], place[gone])])
+        return ch.with_note(chunk.number, note, ch.questions([(chunk.number, question)], n_shards, n_payloads), n_payloads)
+
+    run_codes = ch.answer(ch.with_answers(chunks, codes, ask_runs, ch.question_ddl(2)), noted(gram_answers))
+    asked = ch.with_answers(chunks, run_codes, ask_windows, ch.question_ddl(n_payloads))
+    return asked.groupBy("shard").applyInArrow(lambda t: window_answers(t, w.digits), SPANS)
+
+
+def noted(merge: Callable[[pa.Table], list[bytes]]) -> Callable[[pa.Table], list[bytes]]:
+    """``merge`` that lets notes pass."""
+    return lambda t: t["keys"].to_pylist() if ch.is_note(t) else merge(t)
 
 
 def earlier_windows(chunks: DataFrame, w: Windows, n_shards: int) -> DataFrame:
@@ -299,7 +361,7 @@ def removed_mask(chunk: ch.Chunk, answers: list[bytes], offsets: np.ndarray, len
     edge = np.zeros(int(offsets[-1]) + 1, np.int32)
     for a in answers:
         if a:
-            row, first, last = spans_of(a)
+            row, first, last = unbundle(a)
             np.add.at(edge, offsets[row] + first, 1)
             np.add.at(edge, offsets[row] + last + length, -1)
     return np.cumsum(edge)[:-1] > 0

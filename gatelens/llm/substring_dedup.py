@@ -26,6 +26,7 @@ from gatelens.llm.common import BYTE_CODES, SPACE, Rolling, mix, two_columns
 
 TEXT_PER_SHARD = 8 << 20
 ROWS = 2
+RUN = 3
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,7 +88,7 @@ def estimated_repeated(grams: np.ndarray, answers: list[bytes]) -> np.ndarray:
 def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13, gram: int = 6) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256), one row per document."""
     chunks = ch.chunked(two_columns(docs, id_col, text_col))
-    w = repeats.Windows(word_symbols, length, min(gram, length), 2, same_document=False)
+    w = repeats.Windows(word_symbols, length, min(gram, length), RUN, 2, same_document=False)
     n = ch.shard_count(chunks, TEXT_PER_SHARD)
     bits = min(62, max(32, (n * TEXT_PER_SHARD).bit_length()))  # a gram takes about 32 bytes of text, so 32 cells each
 
@@ -103,17 +104,10 @@ def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         start = repeats.starts_of(b.gram)
         often = estimated_repeated(b.gram[start], answers)
         kept = b.take(np.flatnonzero(np.repeat(often, np.diff(np.append(start, len(b.gram))))))
-        # the chunk's own mask travels with its questions and comes back unchanged
-        mask = pa.table({"shard": pa.array([-1 - chunk.number], pa.int64()), "chunk": pa.array([chunk.number], pa.int64()),
-                         "keys": pa.array([np.packbits(often).tobytes() + len(often).to_bytes(4, "little")], pa.binary()),
-                         "p0": pa.array([None], pa.binary()), "p1": pa.array([None], pa.binary())})
-        asked = ch.questions([(chunk.number, repeats.gram_question(chunk, kept))], n, 2)
-        return pa.concat_tables([mask, pa.Table.from_batches([asked])]) if asked is not None else mask
+        mask = np.packbits(often).tobytes() + len(often).to_bytes(4, "little")
+        return ch.with_note(chunk.number, mask, ch.questions([(chunk.number, repeats.gram_question(chunk, kept))], n, 2), 2)
 
-    def gram_answers(t: pa.Table) -> list[bytes]:
-        return t["keys"].to_pylist() if t["shard"][0].as_py() < 0 else repeats.gram_answers(t)
-
-    codes = ch.answer(ch.with_answers(chunks, estimates, gram_questions, ch.question_ddl(2)), gram_answers)
+    codes = ch.answer(ch.with_answers(chunks, estimates, gram_questions, ch.question_ddl(2)), repeats.noted(repeats.gram_answers))
 
     def blocks(chunk: ch.Chunk, answers: list[bytes]) -> tuple[repeats.Blocks, list[bytes]]:
         b = repeats.chunk_blocks(chunk, w)
