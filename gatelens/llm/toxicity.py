@@ -37,7 +37,7 @@ class Settings:
     passage: int = 4
     steps: int = 100
     rate: float = 5.0
-    decay: float = 1e-6
+    decay: float = 1e-3
     max_rows: int = 3000
     max_chars: int = 200_000
     threshold: float = 0.3
@@ -78,7 +78,7 @@ def bags(data: np.ndarray, offsets: np.ndarray, s: Settings) -> Bags:
     whole = roll.slices(edge[:-1], edge[1:] + 1) if n_words else np.zeros(0, np.uint64)
     buckets.append((whole ^ np.uint64(0x5851F42D4C957F2D)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - s.bits))
     words.append(np.arange(n_words))
-    doc_of_word = np.searchsorted(offsets + np.arange(len(offsets)), at[edge[:-1]] + 1, "right") - 1 if n_words else np.zeros(0, np.int64)
+    doc_of_word = np.searchsorted(offsets + np.arange(len(offsets)), at[edge[:-1] + 1], "right") - 1 if n_words else np.zeros(0, np.int64)
     first = np.searchsorted(doc_of_word, doc_of_word)
     number = (np.arange(n_words) - first) // s.passage
     new = np.ones(n_words, bool)
@@ -119,7 +119,9 @@ def train(texts: list[str], labels: np.ndarray, s: Settings) -> tuple[np.ndarray
     y = labels.astype(float)
     share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * has
     rng = np.random.default_rng(s.seed)
-    params = [rng.normal(0, 0.1, shape).astype(np.float32) for shape in ((n_buckets, s.dim), (2, s.dim))] + [np.zeros(2, np.float32)]
+    # embeddings start small, so that subwords never seen in training weigh next to nothing
+    params = [rng.normal(0, scale_, shape).astype(np.float32) for scale_, shape in ((0.01, (n_buckets, s.dim)), (0.3, (2, s.dim)))]
+    params.append(np.zeros(2, np.float32))
     speed, scale = [np.zeros_like(p) for p in params], [0.0] * len(params)
     for step in range(1, s.steps + 1):
         embedding, out, bias = params
