@@ -63,7 +63,8 @@ def links(bits: DataFrame) -> DataFrame:
     keys = cut(keyed.groupBy("j", "rest").agg(F.count(F.lit(1)).alias("n"), F.min("bits").alias("v"), F.max("bits").alias("u"))
                .where("n > 1"))
     pairs = keys.where((F.col("n") == 2) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2)).select("u", "v")
-    crowded = keyed.join(keys.where("n > 2").select("j", "rest"), ["j", "rest"]).select("bits").distinct()
+    # merged whatever the size, so that a plan that is cheap on little data holds on much; skewed keys are split there
+    crowded = cut(keyed.join(keys.where("n > 2").select("j", "rest").hint("merge"), ["j", "rest"]).select("bits").distinct())
     near = (crowded.select("bits", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("j"))
             .select("bits", F.when(F.col("j") < 0, F.col("bits")).otherwise(F.col("bits").bitwiseXOR(bit)).alias("variant")))
     least = near.groupBy("variant").agg(F.min("bits").alias("v"), F.max("bits").alias("u")).where("u > v")
