@@ -10,9 +10,8 @@ share one gram occurrence; such a run of windows is a *block*. Equal windows hav
    the symbols that all of its windows hold, and its content is its signature. The same question again drops all runs but
    those at the edges of what two places share.
 3. What still has several contents is taken apart into windows. A chunk settles what it can by itself and asks about the rest,
-   one entry per distinct window, keyed by hashes of the window's digits (consecutive parts). A shard sorts its windows digit
-   by digit, dropping windows that are alone after a digit; equal groups after the last digit are exactly the repeated
-   windows. It answers with the windows that occur in a document with a smaller id.
+   one entry per distinct window. A shard sorts its windows by a digit for the first half, drops those that are alone,
+   and sorts the others by a digit for the whole; equal groups after the last digit are exactly the repeated windows. It answers with the windows that occur in a document with a smaller id.
 4. Chunks gather the removed windows of all steps as spans.
 
 Windows are compared by 128 bits of hash. A key counts once per chunk, so copies by the thousand cost no more than one per
@@ -46,7 +45,6 @@ class Windows:
     gram: int
     #: Windows in a run of step 2.
     run: int
-    digits: int
     #: Whether a window that starts earlier in the same document counts.
     same_document: bool
 
@@ -199,9 +197,9 @@ def settled_here(keys: tuple[np.ndarray, ...], ids: np.ndarray, row: np.ndarray,
 
 
 def window_digits(chunk: ch.Chunk, b: Blocks, shared: np.ndarray, w: Windows) -> tuple[np.ndarray, ...]:
-    """(digit hashes of shape (digits, n), row, start, ``shared`` of its block) of every window of the given blocks."""
+    """(hashes of the first half and the whole, row, start, ``shared`` of its block) of every window of the given blocks."""
     digits, rows, places, marks = [], [], [], []
-    cuts = np.linspace(0, w.length, w.digits + 1).astype(np.int64)
+    half = max(1, w.length // 2)
     order = np.argsort(b.row, kind="stable")
     b, shared = b.take(order), shared[order]
     for i, j in chunk.slices(SLICE):
@@ -214,12 +212,12 @@ def window_digits(chunk: ch.Chunk, b: Blocks, shared: np.ndarray, w: Windows) ->
         row = np.repeat(b.row[lo:hi], n)
         place = np.repeat(b.first[lo:hi] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         at = offsets[row - i] + place
-        digits.append(np.stack([roll.slices(at + x, at + y) for x, y in zip(cuts, cuts[1:])]))
+        digits.append(np.stack([roll.slices(at, at + half), roll.slices(at, at + w.length)]))
         rows.append(row)
         places.append(place)
         marks.append(np.repeat(shared[lo:hi], n))
     if not digits:
-        return np.zeros((w.digits, 0), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        return np.zeros((2, 0), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     return np.concatenate(digits, axis=1), np.concatenate(rows), np.concatenate(places), np.concatenate(marks)
 
 
@@ -242,14 +240,13 @@ def radix_groups(digits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return index, group
 
 
-def window_answers(t: pa.Table, digits: int) -> pa.Table:
+def window_answers(t: pa.Table) -> pa.Table:
     """Spans rows: the windows of one shard that occur in a document with a smaller id, by asking chunk; notes pass."""
     if ch.is_note(t):
         return t.select(["chunk", "shard", "keys"]).rename_columns(["chunk", "shard", "answer"])
-    sizes, keys, payloads = ch.merged(t, digits + 3, wide=tuple(range(digits)))
+    sizes, whole, (half, least, row, place) = ch.merged(t, 4, wide=(0,))
     chunk = np.repeat(t["chunk"].to_numpy(), sizes)
-    least, row, place = payloads[digits:]
-    index, group = radix_groups(payloads[:digits])
+    index, group = radix_groups([half, whole])
     gone = np.zeros(0, np.int64)
     if len(index):
         start = starts_of(group)
@@ -308,8 +305,6 @@ def settle(chunks: DataFrame, codes: DataFrame, w: Windows, n_shards: int,
 
     ``blocks`` gives a chunk's blocks and the codes of their grams.
     """
-    n_payloads = w.digits + 3
-
     def ask_runs(chunk: ch.Chunk, answers: list[bytes]) -> pa.Table:
         b, got = blocks(chunk, answers)
         spans, code = certain(chunk, got, b, w)
@@ -333,16 +328,15 @@ def settle(chunks: DataFrame, codes: DataFrame, w: Windows, n_shards: int,
         ids = chunk.order[row]
         gone, open_ = settled_here(tuple(digits), ids, row, w.same_document)
         open_ &= shared  # the windows of a gram that only this chunk holds are settled
-        d = digits[:, open_]
-        key = mix(np.bitwise_xor.reduce(d * np.arange(1, 2 * len(d), 2, dtype=np.uint64)[:, None], axis=0)) if d.size else np.zeros(0, np.uint64)
-        by = np.argsort(key, kind="stable")
-        question = key[by], [*(x[by] for x in d), ids[open_][by], row[open_][by], place[open_][by]]
+        half, whole = digits[:, open_]
+        by = np.argsort(whole, kind="stable")
+        question = whole[by], [half[by], ids[open_][by], row[open_][by], place[open_][by]]
         note = sorted_spans([tuple(spans), more, (row[gone], place[gone], place[gone])])
-        return ch.with_note(chunk.number, note, ch.questions([(chunk.number, question)], n_shards, n_payloads), n_payloads)
+        return ch.with_note(chunk.number, note, ch.questions([(chunk.number, question)], n_shards, 4), 4)
 
     run_codes = ch.answer(ch.with_answers(chunks, codes, ask_runs, ch.question_ddl(2)), noted(gram_answers))
-    asked = ch.with_answers(chunks, run_codes, ask_windows, ch.question_ddl(n_payloads))
-    return asked.groupBy("shard").applyInArrow(lambda t: window_answers(t, w.digits), SPANS)
+    asked = ch.with_answers(chunks, run_codes, ask_windows, ch.question_ddl(4))
+    return asked.groupBy("shard").applyInArrow(window_answers, SPANS)
 
 
 def noted(merge: Callable[[pa.Table], list[bytes]]) -> Callable[[pa.Table], list[bytes]]:

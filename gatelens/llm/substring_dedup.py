@@ -88,7 +88,7 @@ def estimated_repeated(grams: np.ndarray, answers: list[bytes]) -> np.ndarray:
 def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13, gram: int = 6) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256), one row per document."""
     chunks = ch.chunked(two_columns(docs, id_col, text_col))
-    w = repeats.Windows(word_symbols, length, min(gram, length), RUN, 2, same_document=False)
+    w = repeats.Windows(word_symbols, length, min(gram, length), RUN, same_document=False)
     n = ch.shard_count(chunks, TEXT_PER_SHARD)
     bits = min(62, max(32, (n * TEXT_PER_SHARD).bit_length()))  # a gram takes about 32 bytes of text, so 32 cells each
 

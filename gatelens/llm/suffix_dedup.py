@@ -4,7 +4,7 @@ Suffixes need an order only through ``threshold`` bytes: two suffixes that agree
 groups that are equal after the last digit are exactly the repeated windows. Most-significant-digit passes drop every
 suffix that is alone after a digit. The first digit is the window's least 24-byte gram, which neighbouring suffixes
 share, so that this pass moves one entry for a run of suffixes; the next is the core of ten neighbouring suffixes; suffixes
-that still share these with different content are sorted by the hashes of their two halves (see repeats.py).
+that still share these with different content are sorted by hashes of their first half and of the whole (see repeats.py).
 
 Each byte covered by a window that also starts earlier (in a document with a smaller id, or earlier in the same one) is
 removed. Results: null and empty texts and texts below the threshold lose nothing; rows that share an id are not compared
@@ -37,7 +37,7 @@ def byte_symbols(chunk: ch.Chunk, i: int, j: int) -> tuple[np.ndarray, np.ndarra
 
 def _removed(docs: DataFrame, threshold: int, gram: int, keep: list[str], use: Callable, schema) -> DataFrame:
     chunks = ch.chunked(docs, keep=keep)
-    windows = repeats.Windows(byte_symbols, threshold, min(gram, threshold), RUN, 2, same_document=True)
+    windows = repeats.Windows(byte_symbols, threshold, min(gram, threshold), RUN, same_document=True)
     spans = repeats.earlier_windows(chunks, windows, ch.shard_count(chunks, TEXT_PER_SHARD))
     return ch.with_answers(chunks, spans, lambda c, a: use(c, repeats.removed_mask(c, a, c.offsets, threshold)), schema)
 
