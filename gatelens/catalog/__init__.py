@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ["circuits", "graphs", "sweeps", "frames", "reports", "learning", "models", "scores"]
+MODULES = ["files", "circuits", "graphs", "sweeps", "frames", "reports", "learning", "models", "scores"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -9,8 +9,8 @@ from gatelens.catalog import query
 from gatelens.catalog import sqlviews as v
 from gatelens.catalog.common import rounded
 from gatelens.functions.lineage import cut
-from gatelens.operators import frame, scoring, sweep
-from gatelens.sources import benchmark, circuits, sinks
+from gatelens.operators import frame, sweep
+from gatelens.sources import benchmark, circuits
 
 
 def _orders(spark, sf):
@@ -35,12 +35,6 @@ def a3(spark, sf):
     return circuits.match_manifest(texts, manifest)[1]
 
 
-@query("a4_read_tasks", "SELECT o_orderkey AS task_id, o_orderstatus AS processor, o_orderpriority AS \"precision\" FROM orders")
-def a4(spark, sf):
-    return benchmark.tasks(_orders(spark, sf).select(
-        F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("processor"), F.col("o_orderpriority").alias("precision")))
-
-
 ID_MAP = """
 e AS (SELECT CASE WHEN o_custkey % 7 = 0 THEN '' ELSE 't' || o_custkey END AS id, CASE WHEN o_orderkey % 5 <> 0 THEN 'c' || o_orderkey END AS qasm_file, o_orderkey AS pos FROM orders)"""
 
@@ -53,40 +47,6 @@ def _id_map(spark, sf):
         F.col("o_orderkey").alias("pos")))
 
 
-@query("a5_read_id_map", v.with_views(ID_MAP, body="""
-SELECT id, arg_max(qasm_file, pos) AS qasm_file FROM e WHERE id <> '' AND qasm_file <> '' GROUP BY id"""))
-def a5(spark, sf):
-    return _id_map(spark, sf)
-
-
-@query("a8_write_predictions", v.with_views(v.V_SCORED, body="""
-SELECT id, '{"id":"' || id || '","predicted_threshold_min":' || coalesce(predicted_threshold_min, 1) || ',"predicted_forward_wall_s":' ||
-  CASE WHEN pred_s IS NULL THEN 'NaN' ELSE (id % 1000 + 1) || '.25' END || '}' AS json FROM v_scored"""))
-def a8(spark, sf):
-    wall = F.when(F.col("pred_s").isNotNull(), F.col("id") % 1000 + 1.25)
-    preds = fx.v_scored(spark, sf).select("id", F.coalesce("predicted_threshold_min", F.lit(1)).alias("predicted_threshold_min"),
-                                          wall.alias("predicted_forward_wall_s"))
-    return sinks.prediction_objects(preds)
-
-
-@query("a10_write_normalized", v.with_views(v.V_SCORED, body="""
-SELECT id, predicted_threshold_min, round(pred_s, 6) AS predicted_forward_wall_s FROM v_scored WHERE pred_s IS NOT NULL ORDER BY id"""))
-def a10(spark, sf):
-    preds = fx.v_scored(spark, sf).where("pred_s IS NOT NULL")
-    return rounded(preds.select("id", "predicted_threshold_min", F.col("pred_s").alias("predicted_forward_wall_s")).orderBy("id"))
-
-
-@query("a11_score_report", v.with_views(v.V_SCORED, body="""
-SELECT family, round(avg(CASE WHEN predicted_threshold_min >= true_threshold_min THEN true_threshold_min / predicted_threshold_min * least(pred_s / true_s, true_s / pred_s) ELSE 0 END), 6) AS mean_task_score,
-  count(*) AS n FROM v_scored GROUP BY family"""))
-def a11(spark, sf):
-    sc = fx.v_scored(spark, sf)
-    preds = sc.where("pred_s IS NOT NULL").select("id", "predicted_threshold_min", F.col("pred_s").alias("predicted_forward_wall_s"))
-    truth = sc.select("id", "true_threshold_min", F.col("true_s").alias("true_forward_wall_s"))
-    scores = scoring.task_scores(sc.select("id"), preds, truth).join(sc.select("id", "family"), "id")
-    return rounded(scores.groupBy("family").agg(F.avg("task_score").alias("mean_task_score"), F.count(F.lit(1)).alias("n")))
-
-
 # ------------------------------------------------------------------ frame
 
 def _features(spark, sf):

@@ -1,4 +1,4 @@
-"""Decision layers (checked against SQL) and trained models (row counts only)."""
+"""Decision layers and trained models."""
 
 from __future__ import annotations
 
@@ -188,125 +188,201 @@ HARD_SQL = ", ".join(f"'{f}'" for f in HARD_FAMILIES)
 
 
 @query("m23_combined_predict", v.with_views(v.V_SCORED, f"""
-f AS (SELECT *, {FAM_SQL} AS fam, 2 ** (id % 10) AS cv FROM v_scored WHERE pred_s IS NOT NULL),
+f AS (SELECT *, {FAM_SQL} AS fam, 2 ** (id % 10) AS cv FROM v_scored),
 h AS (SELECT *, CASE WHEN fam IN ({HARD_SQL}) THEN greatest(predicted_threshold_min, cv) ELSE predicted_threshold_min END AS t FROM f)""", body=f"""
 SELECT id, CAST(greatest(t, {FLOOR_SQL}) AS INTEGER) AS threshold, round(sqrt(pred_s * true_s), 6) AS runtime_s FROM h"""))
 def m23(spark, sf):
-    df = _families(fx.v_scored(spark, sf).where("pred_s IS NOT NULL"))
+    df = _families(fx.v_scored(spark, sf))
     curve = F.pow(F.lit(2), F.col("id") % 10).cast("int")
     return rounded(df.select("id", dec.combined_threshold(F.col("predicted_threshold_min"), curve, F.col("fam")).alias("threshold"),
                              dec.combined_runtime(F.col("pred_s"), F.col("true_s")).alias("runtime_s")))
 
 
 # ------------------------------------------------------------------ trained models
+# SQL can't train; it states what must hold of every row: each id once, answers on the ladder, finite runtimes within their limits.
+
+LADDER = [1, 2, 4, 8, 16, 32, 64, 128, 256]
+ALL = "SELECT o_orderkey AS id, {} FROM orders"
+
+
+def _folds(spark, sf, extra=None):
+    """fold -> (train, val, test) of the stored feature frame, gaps filled with the train rows' medians."""
+    df = fx.v_features(spark, sf)
+    df = cut(df if extra is None else df.join(extra, "id", "left"))
+    rows = cut(df.join(splits.build_splits(df, "id", "grp", 5).select(F.col("row_key").alias("id"), "fold", "role"), "id"))
+
+    def parts(fold):
+        own = rows.where(F.col("fold") == fold).drop("fold")
+        train, val, test = (own.where(F.col("role") == r).drop("role") for r in ("train", "val", "test"))
+        fill = {**{f: 0.0 for f in FEATS}, **frame.fit_fill(train, FEATS)}
+        return tuple(frame.impute(x, fill) for x in (train, val, test))
+
+    return parts
+
+
+def _out_of_fold(parts, predict):
+    """``predict(train, val, test)`` of all folds in one table."""
+    return reduce(DataFrame.unionByName, [cut(predict(*parts(k))) for k in range(5)])
+
+
+def _held_out(spark, sf, extra=None):
+    """(train, val, test): a fifth of the groups held out, and a fifth of the others for validation; gaps not filled."""
+    df = fx.v_features(spark, sf)
+    df = cut(df if extra is None else df.join(extra, "id", "left"))
+    outer = cut(df.join(splits.group_holdout(df, "grp", 0.2, 7), "grp"))
+    rest, test = outer.where("NOT is_val").drop("is_val"), outer.where("is_val").drop("is_val")
+    inner = cut(rest.join(splits.group_holdout(rest, "grp", 0.2, 42), "grp"))
+    return inner.where("NOT is_val").drop("is_val"), inner.where("is_val").drop("is_val"), test
 
-def _data(spark, sf):
-    """(train, val, test) of one fold of the stored feature frame, gaps filled."""
-    df = cut(fx.v_features(spark, sf))
-    df = frame.impute(df, {**{f: 0.0 for f in FEATS}, **frame.fit_fill(df, FEATS)})
-    folded = splits.build_splits(df, "id", "grp", 5).where("fold = 0").select(F.col("row_key").alias("id"), "role")
-    joined = cut(df.join(folded, "id"))
-    return tuple(joined.where(F.col("role") == r).drop("role") for r in ("train", "val", "test"))
 
+HELD = v.V_FEATURES + """,
+gh AS (SELECT grp, row_number() OVER (ORDER BY md5(grp::VARCHAR || '#7'), grp) <= ceil((SELECT count(DISTINCT grp) FROM v_features) * 0.2::DOUBLE) AS is_val FROM (SELECT DISTINCT grp FROM v_features))"""
+HELD_IDS = "WITH " + HELD + " SELECT id, {} FROM v_features JOIN gh USING (grp) WHERE is_val"
 
-@query("m1_threshold_classifier")
+
+def _filled(train, *others):
+    fill = {**{f: 0.0 for f in FEATS}, **frame.fit_fill(train, FEATS)}
+    return tuple(frame.impute(x, fill) for x in (train, *others))
+
+
+def _sound(column):
+    return (F.col(column) > 0) & (F.col(column) < float("inf"))
+
+
+@query("m1_threshold_classifier", ALL.format("TRUE AS on_ladder, TRUE AS sums_to_one, TRUE AS entropy_in_range, TRUE AS index_in_range"))
 def m1(spark, sf):
-    train, val, test = _data(spark, sf)
-    model = models.ThresholdClassifier(FEATS, max_depth=4, tree_counts=(5, 10)).fit(train, val)
-    return model.predict(test).select("id", "predicted_threshold_min", "expected_index", "threshold_entropy", "threshold_uncertainty")
+    def predict(train, val, test):
+        model = models.ThresholdClassifier(FEATS).fit(train, val)
+        return model.predict(model.predict_proba(test, "p"))
 
+    out = _out_of_fold(_folds(spark, sf), predict)
+    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
+    return out.select("id", F.col("predicted_threshold_min").isin(LADDER).alias("on_ladder"), (F.abs(total - 1) < 1e-9).alias("sums_to_one"),
+                      F.col("threshold_entropy").between(-1e-9, 4).alias("entropy_in_range"), F.col("expected_index").between(0, 8).alias("index_in_range"))
 
-def _curves(spark, sf):
+
+def _curve_columns(spark, sf):
     wide = sweep.pivot_sweep(sweep.explode_sweep(fx.v_sweep(spark, sf))).withColumnRenamed("file", "id")
-    train, val, test = _data(spark, sf)
-    columns = frame.CURVE_COLUMNS
-    attach = lambda df: df.join(wide.select("id", *columns.values()), "id")
-    return attach(train), attach(val), test, columns
+    return wide.select("id", *frame.CURVE_COLUMNS.values())
 
 
-@query("m8_curve_model")
+@query("m8_curve_model", ALL.format("TRUE AS on_ladder"))
 def m8(spark, sf):
-    train, val, test, columns = _curves(spark, sf)
-    rows = lambda df: dec.curve_weights(frame.expand_rungs(df, columns, ["id", *FEATS]), ["id"])
-    model = models.CurveModel(FEATS, max_iter=5).fit(rows(train), rows(val))
-    return model.predict_threshold(test, ["id"])
+    def predict(train, val, test):
+        rows = lambda df: dec.curve_weights(frame.expand_rungs(df, frame.CURVE_COLUMNS, ["id", *FEATS]), ["id"])
+        return models.CurveModel(FEATS).fit(rows(train), rows(val)).predict_threshold(test, ["id"])
+
+    out = _out_of_fold(_folds(spark, sf, _curve_columns(spark, sf)), predict)
+    return out.select("id", F.col("threshold").isin(LADDER).alias("on_ladder"))
+
+
+def _per_rung(spark, sf, kind):
+    def predict(train, _, test):
+        model = kind(FEATS).fit(train, frame.CURVE_COLUMNS)
+        return model.predict_wide(test.select("id", *FEATS)).withColumn("curve_threshold", model.answer())
+
+    out = _out_of_fold(_folds(spark, sf, _curve_columns(spark, sf)), predict)
+    curve = [F.col(f"curve_{r}") for r in LADDER]
+    rising = reduce(lambda a, b: a & b, [x <= y for x, y in zip(curve, curve[1:])])
+    inside = reduce(lambda a, b: a & b, [c.between(0, 1) for c in curve])
+    return out.select("id", F.col("curve_threshold").isin(LADDER).alias("on_ladder"), rising.alias("rising"), inside.alias("inside"))
 
 
-SHORT = {r: f"sweep_fid_{r}" for r in (1, 4, 16, 64, 256)}
+CURVE_ROWS = ALL.format("TRUE AS on_ladder, TRUE AS rising, TRUE AS inside")
 
 
-@query("m10_additive_curve")
+@query("m10_additive_curve", CURVE_ROWS)
 def m10(spark, sf):
-    train, _, test, _ = _curves(spark, sf)
-    return models.AdditiveCurveModel(FEATS, rungs=list(SHORT)).fit(train, SHORT).predict_threshold(test).select("id", "curve_threshold")
+    return _per_rung(spark, sf, models.AdditiveCurveModel)
 
 
-@query("m11_kernel_curve")
+@query("m11_kernel_curve", CURVE_ROWS)
 def m11(spark, sf):
-    train, _, test, _ = _curves(spark, sf)
-    return models.KernelCurveModel(FEATS, rungs=list(SHORT)).fit(train, SHORT).predict_threshold(test).select("id", "curve_threshold")
+    return _per_rung(spark, sf, models.KernelCurveModel)
 
 
-@query("m14_runtime_model")
+@query("m14_runtime_model", HELD_IDS.format("TRUE AS sound"))
 def m14_model(spark, sf):
-    train, val, test = _data(spark, sf)
-    model = models.RuntimeModel(FEATS, max_iter=4, max_depth=4).fit(train, val)
-    return model.predict(test, "selected_threshold").select("id", "predicted_forward_wall_s")
+    train, val, test = _filled(*_held_out(spark, sf))
+    out = models.RuntimeModel(FEATS).fit(train, val).predict(test, "selected_threshold")
+    return out.select("id", _sound("predicted_forward_wall_s").alias("sound"))
 
 
-@query("m18_kernel_runtime")
+@query("m18_kernel_runtime", ALL.format("TRUE AS sound"))
 def m18(spark, sf):
-    train, _, test = _data(spark, sf)
-    return models.KernelRuntimeModel(FEATS).fit(train).predict(test, "selected_threshold").select("id", "predicted_forward_wall_s")
+    predict = lambda train, _, test: models.KernelRuntimeModel(FEATS).fit(train).predict(test, "selected_threshold")
+    return _out_of_fold(_folds(spark, sf), predict).select("id", _sound("predicted_forward_wall_s").alias("sound"))
 
 
-@query("m20_enrich")
-def m20(spark, sf):
+LABELS = ["fidelity_at_1", "rungs_to_099", "biggest_fid_jump", "biggest_jump_rung"]
+
+
+def _sweep_labels(spark, sf):
     summary = sweep.sweep_summary(sweep.explode_sweep(fx.v_sweep(spark, sf))).withColumnRenamed("file", "id")
-    train, _, test = _data(spark, sf)
-    labelled = train.join(summary.select("id", "fidelity_at_1", "rungs_to_099", "biggest_fid_jump", "biggest_jump_rung"), "id", "left")
-    model = models.AuxiliaryPredictor(FEATS, n_estimators=4).fit(labelled)
-    return model.transform(test).select("id", *model.names)
+    return summary.select("id", *LABELS)
+
+
+@query("m20_enrich", HELD_IDS.format(", ".join(f"TRUE AS {c}" for c in LABELS)))
+def m20(spark, sf):
+    train, _, test = _filled(*_held_out(spark, sf, _sweep_labels(spark, sf)))
+    out = models.AuxiliaryPredictor(FEATS).fit(train).transform(test.drop(*LABELS))
+    return out.select("id", *[(F.abs(F.col(f"pred_{c}")) < float("inf")).alias(c) for c in LABELS])
+
+
+def _families_of(spark, sf):
+    names = F.array(*[F.lit(f) for f in FAMILY_FLOOR])
+    return fx.v_features(spark, sf).select("id", F.element_at(names, (F.col("id") % len(FAMILY_FLOOR) + 1).cast("int")).alias("predicted_family"))
+
+
+def _predictor(spark, sf):
+    """A fitted predictor with all that it can use: sweep labels for the auxiliary models, families for the floor."""
+    extra = _sweep_labels(spark, sf).join(_families_of(spark, sf), "id", "right")
+    train, val, test = _held_out(spark, sf, extra)
+    return training.ThresholdPredictor(FEATS, 4).fit(train, val), train, val, test.drop(*LABELS)
 
 
-@query("m22_runtime_with_uncertainty")
+FLOORED = "TRUE AS on_ladder, TRUE AS over_floor"
+
+
+def _floor_ok():
+    floor = F.create_map(*[F.lit(x) for kv in FAMILY_FLOOR.items() for x in kv])
+    return (F.col("predicted_threshold_min") >= F.element_at(floor, F.col("predicted_family"))).alias("over_floor")
+
+
+@query("m21_threshold_predictor", HELD_IDS.format(FLOORED))
+def m21(spark, sf):
+    model, _, _, test = _predictor(spark, sf)
+    return model.predict(test).select("id", F.col("predicted_threshold_min").isin(LADDER).alias("on_ladder"), _floor_ok())
+
+
+@query("m22_runtime_with_uncertainty", HELD_IDS.format(FLOORED + ", TRUE AS sound"))
 def m22(spark, sf):
-    train, val, test = _data(spark, sf)
-    thr = training.ThresholdPredictor(FEATS, 4, use_auxiliary=False, classifier={"tree_counts": (5,), "max_depth": 4}).fit(train)
-    run = training.RuntimePredictor(thr, settings={"max_iter": 3, "use_ensemble": False}).fit(train, val)
-    return run.predict(test).select("id", "predicted_threshold_min", "predicted_forward_wall_s")
+    model, train, val, test = _predictor(spark, sf)
+    run = training.RuntimePredictor(model).fit(train, val)
+    return run.predict(test).select("id", F.col("predicted_threshold_min").isin(LADDER).alias("on_ladder"), _floor_ok(), _sound("predicted_forward_wall_s").alias("sound"))
 
 
-@query("m24_param_search")
+@query("m24_param_search", """
+SELECT mode AS threshold_mode, scale AS scaling, TRUE AS judged FROM (VALUES ('log2'), ('raw'), ('both')) m(mode), (VALUES ('standard'), ('robust')) s(scale)""")
 def m24(spark, sf):
     df = cut(fx.v_features(spark, sf))
-    df = frame.impute(df, {**{f: 0.0 for f in FEATS}, **frame.fit_fill(df, FEATS)})
-    parts = cut(splits.build_splits(df, "id", "grp", 2))
+    parts = cut(splits.build_splits(df, "id", "grp", 5))
 
     def fit_predict(train, val, test, params):
+        train, test = _filled(train, test)
         return models.KernelRuntimeModel(FEATS, **params).fit(train).predict(test, "selected_threshold")
 
-    grid = training.param_grid({"threshold_mode": ["log2", "both"], "scaling": ["standard", "robust"]})
-    _, _, tried = training.grouped_param_search(df, parts, "id", 2, fit_predict, grid, training.mean_runtime_score)
-    return spark.createDataFrame([(p["threshold_mode"], p["scaling"], s) for p, s in tried], "threshold_mode string, scaling string, score double")
+    grid = training.param_grid({"threshold_mode": ["log2", "raw", "both"], "scaling": ["standard", "robust"]})
+    best, score, tried = training.grouped_param_search(df, parts, "id", 5, fit_predict, grid, training.mean_runtime_score)
+    return spark.createDataFrame([(p["threshold_mode"], p["scaling"], float("-inf") < s <= score) for p, s in tried], "threshold_mode string, scaling string, judged boolean")
 
 
-@query("m26_predict_batch")
+@query("m26_predict_batch", HELD_IDS.format("TRUE AS on_ladder, TRUE AS sound"))
 def m26(spark, sf):
-    train, _, test = _data(spark, sf)
-    thr = training.ThresholdPredictor(FEATS, 4, use_auxiliary=False, classifier={"tree_counts": (5,), "max_depth": 4}).fit(train)
-
-    class Runtime:
-        model = models.KernelRuntimeModel(FEATS).fit(train)
-
-        def predict(self, df):
-            return self.model.predict(frame.impute(df, thr.fill))
-
-    class Threshold:
-        def predict(self, df):
-            return thr.predict(df)
-
+    model, train, val, test = _predictor(spark, sf)
+    run = training.RuntimePredictor(model, settings={"use_ensemble": False}).fit(train, val)
     tasks = test.select(F.col("id").alias("task_id"), F.col("backend").alias("processor"), "precision")
     id_map = test.select("id", F.col("id").alias("qasm_file"))
     features = test.select(F.col("id").alias("file"), *FEATS)
-    return training.predict_batch(tasks, id_map, features, FEATS, Threshold(), Runtime())
+    out = training.predict_batch(tasks, id_map, features, FEATS, model, run)
+    return out.select("id", F.col("predicted_threshold_min").isin(LADDER).alias("on_ladder"), _sound("predicted_forward_wall_s").alias("sound"))

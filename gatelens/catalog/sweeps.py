@@ -50,7 +50,7 @@ def _results(spark, sf):
     return benchmark.results_from_documents(fx.v_result_documents(spark, sf), "doc")
 
 
-@query("a1_read_benchmark", v.with_views(DOCS, body=f"""
+@query("a1_results_from_documents", v.with_views(DOCS, body=f"""
 SELECT {K}, status, pos, threshold, round(fid, 6) AS fid, note FROM pts"""))
 def a1(spark, sf):
     return rounded(sweep.sweep_points(_results(spark, sf)).select(*sweep.KEY, "status", "pos", "threshold", "fid", "note"))

@@ -14,7 +14,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import Bucketizer, OneHotEncoder, QuantileDiscretizer, RobustScaler, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,23 +39,48 @@ def _scored(model: PipelineModel, df: DataFrame, out: str) -> DataFrame:
 
 @dataclass
 class ThresholdClassifier:
-    """M1 to M6: probability of each rung, then a risk-aware decision."""
+    """M1 to M6: probability of each rung, then a risk-aware decision.
+
+    ``method`` is ``forest`` (the ensemble size of the least validation log loss among ``tree_counts``) or ``boost``: one
+    boosted ensemble per rung against the rest, each stopped when its validation loss no longer falls (at most
+    ``max_rounds`` trees), with the nine probabilities scaled to sum to one.
+    """
 
     features: list[str]
+    method: str = "forest"
     max_depth: int = 5
     tree_counts: tuple[int, ...] = (20, 60)
+    max_rounds: int = 1000
+    learning_rate: float = 0.1
     policy: str = "expected_score"
     margin: float = 0.0
     seed: int = 42
     #: Train rows above the ladder, which count as its top rung.
     n_capped: int = 0
     model: PipelineModel | None = None
+    boosted: dict[int, PipelineModel] = field(default_factory=dict)
+
+    def _fit_boosted(self, data: DataFrame, val: DataFrame | None, label: Column) -> None:
+        """A rung that no train row has gets probability 0."""
+        rows = data.withColumn("is_val", F.lit(False))
+        if val is not None:
+            rows = rows.unionByName(val.withColumns({"label": label, "is_val": F.lit(True)}), allowMissingColumns=True)
+        self.boosted = {}
+        for k in sorted(int(r[0]) for r in data.select("label").distinct().collect()):
+            tree = GBTClassifier(labelCol="own", maxIter=self.max_rounds, maxDepth=self.max_depth, stepSize=self.learning_rate, seed=self.seed)
+            if val is not None:
+                tree = tree.setValidationIndicatorCol("is_val")
+            own = rows.withColumn("own", (F.col("label") == k).cast("double"))
+            self.boosted[k] = Pipeline(stages=[_assembler(self.features), tree]).fit(own)
 
     def fit(self, train: DataFrame, val: DataFrame | None = None) -> ThresholdClassifier:
         """With validation rows the ensemble size of the least log loss is kept, otherwise the largest."""
         label = F.least(rung_index(F.col("selected_threshold")), F.lit(len(RUNGS_SCORING) - 1)).cast("double")
         self.n_capped = train.where(F.col("selected_threshold") > RUNGS_SCORING[-1]).count()
         data = train.withColumn("label", label)
+        if self.method == "boost":
+            self._fit_boosted(data, val, label)
+            return self
         sizes = self.tree_counts if val is not None else self.tree_counts[-1:]
         best = None
         for trees in sizes:
@@ -73,6 +98,13 @@ class ThresholdClassifier:
         return self
 
     def predict_proba(self, df: DataFrame, out: str = "proba") -> DataFrame:
+        if self.method == "boost":
+            scored = df
+            for k, model in self.boosted.items():
+                scored = model.transform(scored).withColumn(f"__p{k}", vector_to_array("probability")[1]).select(*scored.columns, f"__p{k}")
+            raw = F.array(*[F.col(f"__p{k}") if k in self.boosted else F.lit(0.0) for k in range(len(RUNGS_SCORING))])
+            total = F.greatest(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x), F.lit(1e-300))
+            return scored.withColumn(out, F.transform(raw, lambda x: x / total)).select(*df.columns, out)
         n = self.model.stages[-1].numClasses
         padded = decisions.pad_probabilities(vector_to_array("probability"), list(range(n)))
         return self.model.transform(df).withColumn(out, padded).select(*df.columns, out)
@@ -129,7 +161,7 @@ def on_rungs(df: DataFrame, rungs: list[int] = RUNGS_SCORING) -> DataFrame:
 class CurveModel:
     """M8: pooled regression of fidelity on features and log2 rung, moved to a low quantile.
 
-    The booster has no quantile loss, so each rung is shifted by the alpha-quantile of its validation residuals.
+    With validation rows boosting stops when their loss no longer falls. The booster has no quantile loss, so each rung is shifted by the alpha-quantile of its validation residuals.
     """
 
     features: list[str]
@@ -143,8 +175,13 @@ class CurveModel:
 
     def fit(self, train: DataFrame, val: DataFrame | None = None) -> CurveModel:
         """``train`` and ``val`` are expanded rows: features, log2_rung, rung, y, weight."""
-        data = train.withColumn("label", F.least(F.greatest(F.col("y"), F.lit(1e-6)), F.lit(1.0)))
+        rows = train.withColumn("is_val", F.lit(False))
+        if val is not None:
+            rows = rows.unionByName(val.withColumn("is_val", F.lit(True)))
+        data = rows.withColumn("label", F.least(F.greatest(F.col("y"), F.lit(1e-6)), F.lit(1.0)))
         tree = GBTRegressor(maxIter=self.max_iter, maxDepth=self.max_depth, stepSize=self.learning_rate, weightCol="weight", seed=42)
+        if val is not None:
+            tree = tree.setValidationIndicatorCol("is_val")
         self.model = Pipeline(stages=[_assembler([*self.features, "log2_rung"]), tree]).fit(data)
         judged = _scored(self.model, val if val is not None else train, "fitted")
         residuals = judged.select("rung", (F.col("y") - F.col("fitted")).alias("x")).where("x IS NOT NULL")
@@ -204,9 +241,11 @@ class _PerRungCurve:
         return out.select(*keep, *[f"curve_{r}" for r in self.rungs])
 
     def predict_threshold(self, df: DataFrame, out: str = "curve_threshold", target: float = TARGET_FIDELITY) -> DataFrame:
-        wide = self.predict_wide(df)
-        hit = F.coalesce(*[F.when(F.col(f"curve_{r}") >= target, F.lit(r)) for r in self.rungs], F.lit(self.rungs[-1]))
-        return wide.withColumn(out, hit).select(*df.columns, out)
+        return self.predict_wide(df).withColumn(out, self.answer(target)).select(*df.columns, out)
+
+    def answer(self, target: float = TARGET_FIDELITY) -> Column:
+        """The first rung whose curve reaches the target, else the last, over the columns of ``predict_wide``."""
+        return F.coalesce(*[F.when(F.col(f"curve_{r}") >= target, F.lit(r)) for r in self.rungs], F.lit(self.rungs[-1]))
 
 
 @dataclass

@@ -30,13 +30,14 @@ def _array_of(fields: str) -> str:
     return f"ARRAY<STRUCT<{' '.join(out)}>>"
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def _read(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
+    """One document per file, or (``lines``) one per line, the splittable form for large collections."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
-def read_benchmark(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A1: (circuits, results) from documents with two top-level arrays; one document per file, any number of files."""
-    doc = _read(spark, path, f"circuits {_array_of(CIRCUIT)}, results {_array_of(RESULT)}")
+def read_benchmark(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """A1: (circuits, results) from documents with two top-level arrays; one document per file or line."""
+    doc = _read(spark, path, f"circuits {_array_of(CIRCUIT)}, results {_array_of(RESULT)}", lines)
     return doc.select(F.inline("circuits")), doc.select(F.inline("results"))
 
 
@@ -55,18 +56,18 @@ def circuit_metadata(circuits: DataFrame) -> DataFrame:
     return circuits.select("file", "family", "n_qubits", F.col("source.name").alias("source_name"))
 
 
-def read_tasks(spark: SparkSession, path: str) -> DataFrame:
+def read_tasks(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """A4: (task_id, processor, precision)."""
-    return tasks(_read(spark, path, f"tasks {_array_of(TASK)}").select(F.inline("tasks")))
+    return tasks(_read(spark, path, f"tasks {_array_of(TASK)}", lines).select(F.inline("tasks")))
 
 
 def tasks(rows: DataFrame) -> DataFrame:
     return rows.withColumnRenamed("id", "task_id")
 
 
-def read_id_map(spark: SparkSession, path: str) -> DataFrame:
-    """A5: (id, qasm_file)."""
-    doc = _read(spark, path, f"entries {_array_of(ID_ENTRY)}")
+def read_id_map(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A5: (id, qasm_file). With ``lines``, an id's entries stand in one document."""
+    doc = _read(spark, path, f"entries {_array_of(ID_ENTRY)}", lines)
     return id_map(doc.select(F.posexplode("entries").alias("pos", "e")).select("pos", "e.*"))
 
 

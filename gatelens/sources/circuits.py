@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, text): one row per circuit file."""
-    return spark.read.text(folder, wholetext=True).select(
-        F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    """(file, text): one row per circuit file. A folder that ``write_texts`` wrote names the circuits by its subfolders."""
+    texts = spark.read.text(folder, wholetext=True)
+    name = F.col("file").cast("string") if "file" in texts.columns else F.col("_metadata.file_name")
+    return texts.select(name.alias("file"), F.col("value").alias("text"))
 
 
 def match_manifest(texts: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:

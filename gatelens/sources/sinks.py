@@ -45,6 +45,21 @@ def write_predictions(preds: DataFrame, path: str, document: bool = False) -> No
     rows.unionByName(last).orderBy("end", "id").select("line").write.mode("overwrite").text(path)
 
 
+def read_predictions(spark: SparkSession, path: str, document: bool = False) -> DataFrame:
+    """What ``write_predictions`` wrote: (id, predicted_threshold_min, predicted_forward_wall_s)."""
+    schema = "id STRING, predicted_threshold_min INT, predicted_forward_wall_s DOUBLE"
+    if not document:
+        return spark.read.schema(schema).json(path)
+    # every line of the document holds one object, with what joins them in front of or after it
+    body = F.regexp_extract("value", r"(\{[^{}]*\})", 1)
+    return spark.read.text(path).select(F.from_json(body, schema).alias("p")).where("p.id IS NOT NULL").select("p.*")
+
+
+def write_texts(texts: DataFrame, path: str) -> None:
+    """A3's input: (file, text) as one folder per circuit, each text ended by a line end."""
+    texts.select("file", "text").write.mode("overwrite").partitionBy("file").text(path)
+
+
 def write_splits(splits: DataFrame, path: str, n_samples: int, metadata: dict | None = None) -> None:
     """(row_key, fold, role) in parquet with a one-row metadata table."""
     splits.write.mode("overwrite").partitionBy("fold", "role").parquet(path + "/rows")

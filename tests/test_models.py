@@ -37,6 +37,25 @@ def test_threshold_predictor_and_artifacts(data, spark, tmp_path):
     assert key(again.predict(ready)) == key(fitted.model.predict(ready))
 
 
+def test_boosted_classifier(data, spark, tmp_path):
+    """One ensemble per rung, stopped early: as good as the forest on held-out groups, and nine probabilities that sum to one."""
+    train, val, test = data.where("grp % 5 > 1"), data.where("grp % 5 = 1"), data.where("grp % 5 = 0")
+    loss = {}
+    for method, settings in (("boost", {"max_rounds": 15, "max_depth": 3}), ("forest", {"tree_counts": (5, 10)})):
+        model = models.ThresholdClassifier(FEATS, method=method, **settings).fit(train, val)
+        rows = model.predict_proba(test).collect()
+        assert all(sum(r.proba) == pytest.approx(1) and len(r.proba) == 9 for r in rows)
+        loss[method] = -np.mean([np.log(max(r.proba[int(np.log2(r.selected_threshold))], 1e-6)) for r in rows])
+    assert loss["boost"] < max(1.2 * loss["forest"], 0.5)
+
+
+def test_scaler_per_rung(spark):
+    rows = [(float(i), 0.5 if i < 10 else None, 0.1) for i in range(100)]
+    df = spark.createDataFrame(rows, "f0 double, sweep_fid_1 double, sweep_fid_2 double")
+    model = models.KernelCurveModel(["f0"], rungs=[1, 2]).fit(df, {1: "sweep_fid_1", 2: "sweep_fid_2"})
+    assert [model.scalers[r].stages[-1].mean[0] for r in (1, 2)] == [4.5, 49.5]
+
+
 def test_curves(data):
     columns = {1: "sweep_fid_1", 2: "sweep_fid_2", 4: "sweep_fid_4"}
     rows = decisions.curve_weights(frame.expand_rungs(data, columns, ["id", *FEATS]), ["id"], [1, 2, 4])
