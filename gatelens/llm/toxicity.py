@@ -4,7 +4,7 @@ A word's subwords are its character 3- to 6-grams with the word's edges, and the
 bucket has an embedding. The embeddings of all subwords of a passage (``passage`` consecutive words) are averaged and go
 through a linear softmax; a document's odds add those of its passages (log-sum-exp), so that a few words in a long text
 count. Embeddings and softmax are trained together in numpy, on the driver, from a sample of labelled rows that is bounded
-by ``max_rows`` of each label and ``max_chars`` a row; an unseen misspelling shares most of its character n-grams with the
+by ``max_rows`` of each label and ``max_chars`` bytes a row (longer rows are not learned from, but scored whole); an unseen misspelling shares most of its character n-grams with the
 word. Scoring needs one weight per bucket (the embedding's share of the softmax), a table of fixed size.
 
 Texts are read whole as bytes, A-Z in lower case; other ASCII than letters, digits and @ $ * ends a word. Results: null and
@@ -38,8 +38,8 @@ class Settings:
     steps: int = 100
     rate: float = 5.0
     decay: float = 1e-3
-    max_rows: int = 3000
-    max_chars: int = 200_000
+    max_rows: int = 1500
+    max_chars: int = 50_000
     threshold: float = 0.3
     seed: int = 11
 
@@ -98,24 +98,61 @@ def log_odds(b: Bags, weight: np.ndarray, bias: float, n_docs: int) -> np.ndarra
     return out
 
 
+@dataclass
+class TrainingTokens:
+    """Distinct words with their buckets (``owner`` per bucket entry, ``size`` per word); the word and passage of each token."""
+
+    bucket: np.ndarray
+    owner: np.ndarray
+    size: np.ndarray
+    kind: np.ndarray
+    passage: np.ndarray
+    doc: np.ndarray
+
+
+def training_tokens(texts: list[str], s: Settings, most: int = 1 << 18) -> TrainingTokens:
+    """Texts slice by slice, so that only distinct words keep their buckets."""
+    known, hashes, sizes, buckets, tokens, passages, docs = np.zeros(0, np.uint64), [], [], [], [], [], []
+    start = n_passages = 0
+    while start < len(texts):
+        raw, stop = [], start
+        while stop < len(texts) and (not raw or sum(map(len, raw)) < most):
+            raw.append(texts[stop].encode())
+            stop += 1
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+        b = bags(np.frombuffer(b"".join(raw), np.uint8), offsets, s)
+        word, first = np.unique(b.word_hash, return_index=True)
+        fresh = ~np.isin(word, known, assume_unique=True)
+        order = np.argsort(b.word, kind="stable")
+        lo, hi = (np.searchsorted(b.word, first[fresh], side, sorter=order) for side in ("left", "right"))
+        size = hi - lo
+        entry = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64), size) + np.arange(size.sum())
+        buckets.append(b.bucket[order[entry]].astype(np.int32))
+        sizes.append(size)
+        hashes.append(word[fresh])
+        known = np.union1d(known, word[fresh])
+        tokens.append(b.word_hash)
+        passages.append((b.passage + n_passages).astype(np.int32))
+        docs.append((b.doc + start).astype(np.int32))
+        start, n_passages = stop, n_passages + len(b.doc)
+    if not texts:
+        none = np.zeros(0, np.int32)
+        return TrainingTokens(none, none, none, none, none, none)
+    size, every = np.concatenate(sizes), np.concatenate(hashes)
+    order = np.argsort(every)
+    kind = order[np.searchsorted(every, np.concatenate(tokens), sorter=order)].astype(np.int32)
+    return TrainingTokens(np.concatenate(buckets), np.repeat(np.arange(len(size), dtype=np.int32), size), size, kind, np.concatenate(passages),
+                          np.concatenate(docs))
+
+
 def train(texts: list[str], labels: np.ndarray, s: Settings) -> tuple[np.ndarray, float]:
     """Bucket weights and bias; embeddings and softmax learn together by full-batch Adam."""
-    raw = [t.encode() for t in texts]
-    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    b = bags(np.frombuffer(b"".join(raw), np.uint8), offsets, s)
-    # distinct words once, with their buckets
-    _, first, kind = np.unique(b.word_hash, return_index=True, return_inverse=True)
-    order = np.argsort(b.word, kind="stable")
-    bucket, word = b.bucket[order], b.word[order]
-    lo, hi = np.searchsorted(word, first), np.searchsorted(word, first, "right")
-    size = hi - lo
-    entry = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-    bucket, owner = bucket[entry].astype(np.int32), np.repeat(np.arange(len(first)), size).astype(np.int32)
-    del b.bucket, b.word, word, order, entry
-    n_words, n_passages, n_docs, n_buckets = len(first), len(b.doc), len(texts), 1 << s.bits
-    passage_size = np.bincount(b.passage, weights=size[kind])
+    t = training_tokens(texts, s)
+    bucket, owner, kind, passage, doc = t.bucket, t.owner, t.kind, t.passage, t.doc
+    n_words, n_passages, n_docs, n_buckets = len(t.size), len(doc), len(texts), 1 << s.bits
+    passage_size = np.bincount(passage, weights=t.size[kind], minlength=n_passages)
     has = np.zeros(n_docs, bool)
-    has[b.doc] = True
+    has[doc] = True
     y = labels.astype(float)
     share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * has
     rng = np.random.default_rng(s.seed)
@@ -128,12 +165,12 @@ def train(texts: list[str], labels: np.ndarray, s: Settings) -> tuple[np.ndarray
         direction = out[1] - out[0]
         weight = embedding @ direction
         per_word = np.bincount(owner, weights=weight[bucket], minlength=n_words)
-        z = np.bincount(b.passage, weights=per_word[kind], minlength=n_passages) / passage_size + bias[1] - bias[0]
+        z = np.bincount(passage, weights=per_word[kind], minlength=n_passages) / passage_size + bias[1] - bias[0]
         total = np.full(n_docs, -np.inf)
-        np.logaddexp.at(total, b.doc, z)
+        np.logaddexp.at(total, doc, z)
         wrong = share * (1 / (1 + np.exp(-np.clip(total, -50, 50))) - y)
-        g_z = wrong[b.doc] * np.exp(np.minimum(z - total[b.doc], 0))
-        g_word = np.bincount(kind, weights=(g_z / passage_size)[b.passage], minlength=n_words)
+        g_z = wrong[doc] * np.exp(np.minimum(z - total[doc], 0))
+        g_word = np.bincount(kind, weights=(g_z / passage_size)[passage], minlength=n_words)
         g_weight = np.bincount(bucket, weights=g_word[owner], minlength=n_buckets)
         g_direction = g_weight @ embedding
         grads = [np.outer(g_weight.astype(np.float32), direction) + np.float32(s.decay) * embedding, np.stack([-g_direction, g_direction]),
