@@ -19,6 +19,8 @@ GATE = r"^(\w+)(?:\(([^)]*)\))?\s+(.+?)\s*;$"
 OPERAND = r"(\w+)\s*\[\s*(\d+)\s*\]"
 NUMBER = r"(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
 ANGLE = rf"^([-+]?)\s*(?:({NUMBER})\s*\*\s*)?(?:(pi)|({NUMBER}))\s*(?:/\s*({NUMBER}))?$"
+FACTOR = rf"(?:pi|{NUMBER})"
+TERM = rf"^[-+]?{FACTOR}(?:[*/]{FACTOR})*$"
 BLANKS = " \t\r\n\x0b\x0c"
 MARK = "\x01"
 
@@ -101,9 +103,26 @@ def gates_raw(stmts: DataFrame, carry: list[str] | None = None) -> DataFrame:
 
 
 def eval_params(expr: Column) -> Column:
-    """Value of an angle expression ``[-] [num *] (pi | num) [/ num]``, NULL when it has another form."""
+    """Value of an angle expression: terms of numbers and pi under * and /, added and subtracted; else NULL.
+
+    Nearly all angles have the form ``[-] [num *] (pi | num) [/ num]``, which takes one regex run; others are cut up.
+    """
     m = match_groups(F.btrim(expr, F.lit(BLANKS)), ANGLE, 5)
-    return F.element_at(F.transform(F.array(m), _angle_value), 1)
+    return F.coalesce(F.element_at(F.transform(F.array(m), _angle_value), 1), _sum_of_terms(expr))
+
+
+def _sum_of_terms(expr: Column) -> Column:
+    # a sign opens a new term unless it starts the expression or belongs to an exponent
+    plain = F.regexp_replace(expr, r"\s", "")
+    terms = F.split(F.regexp_replace(plain, r"(?<=[\w.])(?<![\d.][eE])([-+])", MARK + "$1"), MARK)
+    return F.aggregate(F.transform(terms, _term), F.lit(0.0), lambda a, t: a + t)
+
+
+def _term(term: Column) -> Column:
+    factors = F.regexp_extract_all(F.ltrim(term, F.lit("+-")), F.lit(rf"[*/]?{FACTOR}"), F.lit(0))
+    number = lambda f: F.when(f.endswith("pi"), F.lit(math.pi)).otherwise(F.ltrim(f, F.lit("*/")).try_cast("double"))
+    value = F.aggregate(factors, F.lit(1.0), lambda a, f: F.when(f.startswith("/"), F.try_divide(a, number(f))).otherwise(a * number(f)))
+    return F.when(term.rlike(TERM), F.when(term.startswith("-"), -value).otherwise(value))
 
 
 def _angle_value(m: Column) -> Column:

@@ -63,11 +63,11 @@ def sparse_graphs(seed, n_files=8, n=70):
     rng, out = random.Random(seed), {}
     for f in range(n_files):
         out[f] = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(20 + 15 * f)}
-    out[n_files] = {(i, i + 1) for i in range(48, n - 1)}  # a chain across two bitset words
+    out[n_files] = {(i, i + 1) for i in range(n - 1)}
     return out
 
 
-def test_rounds(spark):
+def test_searches(spark):
     n, graphs = 70, sparse_graphs(3)
     edges = spark.createDataFrame([(f, u, v, 1) for f, es in graphs.items() for u, v in es], "file int, u int, v int, weight long").cache()
     spine = spark.createDataFrame([(f, n) for f in graphs], "file int, n_qubits int").cache()
@@ -109,6 +109,35 @@ def test_rounds(spark):
         assert got_cl[f] == pytest.approx(sum(local) / n)
 
 
+def test_long_chain_next_to_small_circuits(spark):
+    """A chain of 130 qubits next to many small circuits: the search takes one pass, whatever the chain's length."""
+    chain = [("chain", i, i + 1, 1) for i in range(129)]
+    small = [(f"s{k}", 0, 1, 1) for k in range(2000)]
+    edges = spark.createDataFrame(chain + small, "file string, u int, v int, weight long").cache()
+    spine = spark.createDataFrame([("chain", 130)] + [(f"s{k}", 2) for k in range(2000)], "file string, n_qubits int").cache()
+    paths = {r.file: r for r in graph_search.path_metrics(edges, spine).collect()}
+    assert paths["chain"].graph_diameter == 129 and paths["chain"].graph_avg_shortest_path == pytest.approx(131 / 3)
+    assert len(paths) == 2001 and all(paths[f"s{k}"].graph_diameter == 1 for k in range(2000))
+    assert graph_search.core_numbers(edges, spine).agg({"core": "max"}).first()[0] == 1
+
+
+def test_quantiles_shuffle_no_raw_rows_by_key(spark):
+    """Few groups reach the rows as a broadcast whose size was checked; many by salted keys."""
+    from gatelens.functions import joins
+
+    df = spark.range(5000).selectExpr("id % 7 as k", "double(id) as x")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = quantiles.exact_quantiles(df, ["k"], ["x"], [0.5])
+        plan = few._jdf.queryExecution().optimizedPlan().toString()
+        assert "__salt" not in plan and "strategy=broadcast" in plan
+        many = joins.join_small(df, df.select("k").distinct(), ["k"], bound=3)
+        assert "hashpartitioning(k" in many._jdf.queryExecution().executedPlan().toString() and many.count() == 5000
+        assert "__salt" in many._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("accuracy", [10_000, 40])
 def test_quantiles(spark, monkeypatch, accuracy):
     """A tiny sketch forces the bracketed path."""
