@@ -31,7 +31,7 @@ from gatelens.llm.substring_dedup import word_bounds
 
 END, START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x27BB2EE687B0B0FD)
 WORD_SALT, PAIR = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 TEXT_PER_SHARD = 8 << 20
 
 
