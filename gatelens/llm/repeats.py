@@ -33,7 +33,8 @@ from gatelens.llm.common import Rolling, mix
 LOW = np.uint64((1 << 31) - 1)
 EARLIER, SEVERAL, SEVERAL_HERE = 1, 2, 3
 SPANS = "chunk long, shard long, answer binary"
-SLICE = 1 << 20
+#: Bytes of text whose rolling hashes are in memory at a time (a longer document is one slice).
+SLICE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -106,7 +107,9 @@ def slice_blocks(symbols: np.ndarray, offsets: np.ndarray, w: Windows) -> Blocks
     at = anchor[first]
     signature = mix(roll.slices(first, ends + w.length) ^ ((at - first).astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
     row = np.searchsorted(offsets, first, "right") - 1
-    return Blocks(gram[at], signature | np.uint64(1), row, first - offsets[row], ends - offsets[row], at - offsets[row])
+    # a least hash is small; scrambled once more, the keys fall evenly on the shards
+    key = mix(gram[at] ^ np.uint64(0x589965CC75374CC3))
+    return Blocks(key, signature | np.uint64(1), row, first - offsets[row], ends - offsets[row], at - offsets[row])
 
 
 def chunk_blocks(chunk: ch.Chunk, w: Windows) -> Blocks:
