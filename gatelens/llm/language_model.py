@@ -32,13 +32,14 @@ from gatelens.llm.substring_dedup import word_bounds
 END, START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x27BB2EE687B0B0FD)
 WORD_SALT, PAIR = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
 CHUNK_BYTES = 8 << 20
+SLICE = 1 << 18
 TEXT_PER_SHARD = 8 << 20
 
 
 def tokens(chunk: ch.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes with an end after each document, the hash before each, and each document's first token."""
     parts, counts = [], [np.zeros(1, np.int64)]
-    for i, j in chunk.slices(1 << 20):
+    for i, j in chunk.slices(SLICE):
         a, b = chunk.offsets[i], chunk.offsets[j]
         data = lowered(chunk.data[a:b])
         starts, ends, first = word_bounds(data, chunk.offsets[i:j + 1] - a)

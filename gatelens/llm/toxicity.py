@@ -211,7 +211,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, learns: Column | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, bias = shared.value
-        for batch in sliced(batches, "__text", 1 << 20):
+        for batch in sliced(batches, "__text", 1 << 18):
             data, offsets = byte_texts(batch.column("__text"))
             z = log_odds(bags(data, offsets, settings), weight, bias, batch.num_rows)
             score = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
