@@ -145,6 +145,8 @@ class AuxiliaryPredictor:
         return [f"pred_{t}" for t in self.models]
 
     def transform(self, df: DataFrame) -> DataFrame:
+        """Rows that were enriched before get the columns anew."""
+        df = df.drop(*self.names)
         for t, model in self.models.items():
             df = _scored(model, df, f"pred_{t}").withColumn(f"pred_{t}", decisions.auxiliary_inverse(t, F.col(f"pred_{t}")))
         return df
