@@ -3,9 +3,13 @@
 A word's subwords are its character 3- to 6-grams with the word's edges, and the word itself, hashed into buckets; each
 bucket has an embedding. The embeddings of all subwords of a passage (``passage`` consecutive words) are averaged and go
 through a linear softmax; a document's odds add those of its passages (log-sum-exp), so that a few words in a long text
-count. Embeddings and softmax are trained together in numpy, on the driver, from a sample of labelled rows that is bounded
-by ``max_rows`` of each label and ``max_chars`` bytes a row (longer rows are not learned from, but scored whole); an unseen misspelling shares most of its character n-grams with the
-word. Scoring needs one weight per bucket (the embedding's share of the softmax), a table of fixed size.
+count. The sum is divided by 1 + n * level for n passages, where the level is ``excess`` times the mean odds of the clean
+passages learned from, and a passage's odds count up to exp(``most_odds``): clean text does not turn toxic by its length.
+
+Embeddings and softmax are trained together in numpy, on the driver, from a sample of labelled rows with a word, of any
+length, bounded by ``max_rows`` of each label. A text over ``max_chars`` bytes gives that much in pieces spread evenly over
+all of it; it is scored whole. An unseen misspelling shares most of its character n-grams with the word. Scoring needs one
+weight per bucket (the embedding's share of the softmax), a table of fixed size.
 
 Texts are read whole as bytes, A-Z in lower case; other ASCII than letters, digits and @ $ * ends a word. Results: null and
 empty texts get the score of a text without passages, 0; repeated rows are scored each; a document labelled twice is toxic
@@ -14,7 +18,7 @@ if any label says so; without labels of both kinds every score is 0. An empty ta
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,11 +27,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from gatelens.functions.lineage import cut
 from gatelens.llm.common import BYTE_CODES, Rolling, byte_texts, crc_mod, lowered, sliced
 
 SIZES = (3, 4, 5, 6)
 LETTER = np.zeros(256, bool)
 LETTER[[*b"abcdefghijklmnopqrstuvwxyz0123456789@$*", *range(128, 256)]] = True
+#: The same set as a pattern for SQL functions, before lowering.
+HAS_WORD = "[A-Za-z0-9@$*]|[^\\x00-\\x7F]"
+#: Bytes of a piece of a text that is too long to be learned from whole.
+PIECE = 2000
 
 
 @dataclass(frozen=True)
@@ -38,8 +47,10 @@ class Settings:
     steps: int = 100
     rate: float = 5.0
     decay: float = 1e-3
-    max_rows: int = 1500
-    max_chars: int = 50_000
+    max_rows: int = 3000
+    max_chars: int = 200_000
+    excess: float = 30.0
+    most_odds: float = 1.0
     threshold: float = 0.3
     seed: int = 11
 
@@ -87,15 +98,15 @@ def bags(data: np.ndarray, offsets: np.ndarray, s: Settings) -> Bags:
     return Bags(np.concatenate(buckets).astype(np.int64), np.concatenate(words), whole, passage, doc_of_word[new])
 
 
-def log_odds(b: Bags, weight: np.ndarray, bias: float, n_docs: int) -> np.ndarray:
-    """Log-sum-exp over the passages of each text of their softmax log odds; minus infinity without a passage."""
+def log_odds(b: Bags, weight: np.ndarray, bias: float, level: float, s: Settings, n_docs: int) -> np.ndarray:
+    """Log-sum-exp over the passages of each text of their softmax log odds, less what their number gives; minus infinity without one."""
     n = len(b.passage)
     total = np.bincount(b.word, weights=weight[b.bucket], minlength=n)
     size = np.bincount(b.word, minlength=n)
     z = np.bincount(b.passage, weights=total) / np.bincount(b.passage, weights=size) + bias if n else np.zeros(0)
     out = np.full(n_docs, -np.inf)
-    np.logaddexp.at(out, b.doc, z)
-    return out
+    np.logaddexp.at(out, b.doc, np.minimum(z, s.most_odds))
+    return out - np.log1p(level * np.bincount(b.doc, minlength=n_docs))
 
 
 @dataclass
@@ -145,12 +156,21 @@ def training_tokens(texts: list[str], s: Settings, most: int = 1 << 18) -> Train
                           np.concatenate(docs))
 
 
-def train(texts: list[str], labels: np.ndarray, s: Settings) -> tuple[np.ndarray, float]:
-    """Bucket weights and bias; embeddings and softmax learn together by full-batch Adam."""
+def summed(at: np.ndarray, value: Callable[[slice], np.ndarray], n: int, most: int = 1 << 20) -> np.ndarray:
+    """Sums of ``value`` by index, in slices, as bincount copies both of its arguments to 64 bits."""
+    out = np.zeros(n)
+    for start in range(0, len(at), most):
+        part = slice(start, start + most)
+        out += np.bincount(at[part], weights=value(part), minlength=n)
+    return out
+
+
+def train(texts: list[str], labels: np.ndarray, s: Settings) -> tuple[np.ndarray, float, float]:
+    """Bucket weights, bias and level; embeddings and softmax learn together by full-batch Adam."""
     t = training_tokens(texts, s)
     bucket, owner, kind, passage, doc = t.bucket, t.owner, t.kind, t.passage, t.doc
     n_words, n_passages, n_docs, n_buckets = len(t.size), len(doc), len(texts), 1 << s.bits
-    passage_size = np.bincount(passage, weights=t.size[kind], minlength=n_passages)
+    passage_size = summed(passage, lambda p: t.size[kind[p]], n_passages)
     has = np.zeros(n_docs, bool)
     has[doc] = True
     y = labels.astype(float)
@@ -164,14 +184,15 @@ def train(texts: list[str], labels: np.ndarray, s: Settings) -> tuple[np.ndarray
         embedding, out, bias = params
         direction = out[1] - out[0]
         weight = embedding @ direction
-        per_word = np.bincount(owner, weights=weight[bucket], minlength=n_words)
-        z = np.bincount(passage, weights=per_word[kind], minlength=n_passages) / passage_size + bias[1] - bias[0]
+        per_word = summed(owner, lambda p: weight[bucket[p]], n_words)
+        z = summed(passage, lambda p: per_word[kind[p]], n_passages) / passage_size + bias[1] - bias[0]
         total = np.full(n_docs, -np.inf)
         np.logaddexp.at(total, doc, z)
         wrong = share * (1 / (1 + np.exp(-np.clip(total, -50, 50))) - y)
         g_z = wrong[doc] * np.exp(np.minimum(z - total[doc], 0))
-        g_word = np.bincount(kind, weights=(g_z / passage_size)[passage], minlength=n_words)
-        g_weight = np.bincount(bucket, weights=g_word[owner], minlength=n_buckets)
+        g_token = g_z / passage_size
+        g_word = summed(kind, lambda p: g_token[passage[p]], n_words)
+        g_weight = summed(bucket, lambda p: g_word[owner[p]], n_buckets)
         g_direction = g_weight @ embedding
         grads = [np.outer(g_weight.astype(np.float32), direction) + np.float32(s.decay) * embedding, np.stack([-g_direction, g_direction]),
                  np.array([-g_z.sum(), g_z.sum()])]
@@ -182,20 +203,42 @@ def train(texts: list[str], labels: np.ndarray, s: Settings) -> tuple[np.ndarray
             scale[i] = max(scale[i], float(np.linalg.norm(g)))
             p -= np.float32(s.rate / (scale[i] + 1e-12)) * speed[i]
     embedding, out, bias = params
-    return embedding @ (out[1] - out[0]), float(bias[1] - bias[0])
+    weight = embedding @ (out[1] - out[0])
+    per_word = summed(owner, lambda p: weight[bucket[p]], n_words)
+    z = summed(passage, lambda p: per_word[kind[p]], n_passages) / passage_size + bias[1] - bias[0]
+    clean = np.exp(np.minimum(z[y[doc] == 0], 0))
+    return weight, float(bias[1] - bias[0]), s.excess * float(clean.mean()) if len(clean) else 0.0
+
+
+def spread(text: str, most: int) -> str:
+    """The text, or of a longer one ``most`` bytes in pieces of whole words at even distances from its start to its end."""
+    raw = text.encode()
+    if len(raw) <= most:
+        return text
+    parts = []
+    for at in np.linspace(0, len(raw) - min(PIECE, most), max(1, most // PIECE)).astype(int):
+        words = raw[at:at + min(PIECE, most)].split()
+        parts.append(b" ".join(words[1:-1] or words))
+    return b" ".join(parts).decode(errors="ignore")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, learns: Column, s: Settings, id_col: str, text_col: str,
                     label_col: str) -> tuple[list[str], np.ndarray]:
-    """At most ``max_rows`` texts of each label, in a fixed pseudo-random order of ids."""
+    """At most ``max_rows`` texts of each label, in a fixed pseudo-random order of the ids that have a text with a word."""
     marked = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null")
               .groupBy("doc_id").agg(F.max("y").alias("y")).where(learns))
     order = F.xxhash64(F.col("doc_id"), F.lit(s.seed))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = texts.where(F.col("text").isNotNull() & (F.octet_length("text") <= s.max_chars))
-    # ids alone are ranked (twice as many, for rows without a usable text), and their texts fetched
-    ids = [marked.where(F.col("y") == y).orderBy(order, "doc_id").limit(s.max_rows) for y in (0, 1)]
-    rows = texts.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").rlike(HAS_WORD))
+    # ids alone are ranked, and their texts fetched
+    usable = cut(marked.join(texts.select("doc_id"), "doc_id", "left_semi"))
+    ids = [usable.where(F.col("y") == y).orderBy(order, "doc_id").limit(s.max_rows) for y in (0, 1)]
+    chosen = texts.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "y", "text")
+
+    def shorter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.set_column(2, "text", pa.array([spread(t, s.max_chars) for t in batch.column(2).to_pylist()], pa.string()))
+
+    rows = chosen.mapInArrow(shorter, "doc_id long, y int, text string").orderBy("doc_id").collect()
     return [r["text"] for r in rows], np.array([r["y"] for r in rows], int)
 
 
@@ -204,16 +247,16 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, learns: Column | None =
     """``docs`` with columns ``toxic_score`` (0 to 1) and ``toxic_predicted`` (1 if the score reaches the threshold)."""
     learns = crc_mod(F.col("doc_id"), 4) != 2 if learns is None else learns
     texts, y = labelled_sample(docs, labels, learns, settings, id_col, text_col, label_col)
-    model = train(texts, y, settings) if 0 < y.sum() < len(y) else (np.zeros(1 << settings.bits, np.float32), -np.inf)
+    model = train(texts, y, settings) if 0 < y.sum() < len(y) else (np.zeros(1 << settings.bits, np.float32), -np.inf, 0.0)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^bits weights, whatever the corpus
     named = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(docs.columns)], F.col(text_col).alias("__text"))
     fields = [*named.schema.fields[:-1], StructField("toxic_score", DoubleType()), StructField("toxic_predicted", IntegerType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, bias = shared.value
+        weight, bias, level = shared.value
         for batch in sliced(batches, "__text", 1 << 18):
             data, offsets = byte_texts(batch.column("__text"))
-            z = log_odds(bags(data, offsets, settings), weight, bias, batch.num_rows)
+            z = log_odds(bags(data, offsets, settings), weight, bias, level, settings, batch.num_rows)
             score = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
             score[np.isneginf(z)] = 0.0
             columns = [*batch.columns[:-1], pa.array(score), pa.array((score >= settings.threshold).astype(np.int32))]

@@ -79,6 +79,32 @@ def test_toxicity_edges(frame, nothing, labelled, spark):
     assert toxicity.toxicity_scores(frame, null, settings=few).count() == frame.count()
 
 
+def test_toxicity_of_long_texts(labelled, spark):
+    """Clean texts of 0.1 to 5 MB stay clean, and a short toxic one among them toxic."""
+    short = [r.text for r in labelled.where("toxic = 0 and doc_id < 700").collect()]
+    toxic = [r.text for r in labelled.where("toxic = 1 and crc32(cast(cast(doc_id as string) as binary)) % 4 = 2").collect()]
+    size = sum(len(t) + 1 for t in short)
+    rows = [(10_000 + k, " ".join(short * max(1, n // size))[:n]) for k, n in enumerate((100_000, 1_000_000, 5_000_000))]
+    rows += [(20_000 + k, t) for k, t in enumerate(toxic)]
+    long = labelled.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r.toxic_predicted for r in toxicity.toxicity_scores(long, labelled.select("doc_id", "toxic")).where("doc_id >= 10000").collect()}
+    assert [got[10_000 + k] for k in range(3)] == [0, 0, 0]
+    assert sum(got[20_000 + k] for k in range(len(toxic))) > 0.9 * len(toxic)
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    """Long labelled texts are learned from, over all of their length; rows without a word do not use up the limit."""
+    long = " ".join(f"w{i}" for i in range(60_000))
+    docs = spark.createDataFrame([(i, long if i == 5 else None if i < 5 else " .,; " if i < 10 else f"text {i}") for i in range(20)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 2) toxic")
+    s = toxicity.Settings(max_rows=6, max_chars=20_000)
+    texts, y = toxicity.labelled_sample(docs, labels, F.lit(True), s, "doc_id", "text", "toxic")
+    assert len(texts) == 11 and y.sum() == 6
+    got = [int(w[1:]) for t in texts for w in t.split() if w[0] == "w"]
+    assert len(got) > 2500 and got == sorted(got) and got[0] < 10 and got[-1] > 59_900 and max(np.diff(got)) < 10_000
+    assert max(len(t) for t in texts) <= 20_000
+
+
 def test_bags_end_at_documents():
     s = toxicity.Settings(passage=2)
     texts = ["ab", "", "Ab cd, ef", "!!", "ab"]
