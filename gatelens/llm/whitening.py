@@ -36,6 +36,8 @@ LONG = 1 << 63
 ROUNDING = float(np.finfo(float).eps)
 #: Partial sums that the driver or one task adds up.
 FAN_IN = 256
+#: Size of a block's matrix.
+BLOCK_BYTES = 1 << 19
 
 
 def integer_rows(vectors: DataFrame, id_col: str, vector_col: str, scale: float, offset: int) -> DataFrame:
@@ -48,14 +50,35 @@ def integer_rows(vectors: DataFrame, id_col: str, vector_col: str, scale: float,
             .select(F.col(id_col).alias("vec_id"), F.size(c).alias("dim"), F.transform(c, whole).alias("x")))
 
 
-def matrix(batch: pa.RecordBatch, dim: int) -> np.ndarray:
-    """The batch's x as an integer matrix."""
-    column = batch.column("x")
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).reshape(len(column), dim)
+def packed(rows: DataFrame) -> DataFrame:
+    """(dim, n, ids, x): blocks of n vectors of one length, the matrix as bytes, so that the many passes decode no lists."""
+    kind = dict(rows.dtypes)["vec_id"]
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                same = batch.filter(pa.array(dims == dim)) if (dims != dim).any() else batch
+                size = max(1, BLOCK_BYTES // (8 * max(1, int(dim))))
+                for start in range(0, same.num_rows, size):
+                    part = same.slice(start, size)
+                    n, ids = part.num_rows, part.column("vec_id")
+                    x = part.column("x").flatten().to_numpy(zero_copy_only=False).astype("<i8", copy=False)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([int(dim)], pa.int32()), pa.array([n], pa.int32()), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids),
+                         pa.array([x.tobytes()], pa.binary())], ["dim", "n", "ids", "x"])
 
-def summed(rows: DataFrame, kind: str, of_batch: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray | None:
-    """Sum over all batches of an array each. A task adds up its batches and hands on one row; beyond ``FAN_IN`` tasks those
+    return rows.mapInArrow(pack, f"dim int, n int, ids array<{kind}>, x binary")
+
+
+def matrices(batch: pa.RecordBatch, dim: int) -> Iterator[np.ndarray]:
+    """The integer matrix of each block of a batch."""
+    for x in batch.column("x"):
+        yield np.frombuffer(x.as_buffer(), "<i8").reshape(-1, dim)
+
+
+def summed(blocks: DataFrame, dim: int, kind: str, of_block: Callable[[np.ndarray], np.ndarray]) -> np.ndarray | None:
+    """Sum over all blocks of an array each. A task adds up its blocks and hands on one row; beyond ``FAN_IN`` tasks those
     are added up in tasks first."""
     arrow = pa.list_(pa.int64() if kind == "long" else pa.float64())
 
@@ -67,13 +90,13 @@ def summed(rows: DataFrame, kind: str, of_batch: Callable[[pa.RecordBatch], np.n
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], arrow)], ["s"])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return added(of_batch(batch) for batch in batches if batch.num_rows)
+        return added(of_block(x) for batch in batches for x in matrices(batch, dim))
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return added(np.array(s) for batch in batches for s in batch.column("s").to_pylist())
 
-    parts = rows.mapInArrow(first, f"s array<{kind}>")
-    tasks = rows.rdd.getNumPartitions()
+    parts = blocks.select("x").mapInArrow(first, f"s array<{kind}>")
+    tasks = blocks.rdd.getNumPartitions()
     if tasks > FAN_IN:
         parts = parts.repartition(-(-tasks // FAN_IN)).mapInArrow(second, f"s array<{kind}>")
     found = [np.array(r["s"]) for r in parts.collect()]
@@ -82,48 +105,48 @@ def summed(rows: DataFrame, kind: str, of_batch: Callable[[pa.RecordBatch], np.n
 
 @dataclass
 class Centred:
-    """Rows x of equal length with exact sums; ``of`` gives x - S/n."""
+    """Blocks of vectors x of one length with exact sums S; ``of`` gives x - S/n."""
 
-    rows: DataFrame
+    blocks: DataFrame
     dim: int
     n: int
     sums: np.ndarray
 
     def __post_init__(self):
+        self.id_kind = dict(self.blocks.dtypes)["ids"][len("array<"):-1]
         self.whole = np.array([int(s) // self.n for s in self.sums], np.int64)
         self.rest = np.array([int(s) % self.n for s in self.sums], np.int64)
 
-    def of(self) -> Callable[[pa.RecordBatch], np.ndarray]:
-        dim, whole, part = self.dim, self.whole, self.rest / self.n
-        return lambda batch: (matrix(batch, dim) - whole).astype(float) - part
+    def of(self) -> Callable[[np.ndarray], np.ndarray]:
+        whole, part = self.whole, self.rest / self.n
+        return lambda x: (x - whole).astype(float) - part
 
     def products(self, directions: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """With Y = A directions: A' Y, Y' Y and the sum of squares of A, in one pass."""
         centre, d, m = self.of(), self.dim, directions.shape[1]
 
-        def part(batch: pa.RecordBatch) -> np.ndarray:
-            a = centre(batch)
+        def part(x: np.ndarray) -> np.ndarray:
+            a = centre(x)
             y = a @ directions
             return np.concatenate([(a.T @ y).ravel(), (y.T @ y).ravel(), [np.einsum("nd,nd->", a, a)]])
 
-        total = summed(self.rows, "double", part)
+        total = summed(self.blocks, d, "double", part)
         return total[:d * m].reshape(d, m), total[d * m:-1].reshape(m, m), float(total[-1])
 
 
-def centred(rows: DataFrame) -> Centred | None:
-    """Sums over the rows of the most common length; ``rows`` should be a written table, as every step reads it."""
-    lengths = rows.groupBy("dim").count().orderBy(F.desc("count"), F.desc("dim")).first()
+def centred(blocks: DataFrame) -> Centred | None:
+    """Sums over the vectors of the most common length; ``blocks`` should be a written table, as every step reads it."""
+    lengths = blocks.groupBy("dim").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
     if lengths is None or not lengths["dim"]:
         return None
-    dim, n = lengths["dim"], lengths["count"]
-    same = rows.where(F.col("dim") == dim)
+    dim, n = lengths["dim"], lengths["n"]
+    same = blocks.where(F.col("dim") == dim)
 
-    def halves(batch: pa.RecordBatch) -> np.ndarray:
+    def halves(x: np.ndarray) -> np.ndarray:
         """Sums of the upper and the lower 26 bits, so that no sum overflows 64 bits."""
-        x = matrix(batch, dim)
         return np.concatenate([(x >> 26).sum(axis=0), (x & ((1 << 26) - 1)).sum(axis=0)])
 
-    s = summed(same, "long", halves)
+    s = summed(same, dim, "long", halves)
     return Centred(same, dim, n, np.array([(int(h) << 26) + int(low) for h, low in zip(s[:dim], s[dim:])], object))
 
 
@@ -205,20 +228,17 @@ class Whitener:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                y = centre(batch) @ turn
-                deviation = _exact_squares(matrix(batch, dim) - whole, n, rest)
-                size = batch.num_rows
-                ids = batch.column("vec_id").take(pa.array(np.repeat(np.arange(size), m)))
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(np.tile(np.arange(1, m + 1, dtype=np.int32), size)), pa.array(np.full(size * m, n, np.int64)),
-                     deviation.take(pa.array(np.repeat(np.arange(size), m))), pa.array(y.ravel()),
-                     pa.array(np.tile(explained, size)), pa.array(np.full(size * m, error))],
-                    ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"])
-
-        kind = dict(a.rows.dtypes)["vec_id"]
-        return a.rows.mapInArrow(run, f"vec_id {kind}, component int, n long, deviation decimal(38,0), whitened double, explained double, identity_error double")
+                for x, ids in zip(matrices(batch, dim), batch.column("ids")):
+                    size = len(x)
+                    each = pa.array(np.repeat(np.arange(size), m))
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.values.take(each), pa.array(np.tile(np.arange(1, m + 1, dtype=np.int32), size)), pa.array(np.full(size * m, n, np.int64)),
+                         _exact_squares(x - whole, n, rest).take(each), pa.array((centre(x) @ turn).ravel()),
+                         pa.array(np.tile(explained, size)), pa.array(np.full(size * m, error))],
+                        ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"])
+
+        return a.blocks.mapInArrow(run, f"vec_id {a.id_kind}, component int, n long, deviation decimal(38,0), whitened double, "
+                                        "explained double, identity_error double")
 
 
 def _exact_squares(x: np.ndarray, n: int, rest: np.ndarray) -> pa.Array:
@@ -231,9 +251,9 @@ def _exact_squares(x: np.ndarray, n: int, rest: np.ndarray) -> pa.Array:
     return pa.array([int(t) for t in (delta * delta).sum(axis=1)], pa.decimal128(38, 0))
 
 
-def fit(rows: DataFrame, components: int = 8, tolerance: float = 0.0) -> Whitener | None:
-    """Components of the rows' covariance (divisor n); None where nothing varies."""
-    a = centred(rows)
+def fit(blocks: DataFrame, components: int = 8, tolerance: float = 0.0) -> Whitener | None:
+    """Components of the vectors' covariance (divisor n); None where nothing varies."""
+    a = centred(blocks)
     if a is None:
         return None
     deviations, vectors, _ = bidiagonalise(a, min(components, a.dim), tolerance)
@@ -255,8 +275,8 @@ def fit(rows: DataFrame, components: int = 8, tolerance: float = 0.0) -> Whitene
 def whitened(vectors: DataFrame, components: int = 8, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 1024.0,
              offset: int = 100_000, tolerance: float = 0.0) -> DataFrame:
     """Every vector on the strongest components, each with variance one; see ``Whitener.rows``."""
-    rows = cut(integer_rows(vectors, id_col, vector_col, scale, offset))
-    fitted = fit(rows, components, tolerance)
+    rows = integer_rows(vectors, id_col, vector_col, scale, offset)
+    fitted = fit(cut(packed(rows)), components, tolerance)
     if fitted is None:
         return vectors.sparkSession.createDataFrame([], f"vec_id {dict(rows.dtypes)['vec_id']}, component int, n long, deviation decimal(38,0), "
                                                         "whitened double, explained double, identity_error double")

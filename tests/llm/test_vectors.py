@@ -87,7 +87,7 @@ def test_strong_offset_and_weak_components(spark):
     x = rng.standard_normal((300, 12)) @ np.diag(10.0 ** -np.arange(12) * 4000) + 300000.0
     rows = whitening.integer_rows(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int"),
                                   "vec_id", "embedding", 1024.0, 100000)
-    fitted = whitening.fit(whitening.cut(rows), 8)
+    fitted = whitening.fit(whitening.cut(whitening.packed(rows)), 8)
     assert fitted.residual < 1e-12 and fitted.identity_error < 1e-9
     whole = np.floor(x * 1024)
     whole -= whole.mean(axis=0)
@@ -97,6 +97,7 @@ def test_strong_offset_and_weak_components(spark):
 
 def test_sums_beyond_64_bits_and_many_partial_sums(spark, monkeypatch):
     monkeypatch.setattr(whitening, "FAN_IN", 2)
+    monkeypatch.setattr(whitening, "BLOCK_BYTES", 32)
     big = [float(1 << 40), -float(1 << 40)]
     rows = spark.createDataFrame([(i, [big[i % 2], float(i)], 0) for i in range(20)], "vec_id long, embedding array<double>, label int").repartition(7)
     got = {r["vec_id"]: int(r["deviation"]) for r in whitening.whitened(rows, components=1).collect()}
@@ -108,8 +109,8 @@ def test_sums_beyond_64_bits_and_many_partial_sums(spark, monkeypatch):
 def test_early_stop_reaches_its_tolerance(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((200, 40)) * np.concatenate([[50, 30, 20], np.ones(37)])
-    data = whitening.centred(whitening.cut(whitening.integer_rows(
-        spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), "vec_id", "embedding", 1024.0, 0)))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    data = whitening.centred(whitening.cut(whitening.packed(whitening.integer_rows(rows, "vec_id", "embedding", 1024.0, 0))))
     s, p, left = whitening.bidiagonalise(data, 3, tolerance=1e-10)
     assert 3 <= len(s) < 40 and left > 0
     whole = np.floor(x * 1024)
