@@ -298,6 +298,41 @@ def e18(spark, sf):
     return graph_search.arboricity_bound(edges, graph_search.core_numbers(edges, spine), spine)
 
 
+# The same searches over the 64-qubit circuits, in blocks so small that every circuit goes through the rounds of joins.
+WIDE = "WITH RECURSIVE " + ",".join(BASE) + "," + REACH.replace("w.dist < 7", "w.dist < 9")
+
+
+@query("e4_components_wide", WIDE + """
+SELECT file, node::INTEGER AS node, label::INTEGER AS label FROM comp""")
+def e4_wide(spark, sf):
+    edges, spine = _graph(spark, sf)
+    return graph_search.component_labels(cut(edges), spine, 16)
+
+
+PEEL = """
+bits AS (SELECT file, u AS node, sum(DISTINCT 1::HUGEINT << v) AS m FROM (SELECT file, u, v FROM edges WHERE u <> v UNION ALL SELECT file, v, u FROM edges WHERE u <> v) GROUP BY 1, 2),
+masks AS (SELECT s.file, list(coalesce(m, 0)::HUGEINT ORDER BY r.i) AS masks FROM spine s CROSS JOIN range(64) r(i) LEFT JOIN bits b ON b.file = s.file AND b.node = r.i GROUP BY 1),
+peeled AS (SELECT file, masks, (1::HUGEINT << 64) - 1 AS rest, -1 AS node, 0::BIGINT AS core FROM masks UNION ALL
+  SELECT file, masks, rest - (1::HUGEINT << q), q, greatest(core, bit_count(masks[q + 1] & rest))::BIGINT FROM (SELECT *,
+    (list_min(list_transform(list_filter(range(64), lambda i: (rest >> i) & 1 = 1), lambda i: bit_count(masks[i + 1] & rest)::INTEGER * 64 + i)) % 64)::INTEGER AS q FROM peeled WHERE rest > 0))"""
+
+
+@query("e6_core_numbers_wide", "WITH RECURSIVE " + ",".join([*BASE, PEEL]) + " SELECT file, node, core::INTEGER AS core FROM peeled WHERE node >= 0")
+def e6_wide(spark, sf):
+    edges, spine = _graph(spark, sf)
+    return graph_search.core_numbers(cut(edges), spine, 16, 300)
+
+
+@query("e15_path_metrics_wide", WIDE + """,
+big AS (SELECT file, arg_max(label, size * 100 - label) AS label FROM sizes WHERE size > 1 GROUP BY file),
+pairs AS (SELECT d.file, d.dist FROM dists d JOIN comp c ON c.file = d.file AND c.node = d.src JOIN big b ON b.file = c.file AND b.label = c.label WHERE d.src <> d.dst)
+SELECT file, round(coalesce(avg(dist), 0), 6) AS graph_avg_shortest_path, coalesce(max(dist), 0)::DOUBLE AS graph_diameter
+FROM spine LEFT JOIN pairs USING (file) GROUP BY file""")
+def e15_wide(spark, sf):
+    edges, spine = _graph(spark, sf)
+    return rounded(graph_search.path_metrics(cut(edges), spine, 16, 24))
+
+
 # ------------------------------------------------------------------ families
 
 def _check_sql(check):
