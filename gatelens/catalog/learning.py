@@ -217,7 +217,6 @@ bn AS (SELECT fl.*, """ + ", ".join(f"CAST(len(list_filter(e{i}[2:-2], lambda q:
 @query("m25_baseline_folds", v.with_views(v.V_FEATURES, FOLDS, FOLD_BINS, FST, body="""
 SELECT fold, level, mode_precision, mode_device, bin_0, bin_1, bin_2, n, majority_threshold, round(med, 6) AS median_log_runtime FROM st"""))
 def m25_baseline(spark, sf):
-    """The baseline of every fold, fitted on its train part alone, and (fold -1) of all rows, in one pass over rows keyed by fold."""
-    folded = splits.group_kfold(_stored(spark, sf, "precision", "backend", "grp"), "grp", 5).withColumnRenamed("fold", "own")
-    train = folded.withColumn("fold", F.explode(F.sequence(F.lit(-1), F.lit(4)))).where("fold = -1 OR own <> fold")
-    return rounded(FoldedBaseline(BUCKETS).fit(train).tables)
+    """The baseline of every fold, fitted on its train part alone, and (fold -1) of all rows."""
+    folded = cut(splits.group_kfold(_stored(spark, sf, "precision", "backend", "grp"), "grp", 5))
+    return rounded(FoldedBaseline(BUCKETS).fit_folds(folded.withColumnRenamed("fold", "own"), "own", list(range(5))).tables)
