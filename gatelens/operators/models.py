@@ -1,7 +1,7 @@
 """Models on ``pyspark.ml``. Training and scoring are Spark jobs; only coefficients and column names are held here.
 
 Boosting with early stopping, additive models and Gaussian processes are re-expressed with estimators that scale with
-rows: tree ensembles, binned linear models, and random Fourier features with a ridge regression.
+rows: tree ensembles, binned linear models, and random Fourier features whose kernel is learned (``kernels``).
 """
 
 from __future__ import annotations
@@ -9,11 +9,10 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import Bucketizer, OneHotEncoder, QuantileDiscretizer, RobustScaler, StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import Bucketizer, OneHotEncoder, QuantileDiscretizer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from gatelens.constants import RUNGS_SCORING, TARGET_FIDELITY
 from gatelens.functions.exprs import d, finite, rung_log2
 from gatelens.functions.quantiles import quantiles_of_long
-from gatelens.operators import decisions
+from gatelens.operators import decisions, kernels
 from gatelens.operators.scoring import rung_index
 
 
@@ -279,57 +278,40 @@ class AdditiveCurveModel(_PerRungCurve):
         return out
 
 
-@dataclass
-class FourierFeatures:
-    """Random Fourier features of a Gaussian kernel: sqrt(2/D) cos(w x + b), as JVM array expressions."""
-
-    n_inputs: int
-    #: By default 48, or as many as there are inputs if they are more.
-    n_components: int | None = None
-    length_scale: float = 2.0
-    seed: int = 42
-
-    def __post_init__(self) -> None:
-        self.n_components = self.n_components or max(48, self.n_inputs)
-
-    def expression(self, x: Column) -> Column:
-        rng = np.random.default_rng(self.seed)
-        w = rng.normal(0.0, 1.0 / self.length_scale, (self.n_components, self.n_inputs))
-        b = rng.uniform(0.0, 2 * np.pi, self.n_components)
-        rows = F.array(*[F.struct(F.array(*map(F.lit, r.tolist())).alias("w"), F.lit(float(o)).alias("b")) for r, o in zip(w, b)])
-        dot = lambda row: F.aggregate(F.zip_with(x, row["w"], lambda p, q: p * q), F.lit(0.0), lambda a, v: a + v)
-        return F.transform(rows, lambda row: F.cos(dot(row) + row["b"]) * float(np.sqrt(2.0 / self.n_components)))
-
-
-def _scaler(kind: str):
-    if kind == "robust":
-        return RobustScaler(inputCol="raw_features", outputCol="scaled", withCentering=True)
-    if kind == "standard":
-        return StandardScaler(inputCol="raw_features", outputCol="scaled", withMean=True)
-    raise ValueError(f"unknown scaler {kind!r}")
-
-
 @dataclass
 class KernelCurveModel(_PerRungCurve):
-    """Per rung a scaler and a Gaussian-kernel regression through random features; uses all rows of the rung."""
+    """Per rung a scaler and a Gaussian-kernel regression with learned scale and noise; uses all rows of the rung."""
 
     features: list[str]
     rungs: list[int] = field(default_factory=lambda: list(RUNGS_SCORING))
-    ridge: float = 0.001
-    n_components: int | None = None
-    scalers: dict[int, PipelineModel] = field(default_factory=dict)
-    models: dict[int, PipelineModel] = field(default_factory=dict)
-
-    def _learn_inputs(self, df: DataFrame, rung: int) -> None:
-        self.scalers[rung] = Pipeline(stages=[_assembler(self.features, "raw_features"), _scaler("standard")]).fit(df)
+    n_components: int = 128
+    scales: tuple[float, ...] = kernels.SCALES
+    learned: list[int] = field(default_factory=list)
+    regression: dict = field(default_factory=dict)
+
+    def _kernel(self) -> kernels.KernelRegression:
+        return kernels.KernelRegression(**self.regression)
+
+    def fit(self, df: DataFrame, curve_columns: dict[int, str], fold: Column | None = None) -> KernelCurveModel:
+        """``fold``: a row's own fold; each fold's curves then come from all other folds, all folds in one pass."""
+        self.learned = list(curve_columns)
+        kernel = kernels.KernelRegression(self.features, "standard", self.scales, self.n_components)
+        self.regression = vars(kernel.fit(df, [finite(c) for c in curve_columns.values()], fold))
+        return self
 
-    def _prepare(self, df: DataFrame, rung: int) -> DataFrame:
-        scaled = self.scalers[rung].transform(df).drop("raw_features")
-        z = FourierFeatures(len(self.features), self.n_components).expression(vector_to_array("scaled"))
-        return scaled.withColumn("features", array_to_vector(z)).drop("scaled")
+    @property
+    def scalers(self) -> dict[int, tuple[list[float], list[float]]]:
+        return dict(zip(self.learned, self.regression["scaling"]))
 
-    def _estimator(self, train: DataFrame) -> Pipeline:
-        return Pipeline(stages=[LinearRegression(regParam=self.ridge, elasticNetParam=0.0)])
+    def predict_wide(self, df: DataFrame, fold: Column | None = None) -> DataFrame:
+        raw = df.withColumn("__raw", self._kernel().predictions(fold))
+        keep, before = list(df.columns), F.lit(0.0)
+        for rung in self.rungs:
+            value = F.get("__raw", F.lit(self.learned.index(rung))) if rung in self.learned else F.lit(None).cast("double")
+            # a rung without a model repeats the one before
+            raw = raw.withColumn(f"curve_{rung}", F.greatest(before, F.coalesce(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)), before)))
+            before = F.col(f"curve_{rung}")
+        return raw.select(*keep, *[f"curve_{r}" for r in self.rungs])
 
 
 # ------------------------------------------------------------------ runtime
@@ -429,36 +411,31 @@ class RuntimeModel:
 
 @dataclass
 class KernelRuntimeModel:
-    """Gaussian-kernel regression of log1p seconds through random features; result at least 1e-9."""
+    """Gaussian-kernel regression of log1p seconds with learned scale and noise; result at least 1e-9."""
 
     features: list[str]
     scaling: str = "standard"
     threshold_mode: str = "log2"
-    ridge: float = 0.001
-    scaler: PipelineModel | None = None
-    model: PipelineModel | None = None
+    n_components: int = 128
+    scales: tuple[float, ...] = kernels.SCALES
+    regression: dict = field(default_factory=dict)
 
-    def _prepare(self, df: DataFrame, threshold: str) -> DataFrame:
+    def _placed(self, df: DataFrame, threshold: str) -> tuple[DataFrame, list[str]]:
         extra = {"log2": ["thr_log2"], "raw": ["thr_raw"], "both": ["thr_log2", "thr_raw"]}[self.threshold_mode]
         values = {"thr_log2": rung_log2(F.col(threshold)), "thr_raw": d(F.col(threshold))}
-        placed = df.withColumns({e: values[e] for e in extra})
-        inputs = [*self.features, *extra]
-        if self.scaler is None:
-            self.scaler = Pipeline(stages=[_assembler(inputs, "raw_features"), _scaler(self.scaling)]).fit(placed)
-        scaled = self.scaler.transform(placed)
-        z = FourierFeatures(len(inputs)).expression(vector_to_array("scaled"))
-        return scaled.withColumn("features", array_to_vector(z)).drop("raw_features", "scaled")
-
-    def fit(self, train: DataFrame, threshold: str = "selected_threshold") -> KernelRuntimeModel:
-        self.scaler = None
-        valid = train.where(finite("forward_wall_s") > 0).withColumn("label", F.log1p(d(F.col("forward_wall_s"))))
-        data = self._prepare(valid, threshold)
-        self.model = Pipeline(stages=[LinearRegression(regParam=self.ridge, elasticNetParam=0.0)]).fit(data)
+        return df.withColumns({e: values[e] for e in extra}), [*self.features, *extra]
+
+    def fit(self, train: DataFrame, threshold: str = "selected_threshold", fold: Column | None = None) -> KernelRuntimeModel:
+        """``fold``: a row's own fold; each fold's model then comes from all other folds, all folds in one pass."""
+        placed, inputs = self._placed(train.where(finite("forward_wall_s") > 0), threshold)
+        kernel = kernels.KernelRegression(inputs, self.scaling, self.scales, self.n_components)
+        self.regression = vars(kernel.fit(placed, [F.log1p(d(F.col("forward_wall_s")))], fold))
         return self
 
-    def predict(self, df: DataFrame, threshold: str = "predicted_threshold_min", out: str = "predicted_forward_wall_s") -> DataFrame:
-        scored = self.model.transform(self._prepare(df, threshold))
-        return scored.withColumn(out, F.greatest(F.expm1("prediction"), F.lit(1e-9))).select(*df.columns, out)
+    def predict(self, df: DataFrame, threshold: str = "predicted_threshold_min", out: str = "predicted_forward_wall_s", fold: Column | None = None) -> DataFrame:
+        placed, _ = self._placed(df, threshold)
+        log = F.get(kernels.KernelRegression(**self.regression).predictions(fold), F.lit(0))
+        return placed.withColumn(out, F.greatest(F.expm1(F.least(log, F.lit(700.0))), F.lit(1e-9))).select(*df.columns, out)
 
 
 # ------------------------------------------------------------------ artifacts

@@ -53,7 +53,7 @@ def test_scaler_per_rung(spark):
     rows = [(float(i), 0.5 if i < 10 else None, 0.1) for i in range(100)]
     df = spark.createDataFrame(rows, "f0 double, sweep_fid_1 double, sweep_fid_2 double")
     model = models.KernelCurveModel(["f0"], rungs=[1, 2]).fit(df, {1: "sweep_fid_1", 2: "sweep_fid_2"})
-    assert [model.scalers[r].stages[-1].mean[0] for r in (1, 2)] == [4.5, 49.5]
+    assert [model.scalers[r][0][0] for r in (1, 2)] == [4.5, 49.5]
 
 
 def test_curves(data):
