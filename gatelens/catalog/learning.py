@@ -220,3 +220,28 @@ def m25_baseline(spark, sf):
     """The baseline of every fold, fitted on its train part alone, and (fold -1) of all rows."""
     folded = cut(splits.group_kfold(_stored(spark, sf, "precision", "backend", "grp"), "grp", 5))
     return rounded(FoldedBaseline(BUCKETS).fit_folds(folded.withColumnRenamed("fold", "own"), "own", list(range(5))).tables)
+
+
+TEST_BINS = """
+tb AS (SELECT y.*, f.fold, """ + ", ".join(f"CAST(len(list_filter(e{i}[2:-2], lambda q: q <= coalesce({c}, m{i}))) AS INTEGER) AS bin_{i}" for i, c in enumerate(BUCKETS)) + """
+  FROM v_features y JOIN folds f USING (grp) JOIN med ON med.fold = f.fold JOIN ed ON ed.fold = f.fold),
+base AS (SELECT tb.id, tb.fold, tb.selected_threshold, tb.forward_wall_s, coalesce(b.majority_threshold, m.majority_threshold, g.majority_threshold) AS base_threshold,
+    exp(coalesce(b.med, m.med, g.med)) AS base_s
+  FROM tb LEFT JOIN st b ON b.level = 'bucket' AND b.fold = tb.fold AND b.mode_precision = precision_ AND b.mode_device = backend AND b.bin_0 = tb.bin_0 AND b.bin_1 = tb.bin_1 AND b.bin_2 = tb.bin_2
+  LEFT JOIN st m ON m.level = 'mode' AND m.fold = tb.fold AND m.mode_precision = precision_ AND m.mode_device = backend LEFT JOIN st g ON g.level = 'global' AND g.fold = tb.fold)"""
+#: Views up to ``base``: the baseline's out-of-fold predictions.
+BASELINE = (v.V_FEATURES, FOLDS, FOLD_BINS, FST, TEST_BINS)
+
+
+def baseline_out_of_fold(folded):
+    """Rows with their own fold as ``fold``, plus the predictions of the baseline fitted on all other folds."""
+    fitted = FoldedBaseline(BUCKETS).fit_folds(folded.withColumnRenamed("fold", "own"), "own", list(range(5)))
+    plain = BucketBaseline(BUCKETS, tables=cut(fitted.tables))
+    return plain.predict(fitted.assign(folded), ["fold"])
+
+
+@query("m25_baseline_out_of_fold", v.with_views(*BASELINE, body="""
+SELECT id, fold, base_threshold AS predicted_threshold_min, round(base_s, 6) AS predicted_forward_wall_s FROM base"""))
+def m25_out_of_fold(spark, sf):
+    folded = cut(splits.group_kfold(_stored(spark, sf, "precision", "backend", "grp"), "grp", 5))
+    return rounded(baseline_out_of_fold(folded).select("id", "fold", "predicted_threshold_min", "predicted_forward_wall_s"))

@@ -11,10 +11,11 @@ from gatelens import fixtures as fx
 from gatelens.catalog import query
 from gatelens.catalog import sqlviews as v
 from gatelens.catalog.common import rounded
+from gatelens.catalog.learning import BASELINE, baseline_out_of_fold
 from gatelens.constants import FAMILY_FLOOR, HARD_FAMILIES
 from gatelens.functions.lineage import cut
 from gatelens.operators import decisions as dec
-from gatelens.operators import frame, models, splits, sweep
+from gatelens.operators import frame, models, scoring, splits, sweep
 from gatelens.plans import training
 
 FEATS = fx.FEATURES
@@ -199,14 +200,15 @@ def m23(spark, sf):
 
 
 # ------------------------------------------------------------------ trained models
-# SQL can't train; it states what must hold of every row: each id once, answers on the ladder, finite runtimes within their limits.
+# SQL can't train. Per fold it computes the loss of a reference (the bucketed baseline, or the train rows' mean curve) and states that the model's
+# loss on the same held-out rows is no worse; the predictions themselves are queries of their own (m..._predictions).
 
 LADDER = [1, 2, 4, 8, 16, 32, 64, 128, 256]
 ALL = "SELECT o_orderkey AS id, {} FROM orders"
 
 
-def _folds(spark, sf, extra=None):
-    """fold -> (train, val, test) of the stored feature frame, gaps filled with the train rows' medians."""
+def _folds(spark, sf, extra=None, fill=True):
+    """fold -> (train, val, test) of the stored feature frame, gaps filled with the train rows' medians (if ``fill``)."""
     df = fx.v_features(spark, sf)
     df = cut(df if extra is None else df.join(extra, "id", "left"))
     rows = cut(df.join(splits.build_splits(df, "id", "grp", 5).select(F.col("row_key").alias("id"), "fold", "role"), "id"))
@@ -214,15 +216,14 @@ def _folds(spark, sf, extra=None):
     def parts(fold):
         own = rows.where(F.col("fold") == fold).drop("fold")
         train, val, test = (own.where(F.col("role") == r).drop("role") for r in ("train", "val", "test"))
-        fill = {**{f: 0.0 for f in FEATS}, **frame.fit_fill(train, FEATS)}
-        return tuple(frame.impute(x, fill) for x in (train, val, test))
+        return _filled(train, val, test) if fill else (train, val, test)
 
     return parts
 
 
-def _out_of_fold(parts, predict):
-    """``predict(train, val, test)`` of all folds in one table."""
-    return reduce(DataFrame.unionByName, [cut(predict(*parts(k))) for k in range(5)])
+def _out_of_fold(parts, predict, folds=range(5)):
+    """``predict(train, val, test)`` of the folds in one table."""
+    return reduce(DataFrame.unionByName, [cut(predict(*parts(k))) for k in folds])
 
 
 def _held_out(spark, sf, extra=None):
@@ -249,16 +250,63 @@ def _sound(column):
     return (F.col(column) > 0) & (F.col(column) < float("inf"))
 
 
-@query("m1_threshold_classifier", ALL.format("TRUE AS on_ladder, TRUE AS sums_to_one, TRUE AS entropy_in_range, TRUE AS index_in_range"))
-def m1(spark, sf):
+THRESHOLD_SCORE = "CASE WHEN {p} < {t} THEN 0 ELSE 2.0::DOUBLE ** (log2({t}) - log2({p})) END"
+THRESHOLD_QUALITY = v.with_views(*BASELINE, body=f"""
+SELECT fold, count(*) AS n, round(avg({THRESHOLD_SCORE.format(p='base_threshold', t='selected_threshold')}), 6) AS baseline_score, TRUE AS beats_baseline, TRUE AS sound
+FROM base{{}} GROUP BY fold""")
+RUNTIME_QUALITY = v.with_views(*BASELINE, body="""
+SELECT fold, count(*) AS n, round(avg(abs(ln(1 + base_s) - ln(1 + forward_wall_s))), 6) AS baseline_loss, TRUE AS beats_baseline, TRUE AS sound{}
+FROM base{} GROUP BY fold""")
+
+
+def _own_fold(spark, sf, extra=None):
+    """The stored feature frame with gaps filled with the medians of all rows (inputs only), and each row's own fold."""
+    df = fx.v_features(spark, sf)
+    df = cut(splits.group_kfold(df if extra is None else df.join(extra, "id", "left"), "grp", 5))
+    return df, frame.impute(df, {**{f: 0.0 for f in FEATS}, **frame.fit_fill(df, FEATS)})
+
+
+def _threshold_quality(rows, out, sound):
+    """Per fold the baseline's mean score and whether the model's is at least as good; ``out``: id, predicted_threshold_min, flags."""
+    base = baseline_out_of_fold(rows).select("id", "fold", "selected_threshold", F.col("predicted_threshold_min").alias("base"))
+    both = base.join(out.withColumn("sound", sound), "id")
+    score = lambda c: F.avg(scoring.threshold_score(F.col(c), F.col("selected_threshold")))
+    per = both.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), score("base").alias("baseline_score"), score("predicted_threshold_min").alias("own"), F.bool_and("sound").alias("sound"))
+    return rounded(per.select("fold", "n", "baseline_score", (F.col("own") >= F.col("baseline_score")).alias("beats_baseline"), "sound"))
+
+
+def _runtime_quality(rows, out, others=()):
+    """Per fold the baseline's mean log error and whether the model's (and its error against each of ``others``) is no larger."""
+    base = baseline_out_of_fold(rows).select("id", "fold", "forward_wall_s", F.col("predicted_forward_wall_s").alias("base"))
+    loss = lambda c: F.avg(F.abs(F.log1p(F.col(c)) - F.log1p("forward_wall_s")))
+    per = base.join(out, "id").groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n"), loss("base").alias("baseline_loss"), loss("predicted_forward_wall_s").alias("own"), F.bool_and(_sound("predicted_forward_wall_s")).alias("sound"),
+        *[loss(c).alias(c) for c in others])
+    return rounded(per.select("fold", "n", "baseline_loss", (F.col("own") <= F.col("baseline_loss")).alias("beats_baseline"), "sound",
+                              *[(F.col("own") <= F.col(c)).alias(f"beats_{c}") for c in others]))
+
+
+def _classified(spark, sf):
     def predict(train, val, test):
         model = models.ThresholdClassifier(FEATS).fit(train, val)
         return model.predict(model.predict_proba(test, "p"))
 
-    out = _out_of_fold(_folds(spark, sf), predict)
+    return _out_of_fold(_folds(spark, sf), predict)
+
+
+@query("m1_threshold_classifier", THRESHOLD_QUALITY.format(""))
+def m1(spark, sf):
     total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
-    return out.select("id", F.col("predicted_threshold_min").isin(LADDER).alias("on_ladder"), (F.abs(total - 1) < 1e-9).alias("sums_to_one"),
-                      F.col("threshold_entropy").between(-1e-9, 4).alias("entropy_in_range"), F.col("expected_index").between(0, 8).alias("index_in_range"))
+    sound = (F.col("predicted_threshold_min").isin(LADDER) & (F.abs(total - 1) < 1e-9) & F.col("threshold_entropy").between(-1e-9, 4)
+             & F.col("expected_index").between(0, 8))
+    rows = cut(splits.group_kfold(fx.v_features(spark, sf), "grp", 5))
+    out = _classified(spark, sf).select("id", "p", "predicted_threshold_min", "threshold_entropy", "expected_index")
+    return _threshold_quality(rows, out, sound)
+
+
+@query("m1_predictions")
+def m1_predictions(spark, sf):
+    return rounded(_classified(spark, sf).select("id", "predicted_threshold_min", "expected_index", "threshold_entropy", "threshold_uncertainty"))
 
 
 def _curve_columns(spark, sf):
@@ -266,52 +314,102 @@ def _curve_columns(spark, sf):
     return wide.select("id", *frame.CURVE_COLUMNS.values())
 
 
-@query("m8_curve_model", ALL.format("TRUE AS on_ladder"))
-def m8(spark, sf):
-    def predict(train, val, test):
-        rows = lambda df: dec.curve_weights(frame.expand_rungs(df, frame.CURVE_COLUMNS, ["id", *FEATS]), ["id"])
-        return models.CurveModel(FEATS).fit(rows(train), rows(val)).predict_threshold(test, ["id"])
-
-    out = _out_of_fold(_folds(spark, sf, _curve_columns(spark, sf)), predict)
-    return out.select("id", F.col("threshold").isin(LADDER).alias("on_ladder"))
+CURVES = [(r, c) for r, c in frame.CURVE_COLUMNS.items()]
+#: Fidelity per order and rung, with the order's fold, and per (fold, rung) the squared error of the train rows' mean.
+CURVE_VIEWS = (v.V_FEATURES, v.V_SWEEP, """
+sz AS (SELECT grp, count(*) AS n FROM v_features GROUP BY grp),
+rk AS (SELECT grp, n, (row_number() OVER (ORDER BY n DESC, md5(grp::VARCHAR), grp) - 1) % 10 AS seat FROM sz),
+folds AS (SELECT grp, CAST(least(seat, 9 - seat) AS INTEGER) AS fold FROM rk),
+seen AS (SELECT file AS id, threshold AS rung, max(fid) AS y FROM kept GROUP BY 1, 2),
+cells AS (SELECT s.id, s.rung, s.y, f.fold FROM seen s JOIN v_features x ON x.id = s.id JOIN folds f USING (grp) WHERE s.y IS NOT NULL AND s.rung IN (1, 2, 4, 8, 16, 32, 64, 128, 256)),
+sums AS (SELECT rung, sum(y) AS sy, count(*) AS c FROM cells GROUP BY rung),
+own AS (SELECT rung, fold, sum(y) AS sy, sum(y * y) AS syy, count(*) AS c FROM cells GROUP BY 1, 2)""")
+CURVE_QUALITY = """
+SELECT fold, rung::INTEGER AS rung, c AS n, round((syy - 2 * sy * m + c * m * m) / c, 6) AS mean_curve_loss, TRUE AS near_or_better, TRUE AS sound
+FROM (SELECT own.*, (sums.sy - own.sy) / (sums.c - own.c) AS m FROM own JOIN sums USING (rung))"""
+
+
+def _long_curves(df, columns):
+    cells = [F.struct(F.lit(r).alias("rung"), F.col(c).alias("y")) for r, c in columns]
+    return df.select("id", F.explode(F.array(*cells)).alias("c")).select("id", "c.*")
+
+
+def _curve_quality(rows, out):
+    """Per fold and rung the mean squared error of the train rows' mean, and whether the model's is at most 2 % larger."""
+    seen = _long_curves(rows, CURVES).where("y IS NOT NULL").join(rows.select("id", "fold"), "id")
+    total = seen.groupBy("rung").agg(F.sum("y").alias("ty"), F.count("y").alias("tc"))
+    own = seen.groupBy("rung", "fold").agg(F.sum("y").alias("sy"), F.count("y").alias("sc"))
+    mean = own.join(total, "rung").select("rung", "fold", ((F.col("ty") - F.col("sy")) / (F.col("tc") - F.col("sc"))).alias("m"))
+    curve = [F.col(f"curve_{r}") for r in LADDER]
+    rising = reduce(lambda a, b: a & b, [x <= y for x, y in zip(curve, curve[1:])])
+    inside = reduce(lambda a, b: a & b, [c.between(0, 1) for c in curve])
+    flags = out.select("id", (rising & inside & F.col("curve_threshold").isin(LADDER)).alias("sound"))
+    guess = _long_curves(out, [(r, f"curve_{r}") for r in LADDER]).withColumnRenamed("y", "guess")
+    both = seen.join(F.broadcast(mean), ["rung", "fold"]).join(guess, ["id", "rung"]).join(flags, "id")  # rungs x folds rows
+    per = both.groupBy("fold", "rung").agg(F.count(F.lit(1)).alias("n"), F.avg(F.pow(F.col("y") - F.col("m"), 2)).alias("mean_curve_loss"),
+                                           F.avg(F.pow(F.col("y") - F.col("guess"), 2)).alias("own"), F.bool_and("sound").alias("sound"))
+    return rounded(per.select("fold", "rung", "n", "mean_curve_loss", (F.col("own") <= 1.02 * F.col("mean_curve_loss")).alias("near_or_better"), "sound"))
 
 
-def _per_rung(spark, sf, kind):
+def _additive(spark, sf):
     def predict(train, _, test):
-        model = kind(FEATS).fit(train, frame.CURVE_COLUMNS)
+        model = models.AdditiveCurveModel(FEATS).fit(train, frame.CURVE_COLUMNS)
         return model.predict_wide(test.select("id", *FEATS)).withColumn("curve_threshold", model.answer())
 
-    out = _out_of_fold(_folds(spark, sf, _curve_columns(spark, sf)), predict)
-    curve = [F.col(f"curve_{r}") for r in LADDER]
-    rising = reduce(lambda a, b: a & b, [x <= y for x, y in zip(curve, curve[1:])])
-    inside = reduce(lambda a, b: a & b, [c.between(0, 1) for c in curve])
-    return out.select("id", F.col("curve_threshold").isin(LADDER).alias("on_ladder"), rising.alias("rising"), inside.alias("inside"))
+    return _out_of_fold(_folds(spark, sf, _curve_columns(spark, sf)), predict)
 
 
-CURVE_ROWS = ALL.format("TRUE AS on_ladder, TRUE AS rising, TRUE AS inside")
+def _kernel_curves(spark, sf):
+    """(rows with their fold, out-of-fold curves): one pass of Gram matrices for all folds and rungs."""
+    rows, ready = _own_fold(spark, sf, _curve_columns(spark, sf))
+    model = models.KernelCurveModel(FEATS).fit(ready, frame.CURVE_COLUMNS, F.col("fold"))
+    return rows, model.predict_wide(ready.select("id", "fold", *FEATS), F.col("fold")).withColumn("curve_threshold", model.answer())
 
 
-@query("m10_additive_curve", CURVE_ROWS)
+@query("m10_additive_curve", v.with_views(*CURVE_VIEWS, body=CURVE_QUALITY))
 def m10(spark, sf):
-    return _per_rung(spark, sf, models.AdditiveCurveModel)
+    return _curve_quality(_own_fold(spark, sf, _curve_columns(spark, sf))[0], _additive(spark, sf))
 
 
-@query("m11_kernel_curve", CURVE_ROWS)
+@query("m11_kernel_curve", v.with_views(*CURVE_VIEWS, body=CURVE_QUALITY))
 def m11(spark, sf):
-    return _per_rung(spark, sf, models.KernelCurveModel)
+    return _curve_quality(*_kernel_curves(spark, sf))
+
+
+@query("m11_predictions")
+def m11_predictions(spark, sf):
+    return rounded(_kernel_curves(spark, sf)[1].select("id", "fold", "curve_threshold", *[f"curve_{r}" for r in LADDER]))
+
 
+def _runtimes(spark, sf):
+    predict = lambda train, val, test: models.RuntimeModel(FEATS).fit(train, val).predict(test, "selected_threshold")
+    return _out_of_fold(_folds(spark, sf), predict).select("id", "predicted_forward_wall_s")
 
-@query("m14_runtime_model", HELD_IDS.format("TRUE AS sound"))
+
+@query("m14_runtime_model", RUNTIME_QUALITY.format("", ""))
 def m14_model(spark, sf):
-    train, val, test = _filled(*_held_out(spark, sf))
-    out = models.RuntimeModel(FEATS).fit(train, val).predict(test, "selected_threshold")
-    return out.select("id", _sound("predicted_forward_wall_s").alias("sound"))
+    return _runtime_quality(cut(splits.group_kfold(fx.v_features(spark, sf), "grp", 5)), _runtimes(spark, sf))
+
 
+def _kernel_runtimes(spark, sf):
+    """(rows with their fold, out-of-fold seconds with learned and with fixed scale)."""
+    rows, ready = _own_fold(spark, sf)
+    fold, out = F.col("fold"), ready
+    for scales, name in ((models.kernels.SCALES, "predicted_forward_wall_s"), ((2.0,), "fixed_scale")):
+        model = models.KernelRuntimeModel(FEATS, scales=scales).fit(ready, fold=fold)
+        out = model.predict(out, "selected_threshold", name, fold)
+    return rows, out.select("id", "fold", "predicted_forward_wall_s", "fixed_scale")
 
-@query("m18_kernel_runtime", ALL.format("TRUE AS sound"))
+
+@query("m18_kernel_runtime", RUNTIME_QUALITY.format(", TRUE AS beats_fixed_scale", ""))
 def m18(spark, sf):
-    predict = lambda train, _, test: models.KernelRuntimeModel(FEATS).fit(train).predict(test, "selected_threshold")
-    return _out_of_fold(_folds(spark, sf), predict).select("id", _sound("predicted_forward_wall_s").alias("sound"))
+    rows, out = _kernel_runtimes(spark, sf)
+    return _runtime_quality(rows, out.drop("fold"), ["fixed_scale"])
+
+
+@query("m18_predictions")
+def m18_predictions(spark, sf):
+    return rounded(_kernel_runtimes(spark, sf)[1].select("id", "fold", "predicted_forward_wall_s"))
 
 
 LABELS = ["fidelity_at_1", "rungs_to_099", "biggest_fid_jump", "biggest_jump_rung"]
@@ -334,32 +432,40 @@ def _families_of(spark, sf):
     return fx.v_features(spark, sf).select("id", F.element_at(names, (F.col("id") % len(FAMILY_FLOOR) + 1).cast("int")).alias("predicted_family"))
 
 
-def _predictor(spark, sf):
-    """A fitted predictor with all that it can use: sweep labels for the auxiliary models, families for the floor."""
+def _predicted(spark, sf, predict):
+    """Rows of the first fold from ``predict(model, train, val, test)``; the model may use all there is: sweep labels for the auxiliary
+    models, families for the floor. All five folds took 138 s for m21 at sf0.01, a fifth of that is enough to compare losses."""
     extra = _sweep_labels(spark, sf).join(_families_of(spark, sf), "id", "right")
-    train, val, test = _held_out(spark, sf, extra)
-    return training.ThresholdPredictor(FEATS, 4).fit(train, val), train, val, test.drop(*LABELS)
 
+    def one(train, val, test):
+        model = training.ThresholdPredictor(FEATS, 4, auxiliary_settings={"n_estimators": 20}).fit(train, val)
+        return predict(model, train, val, test.drop(*LABELS))
 
-FLOORED = "TRUE AS on_ladder, TRUE AS over_floor"
+    return _out_of_fold(_folds(spark, sf, extra, fill=False), one, [0])
 
 
 def _floor_ok():
     floor = F.create_map(*[F.lit(x) for kv in FAMILY_FLOOR.items() for x in kv])
-    return (F.col("predicted_threshold_min") >= F.element_at(floor, F.col("predicted_family"))).alias("over_floor")
+    return F.col("predicted_threshold_min") >= F.element_at(floor, F.col("predicted_family"))
+
 
+def _stored_folds(spark, sf):
+    return cut(splits.group_kfold(fx.v_features(spark, sf), "grp", 5))
 
-@query("m21_threshold_predictor", HELD_IDS.format(FLOORED))
+
+@query("m21_threshold_predictor", THRESHOLD_QUALITY.format(" WHERE fold = 0"))
 def m21(spark, sf):
-    model, _, _, test = _predictor(spark, sf)
-    return model.predict(test).select("id", F.col("predicted_threshold_min").isin(LADDER).alias("on_ladder"), _floor_ok())
+    out = _predicted(spark, sf, lambda model, train, val, test: model.predict(test).select("id", "predicted_threshold_min", "predicted_family"))
+    return _threshold_quality(_stored_folds(spark, sf), out, F.col("predicted_threshold_min").isin(LADDER) & _floor_ok())
 
 
-@query("m22_runtime_with_uncertainty", HELD_IDS.format(FLOORED + ", TRUE AS sound"))
+@query("m22_runtime_with_uncertainty", RUNTIME_QUALITY.format("", " WHERE fold = 0"))
 def m22(spark, sf):
-    model, train, val, test = _predictor(spark, sf)
-    run = training.RuntimePredictor(model).fit(train, val)
-    return run.predict(test).select("id", F.col("predicted_threshold_min").isin(LADDER).alias("on_ladder"), _floor_ok(), _sound("predicted_forward_wall_s").alias("sound"))
+    def predict(model, train, val, test):
+        run = training.RuntimePredictor(model, settings={"use_ensemble": False, "max_iter": 20}).fit(train, val)
+        return run.predict(test).select("id", "predicted_forward_wall_s")
+
+    return _runtime_quality(_stored_folds(spark, sf), _predicted(spark, sf, predict))
 
 
 @query("m24_param_search", """
@@ -377,12 +483,13 @@ def m24(spark, sf):
     return spark.createDataFrame([(p["threshold_mode"], p["scaling"], float("-inf") < s <= score) for p, s in tried], "threshold_mode string, scaling string, judged boolean")
 
 
-@query("m26_predict_batch", HELD_IDS.format("TRUE AS on_ladder, TRUE AS sound"))
+@query("m26_predict_batch", RUNTIME_QUALITY.format("", " WHERE fold = 0"))
 def m26(spark, sf):
-    model, train, val, test = _predictor(spark, sf)
-    run = training.RuntimePredictor(model, settings={"use_ensemble": False}).fit(train, val)
-    tasks = test.select(F.col("id").alias("task_id"), F.col("backend").alias("processor"), "precision")
-    id_map = test.select("id", F.col("id").alias("qasm_file"))
-    features = test.select(F.col("id").alias("file"), *FEATS)
-    out = training.predict_batch(tasks, id_map, features, FEATS, model, run)
-    return out.select("id", F.col("predicted_threshold_min").isin(LADDER).alias("on_ladder"), _sound("predicted_forward_wall_s").alias("sound"))
+    def predict(model, train, val, test):
+        run = training.RuntimePredictor(model, settings={"use_ensemble": False, "max_iter": 20}).fit(train, val)
+        tasks = test.select(F.col("id").alias("task_id"), F.col("backend").alias("processor"), "precision")
+        id_map = test.select("id", F.col("id").alias("qasm_file"))
+        features = test.select(F.col("id").alias("file"), *FEATS)
+        return training.predict_batch(tasks, id_map, features, FEATS, model, run).select("id", "predicted_forward_wall_s")
+
+    return _runtime_quality(_stored_folds(spark, sf), _predicted(spark, sf, predict))
