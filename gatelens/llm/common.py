@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +79,19 @@ class Rolling:
         return mix((self.prefix[end] - self.prefix[start]) * Rolling._down[start] + (end - start).astype(U64))
 
 
+#: Words up to this long are hashed as slices; a polynomial modulo 2^64 isn't safe for longer ones.
+SHORT_WORD = 64
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words. Longer slices of a polynomial hash modulo 2^64 can be equal by construction (a Thue-Morse word and its
+    complement are from about 1,000 bytes on, while 64 bytes leave 37 of 64 bits to differ in), so long words get XXH3."""
+    out = Rolling(BYTE_CODES[data]).slices(starts, ends)
+    for k in np.flatnonzero(ends - starts > SHORT_WORD):
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k]:ends[k]].tobytes(), 0x9E3779B97F4A7C15)
+    return out
+
+
 def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words in one byte array."""
     gap = SPACE[data]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from gatelens.functions.lineage import cut
 from gatelens.llm import chunks as ch
-from gatelens.llm.common import BYTE_CODES, Rolling, lowered, mix, two_columns
+from gatelens.llm.common import lowered, mix, two_columns, word_hashes
 from gatelens.llm.substring_dedup import word_bounds
 
 END, START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x27BB2EE687B0B0FD)
@@ -43,7 +43,7 @@ def tokens(chunk: ch.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, b = chunk.offsets[i], chunk.offsets[j]
         data = lowered(chunk.data[a:b])
         starts, ends, first = word_bounds(data, chunk.offsets[i:j + 1] - a)
-        parts.append(np.insert(Rolling(BYTE_CODES[data]).slices(starts, ends), first[1:], END))
+        parts.append(np.insert(word_hashes(data, starts, ends), first[1:], END))
         counts.append(np.diff(first) + 1)
     word = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     first = np.cumsum(np.concatenate(counts))

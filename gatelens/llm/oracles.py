@@ -48,17 +48,25 @@ SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE known) AS
   round(sum(log10(CASE WHEN ch > 0 THEN 0.5::DOUBLE * c2 / ch + 0.5::DOUBLE * p ELSE p END)), 6) AS score FROM s GROUP BY doc_id, held_out, n"""
 
 MIXING = f"""
-WITH z AS (SELECT doc_id, source, md5(doc_id::VARCHAR) AS ord, len({WORDS})::BIGINT AS size FROM documents),
+WITH RECURSIVE z AS (SELECT doc_id, source, md5(doc_id::VARCHAR) AS ord, len({WORDS})::BIGINT AS size FROM documents),
 w AS (SELECT *, [1, 2, 3][number % 3 + 1] AS weight, 3 * source_size AS cap FROM (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM z GROUP BY source)),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(weight) OVER (ORDER BY cap / weight, number ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (SELECT *, least(cap::DOUBLE, coalesce((SELECT level FROM l WHERE level * weight <= cap ORDER BY cap / weight, number LIMIT 1) * weight, cap)) AS target FROM l),
-r AS (SELECT doc_id, size, source_size, number, target, round(target)::BIGINT AS quota,
+r AS (SELECT doc_id, ord, size, source_size, number, target, round(target)::BIGINT AS quota,
   (sum(size) OVER (PARTITION BY number ORDER BY ord, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS upto FROM z JOIN t ON z.source IS NOT DISTINCT FROM t.source),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN quota // source_size ELSE 0 END AS passes, [-0.5::DOUBLE, 0::DOUBLE, 0.5::DOUBLE][number % 3 + 1] AS s,
   least(1::DOUBLE, upto / greatest(quota, 1)) AS u FROM r),
-c AS (SELECT *, passes + CASE WHEN 2 * upto - size < 2 * (quota - passes * source_size) THEN 1 ELSE 0 END AS copies FROM p)
+b AS (SELECT *, passes + (upto <= quota - passes * source_size)::INTEGER AS base FROM p),
+v AS (SELECT *, CASE WHEN size > 0 THEN greatest(3 - base, 0) ELSE 0 END AS spare FROM b),
+gap AS (SELECT number, (max(quota) - sum(size * base))::BIGINT AS gap FROM v GROUP BY number),
+units AS (SELECT number, size, sum(spare)::BIGINT AS units, row_number() OVER (PARTITION BY number ORDER BY size DESC) AS k FROM v JOIN gap USING (number) WHERE spare > 0 AND size <= gap GROUP BY 1, 2),
+fill AS (SELECT number, 0::BIGINT AS k, 0::BIGINT AS size, 0::BIGINT AS extra, gap AS room FROM gap UNION ALL
+  SELECT f.number, q.k, q.size, least(q.units, f.room // q.size), f.room - q.size * least(q.units, f.room // q.size) FROM fill f JOIN units q ON q.number = f.number AND q.k = f.k + 1),
+x AS (SELECT v.*, coalesce(extra, 0) AS extra, sum(spare) OVER (PARTITION BY v.number, v.size ORDER BY ord, doc_id ROWS UNBOUNDED PRECEDING) AS spared
+  FROM v LEFT JOIN fill f ON f.number = v.number AND f.size = v.size AND f.k > 0),
+c AS (SELECT *, (base + greatest(least(extra - spared + spare, spare), 0))::BIGINT AS copies FROM x)
 SELECT doc_id, size, source_size, round(target, 6) AS target, size * copies AS taken,
   CASE WHEN copies > 0 THEN round(2 * u / (1 - s + sqrt((1 - s) * (1 - s) + 4 * s * u)), 9) END AS first_due FROM c"""
 

@@ -2,7 +2,7 @@
 
 The instance is the histogram of piece lengths (at most ``capacity`` rows, whatever the corpus), so the plan is made
 from counts: reduction fixes sets that provably dominate every other set with the same longest piece, for as many
-copies as there are, and best-fit decreasing packs the rest. A plan line says which run of pieces of one length goes to
+copies as there are, and best-fit decreasing packs the rest (each piece into the fullest open sequence that holds it). A plan line says which run of pieces of one length goes to
 which run of sequences, at which offset; pieces get their rank within their length by block-wise totals, and meet the
 plan's lines through a join on length. No group of pieces is ever gathered.
 
@@ -13,6 +13,7 @@ null id are packed each for itself. An empty table gives no rows.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,6 +31,10 @@ from gatelens.llm.common import two_columns
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+GAP = re.compile(r"\s\s+")
+LONG_GAP, LONG_WORD = 500, 5000
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -40,7 +45,8 @@ def encoder(text: str):
     """Ids of one text by the tokenizer file whose content is ``text``.
 
     A byte-level BPE's merges rank by id, so tiktoken's merge loop gives the ids of the tokenizers library at a third
-    of the time. A text that holds one of the file's special tokens goes to the tokenizers library itself.
+    of the time. A text that holds one of the file's special tokens, a long run of white space (which overflows the stack of the
+    pattern above) or a very long word (which the merge loop takes quadratic time for) goes to the tokenizers library itself.
     """
     import tiktoken
     from tokenizers import Tokenizer
@@ -55,7 +61,8 @@ def encoder(text: str):
     exact = Tokenizer.from_str(text)
 
     def encode(value: str) -> list[int]:
-        if any(s in value for s in special):
+        if any(s in value for s in special) or len(value) > LONG_GAP and (
+                any(len(w) > LONG_WORD for w in value.split()) or any(len(g) > LONG_GAP for g in GAP.findall(value))):
             return exact.encode(value, add_special_tokens=False).ids
         return fast.encode_ordinary(value)
 
@@ -124,20 +131,31 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, .
             n = left[a] // 2 if a == b else min(left[a], left[b])
             fixed += n
             take((a, b), n)
-    while left:
-        a = max(left)
-        pattern, used, room = [a], {a: 1}, capacity - a
-        while (b := largest(room, used)):
-            pattern.append(b)
-            used[b] = used.get(b, 0) + 1
-            room -= b
-        take_n = min(left[k] // n for k, n in used.items())
-        for k, n in used.items():
-            left[k] -= n * take_n
-            if not left[k]:
-                del left[k]
-        out.append((tuple(pattern), take_n))
-    return out, fixed
+    return out + _best_fit(left, capacity), fixed
+
+
+def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best-fit decreasing over runs of equal pieces: each goes to the fullest open sequence that holds it, else to a new one.
+
+    Open sequences are kept by free room as (pattern, copies). A piece put into the smallest room that holds it leaves a smaller
+    room, which the next equal piece prefers; so a sequence takes as many as fit before the next one is touched.
+    """
+    opened: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+    for k in sorted(left, reverse=True):
+        n = left[k]
+        for room in sorted(r for r in opened if r >= k) + [capacity]:
+            while n and (room == capacity or opened.get(room)):
+                pattern, copies = opened[room].pop() if room < capacity else ((), n)
+                fit = room // k
+                full = min(copies, n // fit)
+                last = n - full * fit if full < copies else 0  # pieces for one more sequence, fewer than fit
+                for taken, m in ((fit, full), (last, 1 if last else 0)):
+                    if m:
+                        opened.setdefault(room - taken * k, []).append((pattern + (k,) * taken, m))
+                n -= full * fit + last
+                if room < capacity and copies > full + (1 if last else 0):
+                    opened[room].append((pattern, copies - full - (1 if last else 0)))
+    return [group for groups in opened.values() for group in groups]
 
 
 def _smallest(left: dict[int, int], a: int) -> list[int]:

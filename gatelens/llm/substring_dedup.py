@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from gatelens.llm import chunks as ch
 from gatelens.llm import repeats
-from gatelens.llm.common import BYTE_CODES, SPACE, Rolling, mix, two_columns
+from gatelens.llm.common import SPACE, mix, two_columns, word_hashes
 
 TEXT_PER_SHARD = 8 << 20
 ROWS = 2
@@ -43,7 +43,7 @@ def word_symbols(chunk: ch.Chunk, i: int, j: int) -> tuple[np.ndarray, np.ndarra
     a, b = chunk.offsets[i], chunk.offsets[j]
     data = chunk.data[a:b]
     starts, ends, first = word_bounds(data, chunk.offsets[i:j + 1] - a)
-    return Rolling(BYTE_CODES[data]).slices(starts, ends), first
+    return word_hashes(data, starts, ends), first
 
 
 def cells(grams: np.ndarray, row: int) -> np.ndarray:

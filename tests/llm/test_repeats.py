@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import reference
 
-from gatelens.llm import repeats, substring_dedup, suffix_dedup
+from gatelens.llm import language_model, repeats, substring_dedup, suffix_dedup
 from gatelens.llm.common import Rolling
 
 
@@ -94,3 +94,26 @@ def test_rolling():
     twice = Rolling(np.concatenate([x, x]))
     assert twice.slices(np.array([3]), np.array([20])) == twice.slices(np.array([52]), np.array([69]))
     assert (twice.every(7)[:40] == twice.every(7)[49:89]).all()
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_long_words_that_a_polynomial_hash_confuses(spark):
+    """Words of 64 to 8,192 bytes and their complements are different words to every operator on words."""
+    docs = []
+    for k, n in enumerate((64, 128, 1024, 2048, 4096, 8192)):
+        one = thue_morse(n)
+        other = one.translate(str.maketrans("ab", "ba"))
+        rest = [f"w{k}x{i}" for i in range(12)]
+        docs += [(10 * k, " ".join([one, *rest])), (10 * k + 1, " ".join([other, *rest])), (10 * k + 2, " ".join([one, *rest]))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, substring_dedup.removed_words(frame).collect())) == sorted(reference.removed_words(docs))
+    got = {r.doc_id: r for r in language_model.language_scores(frame).collect()}
+    for i, held, n, known, train, base, score in reference.language_scores(docs):
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (n, known, train)
+        assert got[i].base_score == pytest.approx(base)
