@@ -114,6 +114,23 @@ def components(bits, distance=2):
     return [find(a) for a in range(len(bits))]
 
 
+def shingles(text, size=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[j:j + size]) for j in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def similar_components(texts, similarity=0.8, size=5):
+    """Least index of each text's component, texts linked by the Jaccard similarity of their shingles."""
+    sets, roots = [shingles(t, size) for t in texts], list(range(len(texts)))
+    for a in range(len(sets)):
+        for b in range(a):
+            union = len(sets[a] | sets[b])
+            if not union or len(sets[a] & sets[b]) >= similarity * union:
+                x, y = roots[a], roots[b]
+                roots = [min(x, y) if r in (x, y) else r for r in roots]
+    return roots
+
+
 def edited(docs):
     """(id, text, edited text, next text) in descending order of id, then text."""
     rows = sorted(((i, t or "") for i, t in docs), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
