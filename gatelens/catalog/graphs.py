@@ -342,11 +342,11 @@ def _check_sql(check):
 
 def _rule_sql(rule):
     fam, req, any_of, forb, types, check = rule
-    conds = [f"list_has_all(names, {req.split()})"]
+    conds = [f"list_has_all(names, {list(req)})"]
     if any_of:
-        conds.append(f"list_has_any(names, {any_of.split()})")
+        conds.append(f"list_has_any(names, {list(any_of)})")
     if forb:
-        conds.append(f"NOT list_has_any(names, {forb.split()})")
+        conds.append(f"NOT list_has_any(names, {list(forb)})")
     if types:
         conds.append(f"len(names) <= {types}")
     conds.append(_check_sql(check))

@@ -72,8 +72,11 @@ def j4(spark, sf):
 
 FOLDS = """
 sz AS (SELECT grp, count(*) AS n FROM v_features GROUP BY grp),
-rk AS (SELECT grp, n, (row_number() OVER (ORDER BY n DESC, md5(grp::VARCHAR), grp) - 1) % 10 AS seat FROM sz),
-folds AS (SELECT grp, n, CAST(least(seat, 9 - seat) AS INTEGER) AS fold FROM rk)"""
+rk AS (SELECT grp, n, row_number() OVER (ORDER BY n DESC, md5(grp::VARCHAR), grp) AS i FROM sz),
+folds AS (WITH RECURSIVE st AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS grp, 0::BIGINT AS n, -1 AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS l UNION ALL
+    SELECT rk.i, rk.grp, rk.n, f, list_transform(range(5), lambda j: l[j + 1] + CASE WHEN j = f THEN rk.n ELSE 0 END)
+    FROM (SELECT i, l, (list_min(list_transform(range(5), lambda j: l[j + 1] * 8 + j)) % 8)::INTEGER AS f FROM st) p JOIN rk ON rk.i = p.i + 1)
+  SELECT grp, n, fold FROM st WHERE i > 0)"""
 
 
 @query("k1_group_kfold", v.with_views(v.V_FEATURES, FOLDS, body="SELECT id, grp, fold FROM v_features JOIN folds USING (grp)"))

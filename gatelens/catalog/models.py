@@ -11,7 +11,7 @@ from gatelens import fixtures as fx
 from gatelens.catalog import query
 from gatelens.catalog import sqlviews as v
 from gatelens.catalog.common import rounded
-from gatelens.catalog.learning import BASELINE, baseline_out_of_fold
+from gatelens.catalog.learning import BASELINE, FOLDS, baseline_out_of_fold
 from gatelens.constants import FAMILY_FLOOR, HARD_FAMILIES
 from gatelens.functions.lineage import cut
 from gatelens.operators import decisions as dec
@@ -316,10 +316,7 @@ def _curve_columns(spark, sf):
 
 CURVES = [(r, c) for r, c in frame.CURVE_COLUMNS.items()]
 #: Fidelity per order and rung, with the order's fold, and per (fold, rung) the squared error of the train rows' mean.
-CURVE_VIEWS = (v.V_FEATURES, v.V_SWEEP, """
-sz AS (SELECT grp, count(*) AS n FROM v_features GROUP BY grp),
-rk AS (SELECT grp, n, (row_number() OVER (ORDER BY n DESC, md5(grp::VARCHAR), grp) - 1) % 10 AS seat FROM sz),
-folds AS (SELECT grp, CAST(least(seat, 9 - seat) AS INTEGER) AS fold FROM rk),
+CURVE_VIEWS = (v.V_FEATURES, v.V_SWEEP, FOLDS, """
 seen AS (SELECT file AS id, threshold AS rung, max(fid) AS y FROM kept GROUP BY 1, 2),
 cells AS (SELECT s.id, s.rung, s.y, f.fold FROM seen s JOIN v_features x ON x.id = s.id JOIN folds f USING (grp) WHERE s.y IS NOT NULL AND s.rung IN (1, 2, 4, 8, 16, 32, 64, 128, 256)),
 sums AS (SELECT rung, sum(y) AS sy, count(*) AS c FROM cells GROUP BY rung),
@@ -351,6 +348,33 @@ def _curve_quality(rows, out):
     return rounded(per.select("fold", "rung", "n", "mean_curve_loss", (F.col("own") <= 1.02 * F.col("mean_curve_loss")).alias("near_or_better"), "sound"))
 
 
+def _low_curves(spark, sf):
+    """Out-of-fold low quantiles of fidelity: id, rung, y, and the threshold they lead to."""
+    def predict(train, val, test):
+        rows = lambda df: dec.curve_weights(frame.expand_rungs(df, frame.CURVE_COLUMNS, ["id", *FEATS]), ["id"])
+        curve = cut(models.CurveModel(FEATS, max_iter=20).fit(rows(train), rows(val)).predict_curve(test.select("id", *FEATS)).select("id", "rung", "y"))
+        return curve.join(dec.curve_to_threshold(curve, ["id"]), "id")
+
+    return _out_of_fold(_folds(spark, sf, _curve_columns(spark, sf)), predict)
+
+
+@query("m8_curve_model", v.with_views(*CURVE_VIEWS, body="""
+SELECT fold, count(*) AS n, TRUE AS covers_alpha, TRUE AS on_ladder FROM cells GROUP BY fold"""))
+def m8(spark, sf):
+    """Whether a sixth of the held-out fidelities, give or take 0.03, lies below the predicted quantile."""
+    rows = _own_fold(spark, sf, _curve_columns(spark, sf))[0]
+    seen = _long_curves(rows, CURVES).where("y IS NOT NULL").join(rows.select("id", "fold"), "id").withColumnRenamed("y", "seen")
+    both = seen.join(_low_curves(spark, sf), ["id", "rung"])
+    share = F.avg((F.col("seen") < F.col("y")).cast("int"))
+    return both.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), (F.abs(share - 1 / 6) <= 0.03).alias("covers_alpha"),
+                                    F.bool_and(F.col("threshold").isin(LADDER)).alias("on_ladder"))
+
+
+@query("m8_predictions")
+def m8_predictions(spark, sf):
+    return rounded(_low_curves(spark, sf).select("id", "rung", "y", "threshold"))
+
+
 def _additive(spark, sf):
     def predict(train, _, test):
         model = models.AdditiveCurveModel(FEATS).fit(train, frame.CURVE_COLUMNS)

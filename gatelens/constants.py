@@ -24,26 +24,26 @@ NON_CLIFFORD = ["t", "tdg", "p", "rx", "ry", "rz", "u", "u1", "u2", "u3",
 # ---- fixed values: family rules in priority order -------------------------------------
 # (family, required, any of, forbidden, max gate types, check)
 FAMILY_RULES = [
-    ("Shor", "cp cx h", "cswap", "", None, "qregs>=3"),
-    ("Pricing_Call", "cx ry", "ccx cry", "", None, None),
-    ("GraphState", "cz h", "", "cx cp ry rx rzz", 2, None),
-    ("W_State", "ry cz cx", "", "cp rzz u2 h", None, None),
-    ("Ground_State", "cz u2", "", "cx cp rzz ry ccx", None, None),
-    ("Portfolio_VQE", "ry cz", "", "cx cp rzz u2 u3 ccx", None, None),
-    ("QAOA", "rzz rx h", "", "cx cz cp ry ccx", None, None),
-    ("Portfolio_QAOA", "rzz rx", "u2 u3", "cx cz cp ccx", None, None),
-    ("Grover_V_Chain", "cx cp", "rccx ccx", "", None, "qregs>=2"),
-    ("Grover_NoAncilla", "cx cp", "cu cu1", "rzz cz ry cswap swap rccx", None, None),
-    ("QNN", "cx p", "u2 ry", "cz cp rzz ccx", None, None),
-    ("TwoLocalRandom", "ry cx", "", "cz cp rzz u2 u3 ccx p", None, "all_to_all"),
-    ("VQE", "ry cx", "", "cz cp rzz u2 u3 ccx p", None, "nearest_neighbor"),
-    ("QPE_Exact", "cp h x", "swap", "rzz ccx ry cx cswap cu", None, "qregs>=2"),
-    ("QFT_Entangled", "cp h cx", "swap", "rzz ccx cswap ry x", None, None),
-    ("QFT", "cp h", "swap", "cx rzz ccx cswap x", None, None),
-    ("Amplitude_Estimation", "cp cx", "u u3 u2", "", None, "qregs>=2"),
-    ("Deutsch_Jozsa", "cx", "u2 h", "", None, "star"),
-    ("CutBell", "cx h", "", "cz cp ry rz rx rzz u2 u3", 2, "long_range_only"),
-    ("GHZ", "cx h", "", "cz cp ry rz rx rzz u2 u3", 2, "nearest_neighbor"),
+    ("Shor", ("cp", "cx", "h"), ("cswap",), (), None, "qregs>=3"),
+    ("Pricing_Call", ("cx", "ry"), ("ccx", "cry"), (), None, None),
+    ("GraphState", ("cz", "h"), (), ("cx", "cp", "ry", "rx", "rzz"), 2, None),
+    ("W_State", ("ry", "cz", "cx"), (), ("cp", "rzz", "u2", "h"), None, None),
+    ("Ground_State", ("cz", "u2"), (), ("cx", "cp", "rzz", "ry", "ccx"), None, None),
+    ("Portfolio_VQE", ("ry", "cz"), (), ("cx", "cp", "rzz", "u2", "u3", "ccx"), None, None),
+    ("QAOA", ("rzz", "rx", "h"), (), ("cx", "cz", "cp", "ry", "ccx"), None, None),
+    ("Portfolio_QAOA", ("rzz", "rx"), ("u2", "u3"), ("cx", "cz", "cp", "ccx"), None, None),
+    ("Grover_V_Chain", ("cx", "cp"), ("rccx", "ccx"), (), None, "qregs>=2"),
+    ("Grover_NoAncilla", ("cx", "cp"), ("cu", "cu1"), ("rzz", "cz", "ry", "cswap", "swap", "rccx"), None, None),
+    ("QNN", ("cx", "p"), ("u2", "ry"), ("cz", "cp", "rzz", "ccx"), None, None),
+    ("TwoLocalRandom", ("ry", "cx"), (), ("cz", "cp", "rzz", "u2", "u3", "ccx", "p"), None, "all_to_all"),
+    ("VQE", ("ry", "cx"), (), ("cz", "cp", "rzz", "u2", "u3", "ccx", "p"), None, "nearest_neighbor"),
+    ("QPE_Exact", ("cp", "h", "x"), ("swap",), ("rzz", "ccx", "ry", "cx", "cswap", "cu"), None, "qregs>=2"),
+    ("QFT_Entangled", ("cp", "h", "cx"), ("swap",), ("rzz", "ccx", "cswap", "ry", "x"), None, None),
+    ("QFT", ("cp", "h"), ("swap",), ("cx", "rzz", "ccx", "cswap", "x"), None, None),
+    ("Amplitude_Estimation", ("cp", "cx"), ("u", "u3", "u2"), (), None, "qregs>=2"),
+    ("Deutsch_Jozsa", ("cx",), ("u2", "h"), (), None, "star"),
+    ("CutBell", ("cx", "h"), (), ("cz", "cp", "ry", "rz", "rx", "rzz", "u2", "u3"), 2, "long_range_only"),
+    ("GHZ", ("cx", "h"), (), ("cz", "cp", "ry", "rz", "rx", "rzz", "u2", "u3"), 2, "nearest_neighbor"),
 ]
 
 # ---- fixed values: smallest rung allowed per family -----------------------------------

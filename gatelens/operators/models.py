@@ -14,13 +14,15 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import Bucketizer, OneHotEncoder, QuantileDiscretizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatelens.constants import RUNGS_SCORING, TARGET_FIDELITY
+from gatelens.functions.blocks import running_total
 from gatelens.functions.exprs import d, finite, rung_log2
-from gatelens.functions.quantiles import quantiles_of_long
+from gatelens.functions.joins import join_small
+from gatelens.functions.lineage import cut
 from gatelens.operators import decisions, kernels
 from gatelens.operators.scoring import rung_index
 
@@ -158,11 +160,22 @@ def on_rungs(df: DataFrame, rungs: list[int] = RUNGS_SCORING) -> DataFrame:
     return df.withColumn("rung", F.explode(F.array(*[F.lit(r) for r in rungs]))).withColumn("log2_rung", rung_log2(F.col("rung")))
 
 
+def weighted_quantiles(rows: DataFrame, group: str, alpha: float, blocks: int = 1024) -> DataFrame:
+    """(group, n, q): the least x at which the running weight reaches ``alpha`` of the group's. x is within -1 to 1; rows: group, x, weight."""
+    block = F.floor((F.col("x") + 1) * (blocks / 2)).cast("long")
+    summed = running_total(rows.groupBy(group, "x").agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("c")), [group], block, ["x"], F.col("w"), "upto")
+    totals = rows.groupBy(group).agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n"))
+    reached = join_small(summed, totals, [group]).where(F.col("upto") >= F.col("total") * (alpha - 1e-12))
+    return reached.groupBy(group, "n").agg(F.min("x").alias("q"))
+
+
 @dataclass
 class CurveModel:
-    """M8: pooled regression of fidelity on features and log2 rung, moved to a low quantile.
+    """M8: pooled regression of a low quantile of fidelity on features and log2 rung.
 
-    With validation rows boosting stops when their loss no longer falls. The booster has no quantile loss, so each rung is shifted by the alpha-quantile of its validation residuals.
+    Boosting gives the mean (with validation rows it stops when their loss no longer falls). A tree on its residuals finds where they
+    differ, and each of its leaves gets the exact weighted ``alpha``-quantile of the residuals that fall into it: validation residuals
+    where there are any. Leaves with fewer than ``least_rows`` of them take the quantile of all residuals.
     """
 
     features: list[str]
@@ -171,9 +184,22 @@ class CurveModel:
     max_depth: int = 5
     learning_rate: float = 0.1
     rungs: list[int] = field(default_factory=lambda: list(RUNGS_SCORING))
+    leaf_depth: int = 4
+    least_rows: int = 30
     model: PipelineModel | None = None
+    leaves: PipelineModel | None = None
+    #: Leaf number and its shift; -1 is the shift of the other leaves.
     shift: dict[int, float] = field(default_factory=dict)
 
+    @property
+    def inputs(self) -> list[str]:
+        return [*self.features, "log2_rung"]
+
+    def _in_leaves(self, df: DataFrame) -> DataFrame:
+        """Adds the boosted mean ``raw`` and the number of the residual tree's leaf."""
+        scored = _scored(self.model, df, "raw")
+        return self.leaves.transform(scored).select(*scored.columns, F.col("leaf").cast("int").alias("leaf"))
+
     def fit(self, train: DataFrame, val: DataFrame | None = None) -> CurveModel:
         """``train`` and ``val`` are expanded rows: features, log2_rung, rung, y, weight."""
         rows = train.withColumn("is_val", F.lit(False))
@@ -183,17 +209,22 @@ class CurveModel:
         tree = GBTRegressor(maxIter=self.max_iter, maxDepth=self.max_depth, stepSize=self.learning_rate, weightCol="weight", seed=42)
         if val is not None:
             tree = tree.setValidationIndicatorCol("is_val")
-        self.model = Pipeline(stages=[_assembler([*self.features, "log2_rung"]), tree]).fit(data)
-        judged = _scored(self.model, val if val is not None else train, "fitted")
-        residuals = judged.select("rung", (F.col("y") - F.col("fitted")).alias("x")).where("x IS NOT NULL")
-        self.shift = {r.rung: r.q for r in quantiles_of_long(residuals, ["rung"], [self.alpha]).collect()}
+        self.model = Pipeline(stages=[_assembler(self.inputs), tree]).fit(data)
+        left = _scored(self.model, train.where("y IS NOT NULL"), "raw").withColumn("label", F.abs(F.col("y") - F.col("raw")))
+        spread = DecisionTreeRegressor(maxDepth=self.leaf_depth, minInstancesPerNode=self.least_rows, weightCol="weight", leafCol="leaf", seed=42)
+        self.leaves = Pipeline(stages=[_assembler(self.inputs), spread]).fit(left)
+        judged = self._in_leaves((val if val is not None else train).where("y IS NOT NULL"))
+        residual = F.least(F.greatest(F.col("y") - F.col("raw"), F.lit(-1.0)), F.lit(1.0))
+        found = cut(judged.select("leaf", residual.alias("x"), d(F.col("weight")).alias("weight")))
+        both = found.unionByName(found.withColumn("leaf", F.lit(-1)))
+        self.shift = {r.leaf: r.q for r in weighted_quantiles(both, "leaf", self.alpha).collect() if r.leaf == -1 or r.n >= self.least_rows}
         return self
 
     def predict_curve(self, df: DataFrame) -> DataFrame:
         """The rows once per rung with the predicted fidelity ``y``."""
-        moved = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in self.shift.items() for x in kv]), F.col("rung")), F.lit(0.0))
-        scored = _scored(self.model, on_rungs(df, self.rungs), "raw")
-        return scored.withColumn("y", F.least(F.greatest(F.col("raw") + moved, F.lit(0.0)), F.lit(1.0))).drop("raw", "log2_rung")
+        moved = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in self.shift.items() for x in kv]), F.col("leaf")), F.lit(self.shift.get(-1, 0.0)))
+        scored = self._in_leaves(on_rungs(df, self.rungs))
+        return scored.withColumn("y", F.least(F.greatest(F.col("raw") + moved, F.lit(0.0)), F.lit(1.0))).drop("raw", "log2_rung", "leaf")
 
     def predict_threshold(self, df: DataFrame, key: list[str], target: float = TARGET_FIDELITY) -> DataFrame:
         return decisions.curve_to_threshold(self.predict_curve(df), key, target)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatelens.functions.exprs import finite, pearson
+from gatelens.functions.exprs import finite
+from gatelens.functions.gram import pair_moments
 from gatelens.functions.joins import join_small
 from gatelens.functions.quantiles import exact_quantiles
 from gatelens.operators.sweep import KEY
@@ -24,17 +26,11 @@ def family_summary(frame: DataFrame) -> DataFrame:
     ).orderBy(F.col("mean_threshold").desc(), "true_family")
 
 
-def _finite(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns with NaN and infinities as NULL, projected once so that aggregates share them."""
-    return df.select(*[finite(c).alias(c) for c in columns])
-
-
 def target_correlations(df: DataFrame, features: list[str], targets: list[str], k: int = 15) -> DataFrame:
     """(target, feature, abs_r): the k features of largest |r| per target, from one pass."""
-    one = _finite(df, features + targets).agg(*[pearson(F.col(f), F.col(t)).alias(f"{t}|{f}") for t in targets for f in features])
-    cells = F.array(*[F.struct(F.lit(t).alias("target"), F.lit(f).alias("feature"), F.abs(F.col(f"`{t}|{f}`")).alias("abs_r"))
-                      for t in targets for f in features])
-    long = one.select(F.explode(cells).alias("c")).select("c.*").where("abs_r IS NOT NULL")
+    r = np.abs(pair_moments(df, features + targets).correlations())
+    rows = [(t, f, float(r[i, len(features) + j])) for j, t in enumerate(targets) for i, f in enumerate(features) if not np.isnan(r[i, len(features) + j])]
+    long = df.sparkSession.createDataFrame(rows, "target string, feature string, abs_r double")
     best = [long.where(F.col("target") == t).orderBy(F.col("abs_r").desc(), "feature").limit(k) for t in targets]
     out = best[0]
     for b in best[1:]:
@@ -97,13 +93,13 @@ def first_per_config(points: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, r) for a <= b by position over columns with any value; NULL where r is undefined."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    one = _finite(df, columns).agg(*[F.count(c).alias(f"n|{c}") for c in columns],
-                                   *[pearson(F.col(a), F.col(b)).alias(f"{a}|{b}") for a, b in pairs])
-    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r"),
-                               ((F.col(f"`n|{a}`") > 0) & (F.col(f"`n|{b}`") > 0)).alias("keep")) for a, b in pairs])
-    return one.select(F.explode(cells).alias("c")).where("c.keep").select("c.a", "c.b", "c.r")
+    """(a, b, r) for a <= b by position over columns with any value; NULL where r is undefined. One Gram matrix, whatever the columns."""
+    moments = pair_moments(df, columns)
+    r = moments.correlations()
+    any_value = moments.count.diagonal() > 0
+    rows = [(a, b, None if np.isnan(r[i, j]) else float(r[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns)
+            if j >= i and any_value[i] and any_value[j]]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
 def box_summary(df: DataFrame, column: str, by: str) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from gatelens.constants import RECOMMENDED_TEST
 from gatelens.functions.blocks import position
-from gatelens.functions.joins import join_salted
+from gatelens.functions.joins import BOUND, join_salted
+from gatelens.functions.lineage import cut
 
 BUCKET_DIGITS = 3
 
@@ -22,19 +23,41 @@ def _bucket():
     return F.conv(F.substring("h", 1, BUCKET_DIGITS), 16, 10).cast("long")
 
 
+def greedy_runs(sizes: dict[int, int], k: int) -> list[tuple[int, int, int, list[int]]]:
+    """(size, first, last, cycle): groups of one size, numbered from 0, go round the folds of ``cycle``.
+
+    Largest size first, each group into the fold with the fewest rows (the first of several). Groups of one size visit the folds
+    that are within one size of the least in a fixed order until they reach the next fold, so a size takes few runs.
+    """
+    loads, out = [0] * k, []
+    for n in sorted(sizes, reverse=True):
+        done = 0
+        while done < sizes[n]:
+            order = sorted(range(k), key=lambda j: (loads[j], j))
+            active = [j for j in order if loads[j] < loads[order[0]] + n]
+            rounds = (loads[order[len(active)]] - loads[order[0]]) // n if len(active) < k else sizes[n]
+            last = min(sizes[n], done + len(active) * rounds)
+            out.append((n, done, last, active))
+            for i, j in enumerate(active):
+                loads[j] += n * ((last - done) // len(active) + (i < (last - done) % len(active)))
+            done = last
+    return out
+
+
 def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
-    """K1: (group, n, fold): groups in order of size, dealt out back and forth over k folds, or as many as there are groups.
+    """K1: (group, n, fold): largest group first into the fold with the fewest rows, over k folds, or as many as there are groups.
 
-    Groups are ranked in blocks of (size, hash prefix), so not even a billion groups are sorted in one task.
+    Only the histogram of sizes reaches the driver (at most the square root of twice the rows). Groups of one size are ranked in
+    blocks of their hash, so not even a billion equal groups are sorted in one task.
     """
-    sizes = _hashed(df.groupBy(group).agg(F.count(F.lit(1)).alias("n")), group)
-    # larger groups first; 16^3 hash blocks per size
-    block = -F.col("n") * F.lit(16 ** BUCKET_DIGITS) + _bucket()
-    one = sizes.withColumn("__all", F.lit(0))
-    ranked = position(one, ["__all"], block, [F.col("n").desc(), "h", group], "rank")
-    folds = F.greatest(F.least(F.lit(k), sizes.agg(F.count(F.lit(1))).scalar()), F.lit(1))
-    seat = F.pmod(F.col("rank") - 1, 2 * folds)
-    return ranked.select(group, "n", F.least(seat, 2 * folds - 1 - seat).cast("int").alias("fold"))
+    sizes = cut(_hashed(df.groupBy(group).agg(F.count(F.lit(1)).alias("n")), group))
+    histogram = {r["n"]: r["c"] for r in sizes.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
+    runs = greedy_runs(histogram, max(1, min(k, sum(histogram.values()))))
+    lines = df.sparkSession.createDataFrame(runs, "n long, first long, last long, cycle array<int>")
+    ranked = position(sizes, ["n"], _bucket(), ["h", group], "rank").withColumn("rank", F.col("rank") - 1)
+    met = ranked.join(F.broadcast(lines), "n") if len(runs) <= BOUND else join_salted(ranked, lines, ["n"])
+    seat = F.pmod(F.col("rank") - F.col("first"), F.size("cycle")) + 1
+    return met.where("rank >= first AND rank < last").select(group, "n", F.element_at("cycle", seat.cast("int")).alias("fold"))
 
 
 def group_kfold(df: DataFrame, group: str, k: int = 5) -> DataFrame:

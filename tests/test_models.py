@@ -90,3 +90,25 @@ def test_search(data):
     grid = training.param_grid({"scaling": ["none", "standard"]})
     best, score, tried = training.grouped_param_search(data, parts, "id", 2, fit_predict, grid, training.mean_runtime_score)
     assert best == {"scaling": "standard"} and score > -1.0 and tried[0][1] == float("-inf")
+
+
+def test_weighted_quantiles(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(g), float(x), float(w)) for g, x, w in zip(rng.integers(0, 3, 500), np.round(rng.uniform(-1, 1, 500), 2), rng.uniform(0.1, 3, 500))]
+    got = {r.g: (r.n, r.q) for r in models.weighted_quantiles(spark.createDataFrame(rows, "g int, x double, weight double").repartition(4), "g", 0.2, blocks=16).collect()}
+    for g in range(3):
+        own = sorted((x, w) for k, x, w in rows if k == g)
+        upto, total = np.cumsum([w for _, w in own]), sum(w for _, w in own)
+        assert got[g] == (len(own), own[int(np.argmax(upto >= 0.2 * total))][0])
+
+
+def test_quantile_follows_the_spread(spark):
+    """Noise grows with f0; one shift for all would cover far too little of the noisy rows."""
+    rng = np.random.default_rng(5)
+    rows = [(i, float(a), 1, 0.0, float(np.clip(0.5 + (0.02 + 0.4 * (a > 0.5)) * rng.uniform(-1, 1), 0, 1)), 1.0) for i, a in enumerate(rng.uniform(0, 1, 1500))]
+    df = spark.createDataFrame(rows, "id long, f0 double, rung int, log2_rung double, y double, weight double")
+    train, val, test = df.where("id < 700"), df.where("id >= 700 AND id < 1100"), df.where("id >= 1100")
+    model = models.CurveModel(["f0"], max_iter=3, rungs=[1]).fit(train, val)
+    low = model.predict_curve(test.select("id", "f0")).join(test.select("id", F.col("y").alias("seen")), "id")
+    share = {r.noisy: r.share for r in low.groupBy((F.col("f0") > 0.5).alias("noisy")).agg(F.avg((F.col("seen") < F.col("y")).cast("int")).alias("share")).collect()}
+    assert all(abs(s - 1 / 6) < 0.08 for s in share.values())
