@@ -361,11 +361,11 @@ def _low_curves(spark, sf):
 @query("m8_curve_model", v.with_views(*CURVE_VIEWS, body="""
 SELECT fold, count(*) AS n, TRUE AS covers_alpha, TRUE AS on_ladder FROM cells GROUP BY fold"""))
 def m8(spark, sf):
-    """Whether a sixth of the held-out fidelities, give or take 0.03, lies below the predicted quantile."""
+    """Whether a sixth of the held-out weight (M9's, by which the quantile is defined), give or take 0.03, lies below the prediction."""
     rows = _own_fold(spark, sf, _curve_columns(spark, sf))[0]
-    seen = _long_curves(rows, CURVES).where("y IS NOT NULL").join(rows.select("id", "fold"), "id").withColumnRenamed("y", "seen")
-    both = seen.join(_low_curves(spark, sf), ["id", "rung"])
-    share = F.avg((F.col("seen") < F.col("y")).cast("int"))
+    points = dec.curve_weights(frame.expand_rungs(rows, frame.CURVE_COLUMNS, ["id", "fold"]), ["id"])
+    both = points.where("y IS NOT NULL").withColumnRenamed("y", "seen").join(_low_curves(spark, sf), ["id", "rung"])
+    share = F.sum(F.when(F.col("seen") < F.col("y"), F.col("weight")).otherwise(0.0)) / F.sum("weight")
     return both.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), (F.abs(share - 1 / 6) <= 0.03).alias("covers_alpha"),
                                     F.bool_and(F.col("threshold").isin(LADDER)).alias("on_ladder"))
 
