@@ -492,19 +492,29 @@ def m22(spark, sf):
     return _runtime_quality(_stored_folds(spark, sf), _predicted(spark, sf, predict))
 
 
-@query("m24_param_search", """
-SELECT mode AS threshold_mode, scale AS scaling, TRUE AS judged FROM (VALUES ('log2'), ('raw'), ('both')) m(mode), (VALUES ('standard'), ('robust')) s(scale)""")
-def m24(spark, sf):
-    df = cut(fx.v_features(spark, sf))
-    parts = cut(splits.build_splits(df, "id", "grp", 5))
+def _searched(spark, sf):
+    """Three kinds of models, with two or all features, on the folds' train and test rows."""
+    candidates = [{"kind": k, "n_features": n} for k in ("kernel", "linear", "bucket") for n in (2, None)]
+    return training.halving_search(_folds(spark, sf, fill=False), 5, training.runtime_candidate(FEATS), candidates, training.mean_runtime_score)
 
-    def fit_predict(train, val, test, params):
-        train, test = _filled(train, test)
-        return models.KernelRuntimeModel(FEATS, **params).fit(train).predict(test, "selected_threshold")
 
-    grid = training.param_grid({"threshold_mode": ["log2", "raw", "both"], "scaling": ["standard", "robust"]})
-    best, score, tried = training.grouped_param_search(df, parts, "id", 5, fit_predict, grid, training.mean_runtime_score)
-    return spark.createDataFrame([(p["threshold_mode"], p["scaling"], float("-inf") < s <= score) for p, s in tried], "threshold_mode string, scaling string, judged boolean")
+@query("m24_param_search", """
+SELECT kind, n_features, TRUE AS judged, kind = 'bucket' AS worse_than_best FROM (VALUES ('kernel'), ('linear'), ('bucket')) k(kind), (VALUES (2), (6)) n(n_features)
+WHERE kind = 'bucket' UNION ALL
+SELECT kind, n_features, TRUE, NULL FROM (VALUES ('kernel'), ('linear')) k(kind), (VALUES (2), (6)) n(n_features)""")
+def m24(spark, sf):
+    """Every candidate is judged on a fold at least, and the winner, judged on all, beats the baseline's kind."""
+    tried = _searched(spark, sf)
+    best = tried[0]
+    rows = [(t.settings["kind"], t.settings["n_features"] or len(FEATS), t.folds >= 1 and t.score > float("-inf") and best.folds == 5,
+             best.score > t.score if t.settings["kind"] == "bucket" else None) for t in tried]
+    return spark.createDataFrame(rows, "kind string, n_features int, judged boolean, worse_than_best boolean")
+
+
+@query("m24_scores")
+def m24_scores(spark, sf):
+    rows = [(t.settings["kind"], t.settings["n_features"], t.folds, round(t.score, 6), t.reason) for t in _searched(spark, sf)]
+    return spark.createDataFrame(rows, "kind string, n_features int, folds int, score double, reason string")
 
 
 @query("m26_predict_batch", RUNTIME_QUALITY.format("", " WHERE fold = 0"))

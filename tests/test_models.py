@@ -90,6 +90,35 @@ def test_search(data):
     grid = training.param_grid({"scaling": ["none", "standard"]})
     best, score, tried = training.grouped_param_search(data, parts, "id", 2, fit_predict, grid, training.mean_runtime_score)
     assert best == {"scaling": "standard"} and score > -1.0 and tried[0][1] == float("-inf")
+    assert tried[0][2] == "unknown scaler 'none'" and tried[1][2] is None
+
+
+def test_halving(spark):
+    """The better half goes on to more folds; failures keep their reason; ties go to the earlier candidate."""
+    calls = []
+    folds = lambda k: (None, None, spark.createDataFrame([(k,)], "fold int"))
+
+    def fit_predict(train, val, test, settings):
+        calls.append((settings["name"], test.first().fold))
+        if settings.get("fails"):
+            raise ValueError("no such model")
+        return test.withColumn("score", F.lit(settings["score"]))
+
+    candidates = [{"name": n, "score": s} for n, s in (("a", 1.0), ("b", 3.0), ("c", 2.0), ("d", 3.0))] + [{"name": "e", "score": 9.0, "fails": True}]
+    tried = training.halving_search(folds, 5, fit_predict, candidates, lambda df: df.agg(F.avg("score")).first()[0])
+    assert [(t.settings["name"], t.folds) for t in tried] == [("b", 5), ("d", 2), ("c", 1), ("a", 1), ("e", 0)]
+    assert tried[-1].reason == "no such model" and sorted(calls).count(("b", 0)) == 1 and len(calls) == 5 + 2 + 3
+
+
+def test_kinds_of_candidates(data):
+    predict = training.runtime_candidate(FEATS)
+    train, test = data.where("grp % 4 > 0"), data.where("grp % 4 = 0")
+    score = {}
+    for settings in ({"kind": "kernel"}, {"kind": "linear", "n_features": 1}, {"kind": "bucket"}, {"kind": "boost", "max_iter": 3}, {"kind": "kernel", "margin": 50.0}):
+        score[str(settings)] = training.mean_runtime_score(predict(train, None, test, settings))
+    assert score["{'kind': 'kernel'}"] >= max(score.values()) - 0.05 and score["{'kind': 'kernel', 'margin': 50.0}"] == min(score.values())
+    with pytest.raises(ValueError, match="unknown kind"):
+        predict(train, None, test, {"kind": "none"})
 
 
 def test_weighted_quantiles(spark):
