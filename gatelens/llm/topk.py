@@ -11,7 +11,8 @@ distribution of vectors, and gives at most k rows per query. Bounds are compared
 
 Results: null vectors and vectors with null or non-finite components take no part; vectors of another length than the
 query's are no candidates; a query with fewer than k candidates gives them all; ties go to the smaller id. Rows that
-share an id are candidates each, but none of them of a query with that id. An empty table gives no rows.
+share an id are candidates each, but none of them of a query with that id. An empty table gives no rows. Components whose
+integer needs over 62 bits raise an error.
 """
 
 from __future__ import annotations
@@ -32,9 +33,10 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float) ->
     """(vec_id, dim, v): floor(scale * x) of each component as double, without the vectors that take no part."""
     x = F.col(vector_col).cast("array<double>")
     sound = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    whole = lambda c: F.when(F.abs(c) < float(1 << 62) / scale, F.floor(c * scale)).otherwise(
+        F.raise_error(F.lit("a component is too large for an integer of 64 bits")).cast("long"))
     return (vectors.where(F.col(vector_col).isNotNull() & sound & F.col(id_col).isNotNull())
-            .select(F.col(id_col).cast("long").alias("vec_id"), F.size(x).alias("dim"),
-                    F.transform(x, lambda c: F.floor(c * scale)).cast("array<long>").alias("v")))
+            .select(F.col(id_col).cast("long").alias("vec_id"), F.size(x).alias("dim"), F.transform(x, whole).cast("array<long>").alias("v")))
 
 
 def _packed(rows: DataFrame, block: Column, ids: str, data: str, key: str) -> DataFrame:

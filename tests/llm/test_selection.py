@@ -276,3 +276,9 @@ def test_top_k(spark, scale, dim):
             want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(scores)]
     assert sorted(tuple(r) for r in got) == sorted(want)
     assert topk.exact_top_k(df.where("false"), F.col("vec_id") % 50 == 0).collect() == []
+
+
+def test_too_large_components_are_an_error(spark):
+    df = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        topk.exact_top_k(df, F.col("vec_id") % 50 == 0).collect()
