@@ -10,6 +10,7 @@ from gatelens import fixtures as fx
 from gatelens.catalog import query
 from gatelens.catalog import sqlviews as v
 from gatelens.catalog.common import rounded
+from gatelens.catalog.learning import FOLDS
 from gatelens.functions.lineage import shared_folder
 from gatelens.operators import scoring, splits
 from gatelens.operators.baseline import BucketBaseline, resolve_aliases
@@ -108,10 +109,7 @@ def a8(spark, sf):
     return rounded(sinks.read_predictions(spark, path, document=True))
 
 
-@query("a9_write_splits", v.with_views(v.V_FEATURES, """
-sz AS (SELECT grp, count(*) AS n FROM v_features GROUP BY grp),
-rk AS (SELECT grp, (row_number() OVER (ORDER BY n DESC, md5(grp::VARCHAR), grp) - 1) % 10 AS seat FROM sz),
-folds AS (SELECT grp, CAST(least(seat, 9 - seat) AS INTEGER) AS fold FROM rk)""", body="""
+@query("a9_write_splits", v.with_views(v.V_FEATURES, FOLDS, body="""
 SELECT id AS row_key, fold, 'test' AS role, (SELECT count(*) FROM v_features) AS n_samples FROM v_features JOIN folds USING (grp)"""))
 def a9(spark, sf):
     df = fx.v_features(spark, sf).select("id", "grp")
