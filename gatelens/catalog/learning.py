@@ -54,6 +54,38 @@ def j2(spark, sf):
     return rounded(selection.select_by_mutual_info(_stored(spark, sf), fx.FEATURES, selection.log_runtime(), 5))
 
 
+NEAR = ["n_lines", "sum_qty", "max_price"]
+
+
+def _psi(n: str) -> str:
+    m = f"({n} + 8.0::DOUBLE)"
+    series = f"ln{m} - 1 / (2 * {m}) - 1 / (12 * {m} ** 2) + 1 / (120 * {m} ** 4) - 1 / (252 * {m} ** 6)"
+    return f"({series} - " + " - ".join(f"1 / ({n} + {i}.0::DOUBLE)" for i in range(8)) + ")"
+
+
+def _near_sql(target: str) -> str:
+    """All pairs of points: the fourth least distance (the point itself is the first), then counts by range windows."""
+    names = [f"x{i}" for i in range(len(NEAR))] + ["y0"]
+    columns = ", ".join(f"{e} AS {n}" for n, e in zip(names, [*NEAR, target]))
+    place = ", ".join(f"""CAST(floor(({n} - avg({n}) OVER ()) / stddev_pop({n}) OVER () * 17592186044416.0::DOUBLE) AS BIGINT)
+      + CAST(floor(CAST('0x' || substr(md5(id || '#{n}'), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE
+        * (4e-10::DOUBLE * greatest(1, avg(abs({n})) OVER () / stddev_pop({n}) OVER ()) * 17592186044416.0::DOUBLE)) AS BIGINT) AS {n}""" for n in names)
+    points = " UNION ALL ".join(f"SELECT {i} AS idx, '{f}' AS feature, id, x{i} AS x, y0 AS y FROM gr WHERE x{i} IS NOT NULL AND y0 IS NOT NULL" for i, f in enumerate(NEAR))
+    return f"""
+raw AS (SELECT id, {columns} FROM v_features), gr AS MATERIALIZED (SELECT id, {place} FROM raw), pt AS MATERIALIZED ({points}),
+rd AS (SELECT a.idx, a.feature, a.id, a.x, a.y, greatest(min(greatest(abs(a.x - b.x), abs(a.y - b.y)), 4)[4] - 1, 0) AS r
+  FROM pt a JOIN pt b ON a.idx = b.idx GROUP BY ALL),
+nn AS (SELECT idx, feature, count(*) OVER (PARTITION BY idx ORDER BY x RANGE BETWEEN r PRECEDING AND r FOLLOWING) AS nx,
+  count(*) OVER (PARTITION BY idx ORDER BY y RANGE BETWEEN r PRECEDING AND r FOLLOWING) AS ny FROM rd)"""
+
+
+@query("j2_select_by_nearest_info", v.with_views(v.V_FEATURES, _near_sql(TARGETS["runtime"]), body=f"""
+SELECT CAST(row_number() OVER (ORDER BY score DESC, idx) AS INTEGER) AS rank, feature, round(score, 6) AS score FROM (
+  SELECT idx, feature, greatest(0, {_psi("count(*)")} + {_psi("3")} - avg({_psi("nx")}) - avg({_psi("ny")})) AS score FROM nn GROUP BY 1, 2)"""))
+def j2_nearest(spark, sf):
+    return rounded(selection.select_by_nearest_info(_stored(spark, sf), "id", NEAR, selection.log_runtime(), 3))
+
+
 @query("j3_select_combined", v.with_views(v.V_FEATURES, SCORES, body="""
 SELECT CAST(row_number() OVER (ORDER BY score DESC, idx) AS INTEGER) AS rank, feature, round(score, 6) AS score FROM (
   SELECT idx, feature, max(score) AS score FROM sc GROUP BY 1, 2) QUALIFY rank <= 5"""))
