@@ -109,6 +109,24 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=9).astype(np.int64) + int.from_bytes(data[1:9], "little", signed=True)
 
 
+def stepped(keys: np.ndarray) -> bytes:
+    """Ascending 64-bit keys as the first and the steps between them, in the fewest bytes that hold each step."""
+    if not len(keys):
+        return b""
+    steps = np.diff(keys).astype("<u8")
+    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + int(keys[0]).to_bytes(8, "little") + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unstepped(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.uint64)
+    width = data[0]
+    steps = np.zeros(((len(data) - 9) // width, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    return np.cumsum(np.concatenate([np.frombuffer(data, "<u8", 1, 1), steps.view("<u8").reshape(-1)]), dtype=np.uint64)
+
+
 def shard_count(chunks: DataFrame, text_per_shard: int) -> int:
     """So many shards that each merges the keys of about ``text_per_shard`` bytes; one number reaches the driver."""
     return max(1, -(-(chunks.agg(F.sum("size")).first()[0] or 0) // text_per_shard))

@@ -37,15 +37,18 @@ LANGUAGE_MODEL = f"""
 WITH d AS (SELECT doc_id, coalesce({CRC32} % 5 = 1, false) AS held_out,
   list_append(coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []), ' ') AS w FROM documents),
 p AS (SELECT doc_id, held_out, w, unnest(range(1, len(w) + 1)) AS i FROM d),
-t AS (SELECT doc_id, held_out, w[i] AS x, CASE WHEN i = 1 THEN '  ' ELSE w[i - 1] END AS h FROM p),
+t AS (SELECT doc_id, held_out, w[i] AS x, CASE WHEN i = 1 THEN '  ' ELSE w[i - 1] END AS h, CASE WHEN i = 2 THEN '  ' WHEN i > 2 THEN w[i - 2] END AS g FROM p),
 c1 AS (SELECT x, count(*) AS c FROM t WHERE NOT held_out GROUP BY x),
 c2 AS (SELECT h, x, count(*) AS c2 FROM t WHERE NOT held_out GROUP BY h, x),
+c3 AS (SELECT g, h, x, count(*) AS c3 FROM t WHERE NOT held_out AND g IS NOT NULL GROUP BY g, h, x),
+cg AS (SELECT h AS g, x AS h, c2 AS cg FROM c2),
 ch AS (SELECT x AS h, c AS ch FROM c1 UNION ALL SELECT '  ', count(*) FROM d WHERE NOT held_out),
 n AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c1),
-s AS (SELECT doc_id, held_out, n, c IS NOT NULL AS known, (coalesce(c, 0) + 0.5::DOUBLE) / (n + 0.5::DOUBLE * (v + 1)) AS p, coalesce(c2, 0) AS c2, coalesce(ch, 0) AS ch
-  FROM t CROSS JOIN n LEFT JOIN c1 USING (x) LEFT JOIN c2 USING (h, x) LEFT JOIN ch USING (h))
+s AS (SELECT doc_id, held_out, n, c IS NOT NULL AS known, (coalesce(c, 0) + 0.5::DOUBLE) / (n + 0.5::DOUBLE * (v + 1)) AS p, coalesce(c2, 0) AS c2, coalesce(ch, 0) AS ch, coalesce(c3, 0) AS c3, coalesce(cg, 0) AS cg
+  FROM t CROSS JOIN n LEFT JOIN c1 USING (x) LEFT JOIN c2 USING (h, x) LEFT JOIN ch USING (h) LEFT JOIN c3 USING (g, h, x) LEFT JOIN cg USING (g, h)),
+q AS (SELECT *, CASE WHEN ch > 0 THEN 0.5::DOUBLE * c2 / ch + 0.5::DOUBLE * p ELSE p END AS p2 FROM s)
 SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE known) AS n_known, n AS train_tokens, round(sum(log10(p)), 6) AS base_score,
-  round(sum(log10(CASE WHEN ch > 0 THEN 0.5::DOUBLE * c2 / ch + 0.5::DOUBLE * p ELSE p END)), 6) AS score FROM s GROUP BY doc_id, held_out, n"""
+  round(sum(log10(CASE WHEN cg > 0 THEN 0.5::DOUBLE * c3 / cg + 0.5::DOUBLE * p2 ELSE p2 END)), 6) AS score FROM q GROUP BY doc_id, held_out, n"""
 
 MIXING = f"""
 WITH RECURSIVE z AS (SELECT doc_id, source, md5(doc_id::VARCHAR) AS ord, len({WORDS})::BIGINT AS size FROM documents),

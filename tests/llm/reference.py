@@ -64,24 +64,26 @@ def learns(i):
     return i is None or zlib.crc32(str(i).encode()) % 5 != 1
 
 
-def language_scores(docs, share=0.5, add=0.5):
-    tokens = [(i, (t or "").encode().lower().split() + [None]) for i, t in docs]
-    one, two, texts = Counter(), Counter(), 0
+def language_scores(docs, order=3, share=0.5, add=0.5):
+    tokens = [(i, ["start", *(t or "").encode().lower().split(), None]) for i, t in docs]
+    seen, visits = Counter(), Counter()
     for i, w in tokens:
-        if learns(i):
-            one.update(w)
-            two.update(zip(["start", *w], w))
-            texts += 1
-    n, types = sum(one.values()), len(one)
+        for k in range(1, len(w)):
+            for m in range(min(order, k + 1)):
+                seen[tuple(w[k - m:k + 1])] += learns(i)
+                visits[tuple(w[k - m:k])] += learns(i)
+    n, types = visits[()], sum(1 for g, c in seen.items() if len(g) == 1 and c)
     out = []
     for i, w in tokens:
         base = score = 0.0
-        for h, x in zip(["start", *w], w):
-            p = (one[x] + add) / (n + add * (types + 1))
-            c = texts if h == "start" else one[h]
+        for k in range(1, len(w)):
+            p = (seen[(w[k],)] + add) / (n + add * (types + 1))
             base += math.log10(p)
-            score += math.log10(share * two[h, x] / c + (1 - share) * p) if c else math.log10(p)
-        out.append((i, not learns(i), len(w), sum(one[x] > 0 for x in w), n, base, score))
+            for m in range(1, min(order, k + 1)):
+                c = visits[tuple(w[k - m:k])]
+                p = share * seen[tuple(w[k - m:k + 1])] / c + (1 - share) * p if c else p
+            score += math.log10(p)
+        out.append((i, not learns(i), len(w) - 1, sum(seen[(x,)] > 0 for x in w[1:]), n, base, score))
     return out
 
 

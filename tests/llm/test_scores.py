@@ -8,12 +8,13 @@ import pytest
 import reference
 from pyspark.sql import functions as F
 
-from gatelens.llm import language_model, merkle, token_counts, toxicity
+from gatelens.llm import chunks, language_model, merkle, token_counts, toxicity
 
 
-def test_language_model(frame, docs):
-    got = sorted((tuple(r) for r in language_model.language_scores(frame).collect()), key=str)
-    want = sorted(reference.language_scores(docs), key=str)
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
+def test_language_model(frame, docs, order):
+    got = sorted((tuple(r) for r in language_model.language_scores(frame, order=order).collect()), key=str)
+    want = sorted(reference.language_scores(docs, order), key=str)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9)
 
@@ -34,6 +35,14 @@ def test_language_model_mass():
     assert total == pytest.approx(1.0)
 
 
+def test_keys_travel():
+    rng = np.random.default_rng(1)
+    for keys in (np.zeros(0, np.uint64), np.array([2**64 - 1], np.uint64), np.array([0, 2**64 - 1], np.uint64),
+                 np.unique(rng.integers(0, 2**64, 5000, np.uint64, endpoint=False))):
+        assert (chunks.unstepped(chunks.stepped(keys)) == keys).all()
+    assert len(chunks.stepped(keys)) < 8 * len(keys)
+
+
 def test_counts_travel():
     c = np.array([0, 1, 254, 255, 256, 10**9])
     assert language_model.counts_of(language_model.counts_bytes(c)).tolist() == c.tolist()
