@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,14 +109,16 @@ def ask(chunks: DataFrame, learns: Callable, order: int, n_shards: int) -> DataF
 
 
 def counts_bytes(c: np.ndarray) -> bytes:
-    """One byte a count, and the counts of 255 and more after them."""
-    return len(c).to_bytes(8, "little") + np.minimum(c, 255).astype(np.uint8).tobytes() + c[c >= 255].astype("<i8").tobytes()
+    """One byte a count, and the counts of 255 and more after them, compressed: most are 0, 1 or 2."""
+    plain = len(c).to_bytes(8, "little") + np.minimum(c, 255).astype(np.uint8).tobytes() + c[c >= 255].astype("<i8").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(plain)
 
 
 def counts_of(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    c = np.frombuffer(data, np.uint8, n, 8).astype(np.int64)
-    c[c == 255] = np.frombuffer(data, "<i8", offset=8 + n)
+    plain = zstandard.ZstdDecompressor().decompress(data)
+    n = int.from_bytes(plain[:8], "little")
+    c = np.frombuffer(plain, np.uint8, n, 8).astype(np.int64)
+    c[c == 255] = np.frombuffer(plain, "<i8", offset=8 + n)
     return c
 
 
