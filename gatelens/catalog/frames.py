@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from gatelens import fixtures as fx
-from gatelens.catalog import query
+from gatelens.catalog import ORACLES, query
 from gatelens.catalog import sqlviews as v
 from gatelens.catalog.common import rounded
+from gatelens.catalog.graphs import E6_SQL
 from gatelens.functions.lineage import cut
 from gatelens.operators import frame, sweep
 from gatelens.sources import benchmark, circuits
@@ -167,3 +170,48 @@ def full_frame(spark, sf):
     return circuit_features(fx.v_gates(spark, sf), header, dense=True)
 
 
+FRAME_PARTS = ["c1_gate_counts", "c2_gate_class_totals", "c3_clifford_split", "c4_param_moments", "c5_param_entropy", "c6_param_frequency",
+               "d3_cut_pressure", "d4_linear_cut_metrics", "d5_gate_span", "d7_layer_stats", "d8_entangling_runs", "e1_degree_stats",
+               "e2_degree_entropy", "e3_density", "e4_components", "e5_avg_clustering", "e7_elimination_width", "e9_bandwidth_heuristic", "e9_bandwidth",
+               "e10_cutwidth_heuristic", "e10_cutwidth", "e11_linear_arrangement", "e12_balanced_separator", "e13_recursive_bisection",
+               "e14_cut_conductance", "e15_path_metrics", "e16_edge_weight_stats", "e17_topology_flags", "e18_arboricity_bound"]
+
+
+def _frame_sql() -> str:
+    """The feature queries' SQL, each over the circuits of eight qubits, joined on the circuit. Gate mix and runs have no row for a
+    circuit without such gates, which counts as 0; a span without interactions stays NULL."""
+    angle = "CASE WHEN l_linenumber IN (3,5,6) THEN round_even(l_discount * 100, 0) * pi() / 16 END AS param, 8 AS n_qubits"
+    small = v.V_GATES_SMALL.replace("8 AS n_qubits", angle)
+    # what the SQL over circuits of 64 qubits says of their width
+    narrow = {"range(1, 64)": "range(1, 8)", "/ 63.0": "/ 7.0", "s > 16": "s > 2", "2016.0": "28.0", "/ 64, 6": "/ 8, 6", "u < 32": "u < 4",
+              "v < 32": "v < 4", "v >= 32": "v >= 4", "64 //": "8 //", "32 //": "4 //", "range(0, 6)": "range(0, 3)"}
+    parts = []
+    for name in FRAME_PARTS:
+        sql = ORACLES[name]
+        if v.V_GATES in sql:
+            sql = reduce(lambda text, k: text.replace(k, narrow[k]), narrow, sql.replace(v.V_GATES, ""))
+            sql = sql.replace("WITH ", f"WITH {small}", 1)
+        sql = sql.replace(v.V_GATES_SMALL, small)
+        if name.startswith(("c1", "c2", "c3", "d8")):
+            sql = f"SELECT file, coalesce(COLUMNS(* EXCLUDE (file)), 0) FROM (SELECT DISTINCT file FROM spine) LEFT JOIN ({sql}) USING (file)"
+        parts.append(sql)
+    parts.append(f"SELECT file, max(core) AS graph_degeneracy FROM ({E6_SQL}) GROUP BY file")
+    joins = " ".join(f"LEFT JOIN ({sql}) p{i} USING (file)" for i, sql in enumerate(parts))
+    smaller = ", ".join(f"least(graph_{m}_natural, graph_{m}_heuristic) AS graph_{m}_min" for m in ("bandwidth", "cutwidth", "linear_arrangement"))
+    # clustering of eight nodes is a whole number of 1680ths: the rounded mean tells which
+    return f"""
+WITH {small}, {v.SPINE}, parts AS (SELECT * FROM (SELECT DISTINCT file FROM spine) {joins}),
+filled AS (SELECT file, CAST(COLUMNS(* EXCLUDE (file)) AS DOUBLE) FROM parts),
+wide AS (SELECT *, 8 AS n_qubits, 2 AS n_qregs, 0 AS n_cbits, 0 AS n_cregs, {smaller},
+  (round(graph_avg_clustering * 1680) / 1680) / (graph_n_edges / 28 + 1e-12::DOUBLE) AS graph_clustering_over_density,
+  total_gates / 8 AS gates_per_qubit, n_entangling_gates / 8 AS entangling_gates_per_qubit, max_cut_pressure / 8 AS cut_pressure_per_qubit,
+  ln(1 + total_gates) AS log_total_gates, ln(9) AS log_n_qubits, ln(1 + max_cut_pressure) AS log_max_cut_pressure FROM filled)
+SELECT file, round(CAST(COLUMNS(* EXCLUDE (file)) AS DOUBLE), 6) FROM wide"""
+
+
+@query("h1_circuit_frame_values", _frame_sql())
+def frame_values(spark, sf):
+    """All numeric features of one row per circuit, with path lengths and conductance."""
+    from gatelens.plans.features import circuit_features
+    header = fx.v_circuits_small(spark, sf).withColumns({"n_cbits": F.lit(0), "n_cregs": F.lit(0)})
+    return rounded(circuit_features(fx.v_gates_small(spark, sf), header, dense=True, expansion=True).drop("predicted_family"))
