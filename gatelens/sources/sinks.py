@@ -55,8 +55,12 @@ def read_predictions(spark: SparkSession, path: str, document: bool = False) ->
     return spark.read.text(path).select(F.from_json(body, schema).alias("p")).where("p.id IS NOT NULL").select("p.*")
 
 
-def write_texts(texts: DataFrame, path: str) -> None:
-    """A3's input: (file, text) as one folder per circuit, each text ended by a line end."""
+def write_texts(texts: DataFrame, path: str, lines: bool = False) -> None:
+    """A3's input: (file, text) as one folder per circuit, or (``lines``) one document per line; each text ended by a line end."""
+    if lines:
+        ended = F.struct("file", F.concat("text", F.lit("\n")).alias("text"))
+        texts.select(F.to_json(ended)).write.mode("overwrite").text(path)
+        return
     texts.select("file", "text").write.mode("overwrite").partitionBy("file").text(path)
 
 

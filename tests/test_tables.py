@@ -92,6 +92,17 @@ def test_tasks_ids_texts(spark, tmp_path):
         frame.holdout_frame(tasks, ids, features.where("file = 'none'")).collect()
 
 
+def test_texts_as_lines(spark, tmp_path):
+    """A collection is a few files whatever the number of circuits, and reads back as it was."""
+    rows = [(f"c{i}", f'OPENQASM 2.0;\n// "{i}"\r\nh q[{i}];') for i in range(200)] + [("empty", ""), ("odd name/é", "\u2028\t")]
+    sinks.write_texts(spark.createDataFrame(rows, "file string, text string").coalesce(2), str(tmp_path / "lines"), lines=True)
+    assert len([p for p in Path(tmp_path / "lines").rglob("*") if p.name.startswith("part-")]) <= 2
+    manifest = spark.createDataFrame([(f,) for f, _ in rows[100:]] + [("lost",)], "file string")
+    with pytest.warns(UserWarning, match="lost"):
+        texts = circuits.read_circuit_texts(spark, str(tmp_path / "lines"), manifest, lines=True)
+    assert sorted(map(tuple, texts.collect())) == sorted((f, t + "\n") for f, t in rows[100:])
+
+
 def test_writers(spark, tmp_path):
     preds = spark.createDataFrame([("b", 4, 1.5), ("a", 2, None), ("c", 1, 2.0)], "id string, predicted_threshold_min int, predicted_forward_wall_s double")
     sinks.write_predictions(preds, str(tmp_path / "doc"), document=True)
