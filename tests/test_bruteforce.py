@@ -203,3 +203,14 @@ def test_cut_pressure(data):
         share = p[p > 0] / p.sum()
         assert got[f].max_cut_pressure == p.max() and got[f].std_cut_pressure == pytest.approx(p.std())
         assert got[f].cut_pressure_entropy == pytest.approx(-(share * np.log2(share)).sum())
+
+
+def test_neighbours_travel_once_per_block(spark, monkeypatch):
+    """Cells smaller than a block share one: no test row is copied to each of the cells that it must see."""
+    routed = []
+    monkeypatch.setattr(neighbours, "cut", lambda df: routed.append(df.count()) or df)
+    monkeypatch.setattr(neighbours, "COPIES", 7)
+    rng = random.Random(5)
+    rows = [(i, i % 3, [rng.gauss(0, 1) for _ in range(12)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, x array<double>")
+    assert neighbours.knn_leave_one_out(df, 3).count() == 120 and routed == [120]
