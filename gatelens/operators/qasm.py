@@ -15,7 +15,8 @@ from gatelens.constants import PARAMETERIZED, THREE_QUBIT, TWO_QUBIT
 
 # ---- fixed values: statement patterns ---------------------------------------------------
 REGISTER = r"^(qreg|creg)\s+(\w+)\s*\[\s*(\d+)\s*\].*$"
-GATE = r"^(\w+)(?:\(([^)]*)\))?\s+(.+?)\s*;$"
+#: Of a statement whose semicolon and the blanks before it are gone, so that no step has to look for its end.
+GATE = r"^(\w+)(?:\(([^)]*)\))?\s+(.+)$"
 OPERAND = r"(\w+)\s*\[\s*(\d+)\s*\]"
 NUMBER = r"(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
 ANGLE = rf"^([-+]?)\s*(?:({NUMBER})\s*\*\s*)?(?:(pi)|({NUMBER}))\s*(?:/\s*({NUMBER}))?$"
@@ -27,10 +28,31 @@ MARK = "\x01"
 
 def statements(texts: DataFrame) -> DataFrame:
     """B1: (file, line_no, stmt) without blanks, comments and headers; ``line_no`` counts from 1."""
-    lines = texts.select("file", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("line_no", "stmt"))
-    stmt = F.btrim(F.col("stmt"), F.lit(BLANKS))
-    kept = lines.select("file", (F.col("line_no") + 1).alias("line_no"), stmt.alias("stmt"))
-    return kept.where(~skipped())
+    return _statements(texts.select("file", split_lines(F.col("text")).alias("lines")))
+
+
+def _statements(lined: DataFrame) -> DataFrame:
+    """``lined`` (file, lines, ...) to one row per statement, further columns kept."""
+    carry = [c for c in lined.columns if c != "lines"]
+    # outer, so that the planner does not split the text a second time to look for empty arrays; a null text has no statement
+    lines = lined.select(*carry, F.posexplode_outer("lines").alias("line_no", "line"))
+    trimmed = once(lines.select(*carry, (F.col("line_no") + 1).alias("line_no"), "line"), trimmed_line(F.col("line")), "stmt")
+    return trimmed.where(~skipped()).drop("line")
+
+
+def trimmed_line(line: Column) -> Column:
+    """The line without blanks at its ends; trimming a set of characters is slow, so lines without any are left alone."""
+    return F.when(line.rlike(r"^\s|\s$"), F.btrim(line, F.lit(BLANKS))).otherwise(line)
+
+
+def split_lines(text: Column) -> Column:
+    """ARRAY of the lines of a text; they may end in CR LF, LF or CR. A single character splits far faster than a pattern."""
+    return F.split(F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), "\n")
+
+
+def once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """``df`` with a column whose later filters read the value instead of working it out again: no filter passes a generator."""
+    return df.select(*df.columns, F.explode_outer(F.array(value)).alias(name))
 
 
 def skipped() -> Column:
@@ -64,7 +86,7 @@ def registers(stmts: DataFrame) -> DataFrame:
 
 
 def register_offsets(decls: DataFrame) -> DataFrame:
-    """(file, offsets ARRAY<STRUCT<name, offset>>): first qubit of each quantum register.
+    """(file, offsets STRUCT<names, starts>): first qubit of each quantum register.
 
     Every declaration advances the offset by the register's final size, and the last declaration of a name counts.
     """
@@ -73,7 +95,8 @@ def register_offsets(decls: DataFrame) -> DataFrame:
     sized = decls.where(F.col("kind") == "qreg").withColumn("size", F.last("size").over(everywhere))
     placed = sized.withColumn("offset", F.coalesce(F.sum("size").over(by_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     last = placed.groupBy("file", "name").agg(F.max_by("offset", "line_no").cast("int").alias("offset"))
-    return last.groupBy("file").agg(F.collect_list(F.struct("name", "offset")).alias("offsets"))
+    listed = last.groupBy("file").agg(F.collect_list(F.struct("name", "offset")).alias("o"))
+    return listed.select("file", F.struct(F.col("o.name").alias("names"), F.col("o.offset").alias("starts")).alias("offsets"))
 
 
 def drop_nonunitary(stmts: DataFrame) -> DataFrame:
@@ -83,10 +106,8 @@ def drop_nonunitary(stmts: DataFrame) -> DataFrame:
 
 def operands(stmt: Column) -> Column:
     """ARRAY<STRUCT<reg, idx>> of all ``reg[idx]`` in order."""
-    found = F.regexp_extract_all(stmt, F.lit(OPERAND), F.lit(0))
-    inner = lambda o: F.btrim(F.rtrim(F.substring_index(o, "[", -1), F.lit("]")), F.lit(BLANKS))
-    return F.transform(found, lambda o: F.struct(
-        F.btrim(F.substring_index(o, "[", 1), F.lit(BLANKS)).alias("reg"), inner(o).cast("int").alias("idx")))
+    group = lambda i: F.regexp_extract_all(stmt, F.lit(OPERAND), F.lit(i))
+    return F.arrays_zip(group(1), group(2)).cast("array<struct<reg string, idx int>>")
 
 
 def gates_raw(stmts: DataFrame, carry: list[str] | None = None) -> DataFrame:
@@ -95,11 +116,13 @@ def gates_raw(stmts: DataFrame, carry: list[str] | None = None) -> DataFrame:
     ``carry``: further columns to keep.
     """
     carry = carry or []
-    candidates = drop_nonunitary(stmts).select(
-        "file", *carry, "line_no", "stmt", match_groups(F.col("stmt"), GATE, 3).alias("m")).where(F.size("m") == 3)
-    others = candidates.where(~is_declaration() | ~F.col("stmt").rlike(REGISTER))
-    return others.select("file", *carry, "line_no", F.col("m")[0].alias("name"), F.col("m")[1].alias("args"),
-                         operands(F.col("m")[2]).alias("operands")).where(F.size("operands") > 0)
+    stmt = F.col("stmt")
+    ended = drop_nonunitary(stmts).where(stmt.endswith(";") & (~is_declaration() | ~stmt.rlike(REGISTER)))
+    body = trimmed_line(F.substring(stmt, F.lit(1), F.length(stmt) - 1))
+    cut_up = once(ended.select("file", *carry, "line_no", body.alias("stmt")), match_groups(F.col("stmt"), GATE, 3), "m")
+    m = F.col("m")
+    return cut_up.where((F.size(m) == 3) & m[2].rlike(OPERAND)).select(
+        "file", *carry, "line_no", m[0].alias("name"), m[1].alias("args"), operands(m[2]).alias("operands"))
 
 
 def eval_params(expr: Column) -> Column:
@@ -135,10 +158,10 @@ def _angle_value(m: Column) -> Column:
 
 
 def _qubits_and_params(raw: DataFrame) -> DataFrame:
-    """Gates from rows that carry their circuit's ``offsets``."""
+    """Gates from rows that carry their circuit's ``offsets``, of which the first of a name counts."""
     def qubit(o: Column) -> Column:
-        own = F.filter("offsets", lambda r: r["name"] == o["reg"])
-        return o["idx"] + F.coalesce(F.try_element_at(own, F.lit(-1))["offset"], F.lit(0))
+        at = F.array_position("offsets.names", o["reg"])
+        return o["idx"] + F.coalesce(F.get("offsets.starts", (at - 1).cast("int")), F.lit(0))
 
     params = F.when(F.col("args") == "", F.array().cast("array<double>")).otherwise(
         F.transform(F.split("args", ","), eval_params))
@@ -157,7 +180,7 @@ def global_qubits(raw: DataFrame, decls: DataFrame) -> DataFrame:
 
 def text_lines(text: Column) -> Column:
     """ARRAY of the trimmed lines of a text."""
-    return F.transform(F.split(text, r"\r\n|\n|\r"), lambda line: F.btrim(line, F.lit(BLANKS)))
+    return F.transform(split_lines(text), trimmed_line)
 
 
 def text_declarations(lines: Column, kind: str) -> Column:
@@ -174,13 +197,13 @@ def last_sizes(decls: str) -> Column:
 
 def gates(texts: DataFrame) -> DataFrame:
     """B6 from (file, text) without a shuffle: a text's register offsets travel with its own lines."""
-    lined = texts.select("file", text_lines(F.col("text")).alias("lines"))
-    declared = lined.withColumn("decls", text_declarations(F.col("lines"), "qreg")).withColumn("qregs", last_sizes("decls"))
+    lined = texts.select("file", split_lines(F.col("text")).alias("lines"))
+    trimmed = F.transform(F.filter("lines", lambda x: F.contains(x, F.lit("qreg"))), trimmed_line)
+    declared = lined.withColumn("decls", text_declarations(trimmed, "qreg")).withColumn("qregs", last_sizes("decls"))
     before = lambda r, i: F.aggregate(F.slice("qregs", F.lit(1), i), F.lit(0), lambda a, o: a + o["size"])
-    placed = declared.withColumn("offsets", F.transform(
-        "qregs", lambda r, i: F.struct(r["name"].alias("name"), before(r, i).alias("offset"))))
-    stmts = placed.select("file", "offsets", F.posexplode("lines").alias("line_no", "stmt")).withColumn("line_no", F.col("line_no") + 1)
-    return _qubits_and_params(gates_raw(stmts.where(~skipped()), ["offsets"]))
+    # the last declaration of a name counts, so the last comes first
+    placed = declared.withColumn("offsets", F.struct(F.reverse("qregs.name").alias("names"), F.reverse(F.transform("qregs", before)).alias("starts")))
+    return _qubits_and_params(gates_raw(_statements(placed.select("file", "offsets", "lines")), ["offsets"]))
 
 
 def headers(texts: DataFrame) -> DataFrame:

@@ -169,3 +169,13 @@ def test_whole_frame(texts, spark):
     for f in r.values():
         assert f.edge_cutwidth_natural == f.graph_cutwidth_natural and f.entangling_cutwidth_natural == f.max_cut_pressure
     assert r["ghz"].circuit_depth == 4.0 and r["empty"].total_gates == 1.0 and r["empty"].predicted_family == "Unknown"
+
+
+def test_no_pattern_runs_twice_on_a_statement(spark):
+    texts = spark.createDataFrame([(1, "qreg a[2];\r\nqreg b[2];\r\tcx a[0] , b [1] ; \nrz(pi/2) b[0];\n\n"), (2, None)], "file long, text string")
+    raw = qasm.gates_raw(qasm.statements(texts))
+    plan = raw._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1 and plan.count("split(") == 2
+    assert [(r.line_no, r.name, r.args, [tuple(o) for o in r.operands]) for r in raw.orderBy("line_no").collect()] == [
+        (3, "cx", "", [("a", 0), ("b", 1)]), (4, "rz", "pi/2", [("b", 0)])]
+    assert [(r.seq, r.qubits) for r in qasm.gates(texts).orderBy("seq").collect()] == [(3, [0, 3]), (4, [2])]
