@@ -141,3 +141,15 @@ def test_quantile_follows_the_spread(spark):
     low = model.predict_curve(test.select("id", "f0")).join(test.select("id", F.col("y").alias("seen")), "id")
     share = {r.noisy: r.share for r in low.groupBy((F.col("f0") > 0.5).alias("noisy")).agg(F.avg((F.col("seen") < F.col("y")).cast("int")).alias("share")).collect()}
     assert all(abs(s - 1 / 6) < 0.08 for s in share.values())
+
+
+def test_folds_are_fitted_side_by_side_on_rows_of_all_tasks(spark):
+    import threading
+
+    from gatelens.catalog import models as queries
+    from gatelens.plans import training
+
+    gate = threading.Barrier(2, timeout=30)
+    assert training.side_by_side(lambda k: (gate.wait() >= 0, k)[1], [3, 1]) == [3, 1]
+    train, _, _ = queries._folds(spark, "/root/testdata/sf0.001", fill=False)(0)
+    assert len(train.inputFiles()) == int(spark.conf.get("spark.sql.shuffle.partitions"))
