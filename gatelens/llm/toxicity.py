@@ -6,7 +6,7 @@ through a linear softmax; a document's odds add those of its passages (log-sum-e
 count. The sum is divided by 1 + n * level for n passages, where the level is ``excess`` times the mean odds of the clean
 passages learned from, and a passage's odds count up to exp(``most_odds``): clean text does not turn toxic by its length.
 
-Embeddings and softmax are trained together in numpy, on the driver, from a sample of labelled rows with a word, of any
+Embeddings and softmax are trained together in numpy, in a task, from a sample of labelled rows with a word, of any
 length, bounded by ``max_rows`` of each label. A text over ``max_chars`` bytes gives that much in pieces spread evenly over
 all of it; it is scored whole. An unseen misspelling shares most of its character n-grams with the word. Scoring needs one
 weight per bucket (the embedding's share of the softmax), a table of fixed size.
@@ -222,9 +222,8 @@ def spread(text: str, most: int) -> str:
     return b" ".join(parts).decode(errors="ignore")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, learns: Column, s: Settings, id_col: str, text_col: str,
-                    label_col: str) -> tuple[list[str], np.ndarray]:
-    """At most ``max_rows`` texts of each label, in a fixed pseudo-random order of the ids that have a text with a word."""
+def sampled(docs: DataFrame, labels: DataFrame, learns: Column, s: Settings, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(doc_id, y, text): at most ``max_rows`` texts of each label, by a fixed pseudo-random order of the ids that have a text with a word."""
     marked = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null")
               .groupBy("doc_id").agg(F.max("y").alias("y")).where(learns))
     order = F.xxhash64(F.col("doc_id"), F.lit(s.seed))
@@ -238,16 +237,35 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learns: Column, s: Setti
         for batch in batches:
             yield batch.set_column(2, "text", pa.array([spread(t, s.max_chars) for t in batch.column(2).to_pylist()], pa.string()))
 
-    rows = chosen.mapInArrow(shorter, "doc_id long, y int, text string").orderBy("doc_id").collect()
+    return chosen.mapInArrow(shorter, "doc_id long, y int, text string")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, learns: Column, s: Settings, id_col: str, text_col: str,
+                    label_col: str) -> tuple[list[str], np.ndarray]:
+    """Texts and labels of ``sampled``, in order of their ids."""
+    rows = sampled(docs, labels, learns, s, id_col, text_col, label_col).orderBy("doc_id").collect()
     return [r["text"] for r in rows], np.array([r["y"] for r in rows], int)
 
 
+def trained_in_task(sample: DataFrame, s: Settings) -> tuple[np.ndarray, float, float]:
+    """``train`` on the rows of ``sampled``, in one task, as they are bounded; the driver gets 2^bits weights and two numbers."""
+    def fit(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("doc_id")
+        y = rows["y"].to_numpy()
+        weight, bias, level = train(rows["text"].to_pylist(), y, s) if 0 < y.sum() < len(y) else (np.zeros(0), -np.inf, 0.0)
+        return pa.table({"weight": pa.array([weight.astype(np.float32).tobytes()], pa.binary()), "bias": [float(bias)], "level": [float(level)]})
+
+    found = sample.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(fit, "weight binary, bias double, level double").collect()
+    if not found or not found[0]["weight"]:
+        return np.zeros(1 << s.bits, np.float32), -np.inf, 0.0
+    return np.frombuffer(found[0]["weight"], np.float32), found[0]["bias"], found[0]["level"]
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, learns: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
                     label_col: str = "toxic", settings: Settings = Settings()) -> DataFrame:
     """``docs`` with columns ``toxic_score`` (0 to 1) and ``toxic_predicted`` (1 if the score reaches the threshold)."""
     learns = crc_mod(F.col("doc_id"), 4) != 2 if learns is None else learns
-    texts, y = labelled_sample(docs, labels, learns, settings, id_col, text_col, label_col)
-    model = train(texts, y, settings) if 0 < y.sum() < len(y) else (np.zeros(1 << settings.bits, np.float32), -np.inf, 0.0)
+    model = trained_in_task(sampled(docs, labels, learns, settings, id_col, text_col, label_col), settings)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^bits weights, whatever the corpus
     named = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(docs.columns)], F.col(text_col).alias("__text"))
     fields = [*named.schema.fields[:-1], StructField("toxic_score", DoubleType()), StructField("toxic_predicted", IntegerType())]

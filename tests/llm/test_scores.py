@@ -114,6 +114,21 @@ def test_toxicity_learns_from_long_texts(spark):
     assert max(len(t) for t in texts) <= 20_000
 
 
+def test_toxicity_trains_in_a_task(spark, monkeypatch):
+    """The driver holds no training text and trains nothing, and the model is the one that all of the sample gives in order."""
+    docs = spark.createDataFrame([(i, f"bad w{i % 7} thing" if i % 3 == 0 else f"nice w{i % 7} day") for i in range(90)], "doc_id long, text string").repartition(5)
+    labels = docs.selectExpr("doc_id", "int(doc_id % 3 = 0) toxic")
+    s = toxicity.Settings(bits=12, steps=20)
+    want = toxicity.train(*toxicity.labelled_sample(docs, labels, F.lit(True), s, "doc_id", "text", "toxic"), s)
+    got = toxicity.trained_in_task(toxicity.sampled(docs, labels, F.lit(True), s, "doc_id", "text", "toxic"), s)
+    assert got[0].dtype == np.float32 and (got[0] == want[0]).all() and got[1:] == want[1:]
+    none = toxicity.trained_in_task(toxicity.sampled(docs, labels.where("toxic = 1"), F.lit(True), s, "doc_id", "text", "toxic"), s)
+    assert len(none[0]) == 1 << s.bits and none[1] == -np.inf
+    monkeypatch.setattr(toxicity, "labelled_sample", None)
+    out = toxicity.toxicity_scores(docs, labels, F.lit(True), settings=s)
+    assert out.where("toxic_predicted <> int(doc_id % 3 = 0)").count() == 0
+
+
 def test_bags_end_at_documents():
     s = toxicity.Settings(passage=2)
     texts = ["ab", "", "Ab cd, ef", "!!", "ab"]
