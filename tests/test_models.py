@@ -153,3 +153,25 @@ def test_folds_are_fitted_side_by_side_on_rows_of_all_tasks(spark):
     assert training.side_by_side(lambda k: (gate.wait() >= 0, k)[1], [3, 1]) == [3, 1]
     train, _, _ = queries._folds(spark, "/root/testdata/sf0.001", fill=False)(0)
     assert len(train.inputFiles()) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_m22_does_all_folds(spark, monkeypatch):
+    """Rows of every fold are made and fitted, with the models' own numbers of rounds, and the SQL asks for every fold."""
+    from gatelens import catalog
+    from gatelens.catalog import models as queries
+
+    asked = {}
+    rows = spark.createDataFrame([(i, i) for i in range(10)], "id long, grp long")
+    monkeypatch.setattr(queries.fx, "v_features", lambda *_: rows)
+    monkeypatch.setattr(queries, "_sweep_labels", lambda *_: rows.select("id", *[F.lit(0.5).alias(c) for c in queries.LABELS]))
+    monkeypatch.setattr(queries, "_parts_of", lambda df, fill, folds: asked.update(parts=list(folds)))
+    monkeypatch.setattr(queries, "_out_of_fold", lambda parts, predict, folds: asked.update(predict=predict, folds=list(folds)))
+    monkeypatch.setattr(queries, "_runtime_quality", lambda rows, out, others=(), folds=range(5): list(folds))
+    assert queries.m22(spark, "") == asked["parts"] == asked["folds"] == [0, 1, 2, 3, 4]
+    assert "fold = 0" not in catalog.ORACLES["m22_runtime_with_uncertainty"]
+    made = {}
+    monkeypatch.setattr(training.ThresholdPredictor, "fit", lambda self, train, val: made.update(threshold=self) or self)
+    monkeypatch.setattr(training.RuntimePredictor, "fit", lambda self, train, val: made.update(runtime=self) or self)
+    monkeypatch.setattr(training.RuntimePredictor, "predict", lambda self, df: df.withColumn("predicted_forward_wall_s", F.lit(1.0)))
+    asked["predict"](rows, rows, rows)
+    assert made["threshold"].auxiliary_settings == {} and made["runtime"].settings == {}
