@@ -175,3 +175,43 @@ def test_m22_does_all_folds(spark, monkeypatch):
     monkeypatch.setattr(training.RuntimePredictor, "predict", lambda self, df: df.withColumn("predicted_forward_wall_s", F.lit(1.0)))
     asked["predict"](rows, rows, rows)
     assert made["threshold"].auxiliary_settings == {} and made["runtime"].settings == {}
+
+
+def test_rows_are_stored_once_for_all_folds(data, spark):
+    """A row is not copied to its folds, and each fold's parts are those of the splits; a fold's medians are asked for once."""
+    from gatelens.catalog import models as queries
+
+    parts = queries._parts_of(data, False)
+    assert parts.stored.count() == parts.n_rows == 240
+    want = {}
+    for r in splits.build_splits(data, "id", "grp", 5).collect():
+        want.setdefault((r.fold, r.role), []).append(r.row_key)
+    for k in range(5):
+        for role, own in zip(("train", "val", "test"), parts(k)):
+            assert own.columns == data.columns and sorted(r.id for r in own.collect()) == sorted(want[k, role])
+
+
+def test_many_rows_are_fitted_one_by_one():
+    import time
+
+    under_way, most = [], []
+
+    def work(k):
+        under_way.append(k)
+        most.append(len(under_way))
+        time.sleep(0.05)
+        under_way.remove(k)
+
+    training.side_by_side(work, range(4), training.ROWS_AT_ONCE)
+    assert max(most) == 1
+
+
+def test_candidates_share_a_fold_s_rows(data, monkeypatch):
+    """Candidates of a search write no copy of the train rows and ask for no medians of rows without gaps."""
+    def none(*_):
+        raise AssertionError("rows are written or medians asked for anew")
+
+    monkeypatch.setattr(training, "cut", none)
+    monkeypatch.setattr(training.frame, "fit_fill", none)
+    out = training.runtime_candidate(FEATS, filled=True)(data.where("grp % 4 > 0"), None, data.where("grp % 4 = 0"), {"kind": "kernel"})
+    assert out.count() == data.where("grp % 4 = 0").count()
