@@ -6,8 +6,10 @@ with the exact norms is an upper bound on the inner product, m * (mean_q * mean_
 bound first, more narrow ones bound what is left, and only survivors get the exact product. The bounds are taken with a
 margin above their rounding error, so no true neighbour is lost.
 
-Queries and candidates are packed into blocks of bounded size; each pair of blocks is one small task row, whatever the
-distribution of vectors, and gives at most k rows per query. Bounds are compared with the k-th best exact score so far.
+Queries and candidates are packed into blocks of bounded size and written once. Query blocks come in waves of at most
+``WAVE_BYTES``, broadcast; each task compares a wave with its own candidate blocks, which are never shuffled again, and hands
+on at most k rows per query. Bounds are compared with the k-th best exact score of all blocks that the task has seen. The
+driver holds one wave, whatever the number of vectors. Waves follow each other and write their result to the shared folder.
 
 Results: null vectors and vectors with null or non-finite components take no part; vectors of another length than the
 query's are no candidates; a query with fewer than k candidates gives them all; ties go to the smaller id. Rows that
@@ -17,16 +19,20 @@ integer needs over 62 bits raise an error.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatelens.functions.lineage import cut
 
 EXACT = float(1 << 53)
+#: Bytes of the query blocks that are compared at a time (a single block may be larger).
+WAVE_BYTES = 16 << 20
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
@@ -59,9 +65,9 @@ def _stats(x: np.ndarray, segments: int) -> np.ndarray:
     return np.hstack([np.stack([p.mean(axis=1), p.std(axis=1)], axis=1) * np.sqrt(m) for p, m in parts])
 
 
-def best_of_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int,
-                  levels: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, candidate ids, scores) of the k best candidates of this block, per query."""
+def best_of_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, levels: tuple[int, ...],
+                  least: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row of q, candidate ids, scores) of the k best candidates of this block, per query; those below ``least``, a score per query, may be left out."""
     dim = q.shape[1]
     if not dim:
         exact = lambda a, b: np.zeros((len(a), len(b)), np.int64)
@@ -72,16 +78,16 @@ def best_of_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.nda
     fq, fc = q.astype(float), c.astype(float)
     margin = 1e-9 * np.linalg.norm(fq, axis=1) * (np.linalg.norm(fc, axis=1).max() if len(c) else 0) + 1e-6
     alive = q_ids[:, None] != c_ids[None, :]
-    floor = np.full(len(q), -np.inf)
+    floor, new = least, True
     for segments in (s for s in levels if s < dim):
         bound = _stats(fq, segments) @ _stats(fc, segments).T
         bound[~alive] = -np.inf
-        if np.isneginf(floor).all() and len(c) > 4 * k:
+        if new and len(c) > 4 * k:
             # exact scores of the k most promising candidates set a first threshold
             first = np.argpartition(-bound, k, axis=1)[:, :k]
             scores = np.einsum("qd,qkd->qk", fq, fc[first])
             scores[~np.take_along_axis(alive, first, axis=1)] = -np.inf
-            floor = scores.min(axis=1)
+            floor, new = np.maximum(least, scores.min(axis=1)), False
         alive &= bound >= (floor - margin)[:, None]
     rows, cols = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
     score = exact(q[rows], c[cols])
@@ -92,7 +98,66 @@ def best_of_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.nda
             keep = s >= np.partition(s, len(s) - k)[len(s) - k]
             s, ids = s[keep], ids[keep]
         best = np.lexsort((ids, -s))[:k]
-        yield int(q_ids[r]), ids[best], s[best]
+        yield r, ids[best], s[best]
+
+
+def fanned(blocks: DataFrame) -> DataFrame:
+    """Dealt out by the session's shuffle width: a few large rows would else be read by as few tasks."""
+    return blocks.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _waves(queries: DataFrame) -> list[list[tuple[int, int]]]:
+    """The (dim, qb) of the query blocks, in lists of at most ``WAVE_BYTES``."""
+    waves, left = [], 0
+    for r in sorted(queries.select("dim", "qb", (F.length("q") + F.length("q_ids")).alias("n")).collect()):
+        if not waves or r["n"] > left:
+            waves.append([])
+            left = WAVE_BYTES
+        waves[-1].append((r["dim"], r["qb"]))
+        left -= r["n"]
+    return waves
+
+
+def _broadcast(queries: DataFrame, wave: list[tuple[int, int]]) -> Broadcast:
+    """dim -> (ids, vectors) of each of a wave's query blocks."""
+    rows = queries.where(F.col("dim").isin([d for d, _ in wave]) & F.col("qb").isin([b for _, b in wave])).select("dim", "qb", "q_ids", "q").collect()
+    blocks: dict[int, list] = {}
+    for r in rows:
+        if (r["dim"], r["qb"]) in set(wave):
+            blocks.setdefault(r["dim"], []).append((bytes(r["q_ids"]), bytes(r["q"])))
+    return queries.sparkSession.sparkContext.broadcast(blocks)
+
+
+def _compared(shared: Broadcast, k: int, levels: tuple[int, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Candidate blocks (dim, c_ids, c) to the k best of a task's blocks for each query of the wave."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wave = {dim: [(np.frombuffer(ids, "<i8"), np.frombuffer(q, "<i8").reshape(-1, dim) if dim else np.zeros((len(ids) // 8, 0), np.int64))
+                      for ids, q in blocks] for dim, blocks in shared.value.items()}
+        best: dict[tuple[int, int], list] = {(dim, i): [None] * len(ids) for dim, blocks in wave.items() for i, (ids, _) in enumerate(blocks)}
+        least = {(dim, i): np.full(len(ids), -np.inf) for dim, blocks in wave.items() for i, (ids, _) in enumerate(blocks)}
+        for row in (batch.slice(i, 1).to_pylist()[0] for batch in batches for i in range(batch.num_rows)):
+            c_ids = np.frombuffer(row["c_ids"], "<i8")
+            c = np.frombuffer(row["c"], "<i8").reshape(len(c_ids), row["dim"])
+            for i, (q_ids, q) in enumerate(wave.get(row["dim"], ())):
+                own, floor = best[row["dim"], i], least[row["dim"], i]
+                for r, ids, score in best_of_block(q_ids, q, c_ids, c, k, levels, floor):
+                    if own[r] is not None:
+                        ids, score = np.concatenate([own[r][0], ids]), np.concatenate([own[r][1], score])
+                        top = np.lexsort((ids, -score))[:k]
+                        ids, score = ids[top], score[top]
+                    own[r] = ids, score
+                    if len(score) == k:
+                        floor[r] = score[-1]
+        for (dim, i), own in best.items():
+            q_ids = wave[dim][i][0]
+            full = [r for r, x in enumerate(own) if x is not None]
+            if full:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids[full], [len(own[r][0]) for r in full]), pa.int64()),
+                                                  pa.array(np.concatenate([own[r][0] for r in full]), pa.int64()),
+                                                  pa.array(np.concatenate([own[r][1] for r in full]), pa.int64())], ["query_id", "vec_id", "score"])
+
+    return run
 
 
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -103,24 +168,10 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str =
     counts = v.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).first()
     n_blocks, n_queries = max(1, -(-counts["n"] // block)), max(1, -(-counts["q"] // query_block))
     numbered = F.xxhash64("vec_id")
-    candidates = _packed(v, F.pmod(numbered, F.lit(n_blocks)), "c_ids", "c", "cb")
-    queries = _packed(v.where(is_query), F.pmod(numbered, F.lit(n_queries)), "q_ids", "q", "qb")
-    pairs = (candidates.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_queries - 1).cast("long"))))
-             .join(queries.withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))), ["dim", "qb", "cb"]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                q_ids, c_ids = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["c_ids"], "<i8")
-                q = np.frombuffer(row["q"], "<i8").reshape(len(q_ids), row["dim"])
-                c = np.frombuffer(row["c"], "<i8").reshape(len(c_ids), row["dim"])
-                found = list(best_of_block(q_ids, q, c_ids, c, k, levels))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]), pa.int64()),
-                                                      pa.array(np.concatenate([f[1] for f in found]), pa.int64()),
-                                                      pa.array(np.concatenate([f[2] for f in found]), pa.int64())],
-                                                     ["query_id", "vec_id", "score"])
-
-    found = pairs.select("dim", "q_ids", "q", "c_ids", "c").mapInArrow(run, "query_id long, vec_id long, score long")
+    numbered = F.xxhash64("vec_id")
+    candidates = cut(fanned(_packed(v, F.pmod(numbered, F.lit(n_blocks)), "c_ids", "c", "cb")))
+    queries = cut(_packed(v.where(is_query), F.pmod(numbered, F.lit(n_queries)), "q_ids", "q", "qb"))
+    schema = "query_id long, vec_id long, score long"
+    found = [cut(candidates.select("dim", "c_ids", "c").mapInArrow(_compared(_broadcast(queries, wave), k, levels), schema)) for wave in _waves(queries) or [[]]]
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

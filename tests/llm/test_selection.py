@@ -282,3 +282,22 @@ def test_too_large_components_are_an_error(spark):
     df = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="too large"):
         topk.exact_top_k(df, F.col("vec_id") % 50 == 0).collect()
+
+
+def test_top_k_in_waves(spark, monkeypatch):
+    """Queries that don't fit one wave, several vectors an id, and candidates in one task or many give the brute-force answer; no block is copied to a pair."""
+    rng = np.random.default_rng(8)
+    rows = [(i // 2 if i % 7 == 0 else i, rng.normal(size=6 if i % 5 else 9).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(topk, "WAVE_BYTES", 1000)
+    waves, compared = [], topk._broadcast
+    monkeypatch.setattr(topk, "_broadcast", lambda queries, wave: waves.append(wave) or compared(queries, wave))
+    got = topk.exact_top_k(df, F.col("vec_id") % 10 == 0, query_block=8, block=30)
+    assert len(waves) > 3 and len({b for w in waves for b in w}) == sum(map(len, waves))
+    want = []
+    whole = [(i, np.floor(256 * np.array(x)).astype(int)) for i, x in rows]
+    for i in {i for i, _ in whole if i % 10 == 0}:
+        found = sorted((-int(q @ c), j) for k, q in whole if k == i for j, c in whole if j != i and len(c) == len(q))[:5]
+        want += [(i, rank, j, -s) for rank, (s, j) in enumerate(found, 1)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert got.schema["rank"].dataType.simpleString() == "int" and topk.exact_top_k(df.where("vec_id = 1"), F.col("vec_id") % 10 == 0).schema == got.schema
