@@ -164,7 +164,7 @@ def test_m22_does_all_folds(spark, monkeypatch):
     rows = spark.createDataFrame([(i, i) for i in range(10)], "id long, grp long")
     monkeypatch.setattr(queries.fx, "v_features", lambda *_: rows)
     monkeypatch.setattr(queries, "_sweep_labels", lambda *_: rows.select("id", *[F.lit(0.5).alias(c) for c in queries.LABELS]))
-    monkeypatch.setattr(queries, "_parts_of", lambda df, fill, folds: asked.update(parts=list(folds)))
+    monkeypatch.setattr(queries, "_parts_of", lambda df, fill, folds, copied: asked.update(parts=list(folds)))
     monkeypatch.setattr(queries, "_out_of_fold", lambda parts, predict, folds: asked.update(predict=predict, folds=list(folds)))
     monkeypatch.setattr(queries, "_runtime_quality", lambda rows, out, others=(), folds=range(5): list(folds))
     assert queries.m22(spark, "") == asked["parts"] == asked["folds"] == [0, 1, 2, 3, 4]
@@ -186,8 +186,10 @@ def test_rows_are_stored_once_for_all_folds(data, spark):
     want = {}
     for r in splits.build_splits(data, "id", "grp", 5).collect():
         want.setdefault((r.fold, r.role), []).append(r.row_key)
+    copied = queries._parts_of(data, False, range(5), True)
+    assert copied.stored.count() == 1200 and copied.n_rows == 240
     for k in range(5):
-        for role, own in zip(("train", "val", "test"), parts(k)):
+        for role, own in [*zip(("train", "val", "test"), parts(k)), *zip(("train", "val", "test"), copied(k))]:
             assert own.columns == data.columns and sorted(r.id for r in own.collect()) == sorted(want[k, role])
 
 
